@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import exact_dedup, packing
+from augsearch.llm import bpe, exact_dedup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op5_best_fit_packing": packing.query,
+        "op7_byte_bpe": bpe.query,
     }
 
 
