@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import bpe, exact_dedup, packing
+from augsearch.llm import bpe, chat, exact_dedup, langid, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op3_language_id": langid.query,
+        "op4_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
         "op7_byte_bpe": bpe.query,
+        "op8_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
