@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import bpe, chat, exact_dedup, langid, packing, toxicity
+from augsearch.llm import bpe, chat, exact_dedup, langid, packing, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": packing.query,
         "op7_byte_bpe": bpe.query,
         "op8_chat_format": chat.query,
+        "op10_training_shards": shards.query,
     }
 
 
