@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import bpe, chat, exact_dedup, langid, packing, shards, toxicity
+from augsearch.llm import bpe, chat, embedding_dedup, exact_dedup, langid, packing, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_embedding_dedup": embedding_dedup.query,
         "op3_language_id": langid.query,
         "op4_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
