@@ -63,3 +63,11 @@ def record_batches(schema: pa.Schema, columns: list, rows: int = 4096) -> Iterat
     """Arrow batches of at most `rows` rows from full columns."""
     table = pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
     yield from table.to_batches(max_chunksize=rows)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; call it after a large `written`."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import bpe, chat, embedding_dedup, exact_dedup, langid, ngram_join, packing, shards, toxicity
+from augsearch.llm import bpe, chat, embedding_dedup, exact_dedup, langid, ngram_join, packing, shards, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.query,
         "op4_toxicity": toxicity.query,
         "op5_best_fit_packing": packing.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_byte_bpe": bpe.query,
         "op8_chat_format": chat.query,
         "op9_ngram_jaccard_join": ngram_join.query,
