@@ -186,6 +186,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return members.join(classes, "grp").select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("grp") == F.col("keep_grp"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, any columns, that stay."""
+    found = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
+    rows = docs.withColumn("text_sha256", sha)
+    stay = rows.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha")), "left_semi")
+    same = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return (stay if same else stay.dropDuplicates(["doc_id", "text_sha256"])).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 

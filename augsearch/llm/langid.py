@@ -51,10 +51,14 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return [mix(one), mix(pair) + (1 << BITS), mix(pair * np.uint32(40503) + three) + (2 << BITS)], ends, letters > 0
 
 
+def batch_text(batch: pa.RecordBatch) -> str:
+    return batch.schema.names[-1]
+
+
 def _each(batches: Iterator[pa.RecordBatch], most: int = 2 << 20):
     """(other columns, texts) in slices; the text is the last column."""
     for whole in batches:
-        for batch in slices(whole, "text", most):
+        for batch in slices(whole, batch_text(whole), most):
             yield batch.columns[:-1], [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
 
 
@@ -159,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
             lang, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*others, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").cast("string").alias("text of the prediction")).mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -229,31 +229,33 @@ def _sorted_buckets(chunk: int):
     return run
 
 
-def _cut(batches):
-    """Removes the marked strings from each text."""
+def _gone(at: list[int] | None, mask: list[int] | None, text: np.ndarray) -> np.ndarray:
+    """Which bytes of the text go."""
+    if at is None:
+        return np.zeros(len(text), bool)
+    bits = (np.array(mask, np.int64)[:, None] >> np.arange(REACH + 1)) & 1
+    starts = (np.array(at, np.int64)[:, None] - np.arange(REACH + 1))[bits > 0]
+    edge = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + LENGTH, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _digests(batches):
     for (doc, ats, masks), texts in _bytes(batches):
         rows = []
         for d, at, mask, text in zip(doc, ats, masks, texts):
-            if at is None:
-                rows.append((d, len(text), 0, 0, hashlib.sha256(text.tobytes()).hexdigest(), []))
-                continue
-            bits = (np.array(mask, np.int64)[:, None] >> np.arange(REACH + 1)) & 1
-            starts = (np.array(at, np.int64)[:, None] - np.arange(REACH + 1))[bits > 0]
-            edge = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = _gone(at, mask, text)
             change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             rows.append((d, len(text), int(gone.sum()), len(change) // 2, hashlib.sha256(text[~gone].tobytes()).hexdigest(), change.tolist()))
         d, n, gone, spans, sha, change = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(change, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def suffix_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end, begin, end ... of what goes)."""
+def _marked(docs: DataFrame, chunk: int) -> DataFrame:
+    """docs (doc_id, th, text, ...) with the columns ats and masks: what to remove, null for nothing."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    known = docs.filter("doc_id is not null")
+    known = docs.filter("doc_id is not null").select("doc_id", "th", "text")
     by_bucket = Window.partitionBy("bucket")
     samples = known.mapInArrow(_samples, "doc_id long, th long, bucket long")
     shared = samples.withColumns({"low": F.min("doc_id").over(by_bucket), "high": F.max("doc_id").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket")
@@ -265,7 +267,33 @@ def suffix_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at int, mask long"), "marks")
     freed(spark)
     by_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
-    return docs.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "ats", "masks", "text").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return docs.join(by_doc, ["doc_id", "th"], "left")
+
+
+def suffix_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end, begin, end ... of what goes)."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return _marked(docs, chunk).select("doc_id", "ats", "masks", "text").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+
+
+def without_repeats(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """docs, any columns, with what is left of each text; a character that loses some of its bytes goes whole."""
+    names = docs.columns
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                ats, masks = b.column(0).to_pylist(), b.column(1).to_pylist()
+                columns = dict(zip(names, b.columns[2:]))
+                raw = [None if t is None else np.frombuffer(t, np.uint8) for t in columns["text"].cast(pa.binary()).to_pylist()]
+                left = [None if t is None else t[~_gone(at, mask, t)].tobytes().decode("utf-8", "ignore") for at, mask, t in zip(ats, masks, raw)]
+                columns["text"] = pa.array(left, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    marked = _marked(docs.withColumn("th", F.xxhash64("text")), chunk)
+    return marked.select("ats", "masks", *names).mapInArrow(run, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
