@@ -9,7 +9,7 @@
    last, two linked sets share a token among the first fifth of each (prefix filter). The classes under a token
    that more than one component has are the leaves of a signature tree: nodes hold the OR of token bitmaps, size
    ranges and components. Pairs of nodes are traversed from the top, and a pair is dropped when its largest possible overlap is
-   too small, its sizes are too far apart, or all of it is one component.
+   too small, its sizes are too far apart, or all of it is one component. Up to LEAF classes are one leaf, compared pair by pair.
 4. Remaining pairs are compared exactly, and all links joined to components.
 
 The frequency of tokens decides their order alone, so it bears on cost and never on results. Candidates are read from
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, n_tasks, slices, written
+from augsearch.llm.common import documents, freed, slices, written
 from augsearch.llm.components import components
 
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 8, 3
 BLOCK, LEAF = 512, 16
+#: A token is common when this many documents have it in their prefix by hash; such tokens come late in the order.
+COMMON = 3
 #: A token is frequent when at least one document in this many has it.
 FREQUENT = 1000
 #: Bits of the Bloom filters, at most (8 MB).
@@ -145,44 +147,47 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([True] * len(t), t, n, none, none, none), _SCAN)], schema=_SCAN)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens in the order (frequent, token) of which any set at least that similar has one."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, common: Bloom | None, percent: int) -> np.ndarray:
+    """The first tokens in the order (frequent or common, token) of which any set at least that similar has one."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
+    often = np.zeros(n, bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-        if often.any():
-            tokens = np.concatenate([tokens[~often], tokens[often]])
+        often |= frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    if common is not None:
+        often |= common.has(tokens)
+    if often.any():
+        tokens = np.concatenate([tokens[~often], tokens[often]])
     return tokens[:size]
 
 
 class Bloom:
-    """May say yes to others, never no to a member."""
+    """A set of 64-bit hashes. May say yes to others, never no to a member."""
 
-    def __init__(self, ids: DataFrame, column: str, count: int):
+    def __init__(self, hashes: DataFrame, column: str, count: int):
         self.bits = min(BLOOM, max(1 << 12, 1 << (12 * count).bit_length()))
-        places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), column), F.lit(self.bits)) for k in range(3)])).alias("at")
-        words = ids.select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        places = F.explode(F.array(*[F.shiftrightunsigned(column, k).bitwiseAND(F.lit(self.bits - 1)) for k in (0, 13, 26)])).alias("at")
+        words = hashes.select(places).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
         table = words.toArrow()  # bits / 64 rows at most
-        self.words = np.zeros(self.bits // 64, np.int64)
-        self.words[np.asarray(table.column(0))] = np.asarray(table.column(1))
-
-    def has(self, places: np.ndarray) -> np.ndarray:
-        return ((self.words[places >> 6] >> (places & 63)) & 1).astype(bool).all(1)
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[np.asarray(table.column(0)).astype(np.int64)] = np.asarray(table.column(1)).astype(np.int64).view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """hashes: unsigned."""
+        out = np.ones(len(hashes), bool)
+        for k in (0, 13, 26):
+            at = (hashes >> np.uint64(k)) & np.uint64(self.bits - 1)
+            out &= ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """doc_id, n, tokens (binary) of the documents whose id is among ids (and of a few others)."""
-    count = ids.count()
-    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(ids, "doc_id", count))
-    bits = bloom.value.bits
-    places = F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(bits)) for k in range(3)])
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", ids.count()))
 
     def run(batches):
         for b in batches:
-            at = np.asarray(b.column(1).flatten()).reshape(-1, 3)
-            b = b.filter(pa.array(bloom.value.has(at)))
+            b = b.filter(pa.array(bloom.value.has(np.asarray(b.column(1)).astype(np.int64).view(np.uint64))))
             for doc_ids, texts in _texts([b]):
                 sets = shingle_sets(texts)
                 rows = [(d, len(s), s.tobytes()) for d, s in zip(doc_ids, sets) if len(s)]
@@ -190,7 +195,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
                     d, n, s = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], names=["doc_id", "n", "tokens"])
 
-    return written(docs.filter("doc_id is not null").select("doc_id", places.alias("places"), "text").mapInArrow(run, "doc_id long, n long, tokens binary"), name)
+    return written(docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(run, "doc_id long, n long, tokens binary"), name)
 
 
 def _near(percent: int):
@@ -286,6 +291,23 @@ def traverse(one: _Tree, two: _Tree | None, percent: int) -> tuple[np.ndarray, n
     return one.doc[i[different]], other.doc[j[different]]
 
 
+def _hopeful(percent: int):
+    """Of pairs with both bitmaps those whose largest possible overlap is enough."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                words = min(len(x), len(y)) // 8
+                x, y = (_Tree.folded(np.frombuffer(v, np.uint64), words) for v in (x, y))
+                overlap = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+                keep.append((100 + percent) * overlap >= percent * (n_a + n_b))
+            ok = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def _candidates(percent: int):
     def run(batches):
         for b in batches:
@@ -324,28 +346,50 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = _verified(docs, pairs, percent, "family").union(same)
     joined = written(components(links, "families"), "families")
+    freed(spark)
 
-    # links between components, by the prefix filter
-    def prefixes(batches):
-        for ids, texts in _texts(batches):
-            found = [prefix(s, frequent.value, percent) for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in found]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "size", "tokens"])
+    # links between components, by the prefix filter: first which tokens of the prefixes by hash alone have COMMON documents
+    def prefixes(common):
+        def run(batches):
+            for ids, texts in _texts(batches):
+                sets = shingle_sets(texts)
+                found = [prefix(x, frequent.value, common and common.value, percent) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets]), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
+
+        return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, tokens array<long>").filter("n > 0")
 
+    often = written(prefixes(None).select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON).select("token"), "common")
+    freed(spark)
+    common = spark.sparkContext.broadcast(Bloom(often, "token", often.count()))
     labelled = reps.select("doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    posted = docs.filter("doc_id is not null").mapInArrow(prefixes, "doc_id long, size long, tokens array<long>").filter("size > 0").join(labelled, "doc_id").select(F.explode("tokens").alias("token"), "doc_id", "comp")
+    posted = prefixes(common).join(labelled, "doc_id").select(F.explode("tokens").alias("token"), "doc_id", "n", "comp")
     by_token = Window.partitionBy("token")
-    shared = posted.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).filter("low < high").select("token", "doc_id", "comp")
-    shared = written(shared.distinct(), "shared-tokens")
-    sized = shared.join(reps.select("doc_id", "n", "bitmap"), "doc_id")
+    shared = posted.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token), "docs": F.count("*").over(by_token)}).filter("low < high").drop("low", "high")
+    shared = written(shared, "shared-tokens")
+    freed(spark)
+    bitmaps = reps.select("doc_id", "n", "bitmap")
+
+    # a few documents under a token are one leaf: its pairs, each once for all tokens that it shares
+    member = F.struct("doc_id", "n", "comp")
+    leaf = shared.filter(F.col("docs") <= LEAF).groupBy("token").agg(F.collect_list(member).alias("rows"))
+    leaf = leaf.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y")).filter("x.doc_id < y.doc_id and x.comp <> y.comp")
+    leaf = leaf.filter((100 * F.least("x.n", "y.n")) >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    one, two = (bitmaps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bits_{k}")) for k in "ab")
+    leaf = leaf.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_hopeful(percent), "a long, b long")
+
+    # more of them are the leaves of trees, one for each block
+    sized = shared.filter(F.col("docs") > LEAF).select("token", "doc_id", "comp").distinct().join(bitmaps, "doc_id")
     step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    block = F.floor((F.row_number().over(Window.partitionBy("token").orderBy(step, "comp", "n", "doc_id")) - 1) / BLOCK)
+    block = F.floor((F.row_number().over(by_token.orderBy(step, "comp", "n", "doc_id")) - 1) / BLOCK)
     blocks = sized.withColumn("block", block).groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "bitmap")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    blocks = written(blocks.withColumn("blocks", F.count("*").over(by_token)), "blocks")
     alone = blocks.filter("low < high").select(F.col("rows").alias("one"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("two"))
-    many = written(blocks.withColumn("blocks", F.count("*").over(Window.partitionBy("token"))).filter("blocks > 1"), "blocks")
-    left, right = (many.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "rows", "least", "most", "low", "high")]) for s in ("1", "2"))
+    many = blocks.filter("blocks > 1")
+    left, right = (many.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "rows", "least", "most", "low", "high")]) for k in ("1", "2"))
     across = left.join(right, "token").filter("block_1 < block_2 and not (low_1 = high_2 and high_1 = low_2)").filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
-    found = alone.union(across.select(F.col("rows_1"), F.col("rows_2"))).mapInArrow(_candidates(percent), "a long, b long").filter("a <> b")
-    found = written(found.distinct(), "candidates")
+    grown = alone.union(across.select(F.col("rows_1"), F.col("rows_2"))).mapInArrow(_candidates(percent), "a long, b long").filter("a <> b")
+    found = written(leaf.union(grown).distinct(), "candidates")
+    freed(spark)
     if not found.isEmpty():
         links = links.union(_verified(docs, found, percent, "other"))
         joined = written(components(links, "components"), "jaccard-components")
