@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -27,13 +28,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 << 20) -> DataFrame:
     """df, cut from its lineage by a table in the shared folder; executors may be lost after this."""
     path = scratch(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -66,8 +64,11 @@ def record_batches(schema: pa.Schema, columns: list, rows: int = 4096) -> Iterat
 
 
 def freed(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; call it after a large `written`."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; call it after a large `written`.
+
+    Spark's cleaner follows the collector of the driver's JVM, which alone runs too seldom to keep disks free.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -145,10 +146,12 @@ def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, pe
     n_shards = max(1, -(-total // per_shard))
 
     def place(batches):
+        shrink = zstandard.ZstdCompressor(level=6)  # records go through the shuffle as small as they get
         for b in batches:
             task, nth = (np.asarray(b.column(i)) for i in (0, 1))
             slot = permutation.slot(before.value[task] + nth) if len(task) else nth
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), *b.columns[2:]], names=["slot", "shard", "doc_ids", "length", "ids"])
+            packed = pa.array([shrink.compress(ids) for ids in b.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), b.column(2), b.column(3), packed], names=["slot", "shard", "doc_ids", "length", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task has the whole of each of its shards, in slot order."""
@@ -177,7 +180,7 @@ def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, pe
                     now, temporary = shard, f"{root}/.{shard_name(shard)}.{context.taskAttemptId()}"
                     where.create_dir(root, recursive=True)
                     target = where.open_output_stream(temporary)
-                target.write(ids + padding * (stride - length))
+                target.write(zstandard.decompress(ids) + padding * (stride - length))
                 rows_.append((slot, length, doc_ids))
         if now is not None:
             yield close()
@@ -203,5 +206,5 @@ def read(folder: str, first_slot: int, n: int, stride: int = STRIDE, per_shard:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    rows = written(sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), "sequences")
+    rows = written(sequences(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), "sequences", level=6, page_bytes=4 << 20)
     return materialise(rows, scratch(spark, "shards"), key=20_240_601)
