@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from augsearch.plans import text_queries, vector_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -39,4 +39,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Join discovery: every column of the tables as text, as a vector, and the nearest columns of other tables for each."""
+    from pyspark.sql import functions as F
+
+    from augsearch.operators import encoders, prompts, retrieval
+    from augsearch.plans.text_queries import cells
+
+    embedded = encoders.Pipelines((encoders.HashingEncoder(),), (prompts.DeepJoinStrategy(max_length=500),)).embed(cells(spark, sf_dir))
+    columns = embedded.withColumn("table_id", F.substring_index("column_id", "::", 1))
+    return retrieval.join_discovery(columns.withColumnRenamed("column_id", "query_id"), columns.withColumnRenamed("column_id", "candidate_id"), 5)
