@@ -93,8 +93,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Bits at the low bits of the tokens; as many bits as a power of two not below their number, 64 at least."""
-    bits = np.zeros(max(64, 1 << (max(1, len(tokens)) - 1).bit_length()), np.uint8)
+    """Bits at the low bits of the tokens; two to four bits for a token, 64 at least."""
+    bits = np.zeros(max(64, 2 << (max(1, len(tokens)) - 1).bit_length()), np.uint8)
     bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -335,8 +335,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # classes of equal sets
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = written(sets.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep").distinct(), "members")
-    reps = sets.join(classes.withColumnRenamed("key", "rep_key"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("rep_key"))).select("doc_id", "n", "bands", "bitmap")
-    reps = written(reps.dropDuplicates(["doc_id", "bitmap"]), "classes")
+    reps = sets.join(classes.withColumnRenamed("key", "rep_key"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("rep_key")))
+    reps = written(reps.dropDuplicates(["doc_id", "key"]).select("doc_id", "n", "bands", "bitmap"), "classes")
 
     # families of near copies
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
@@ -378,15 +378,22 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaf = leaf.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_hopeful(percent), "a long, b long")
 
     # more of them are the leaves of trees, one for each block
-    sized = shared.filter(F.col("docs") > LEAF).select("token", "doc_id", "comp").distinct().join(bitmaps, "doc_id")
-    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    block = F.floor((F.row_number().over(by_token.orderBy(step, "comp", "n", "doc_id")) - 1) / BLOCK)
-    blocks = sized.withColumn("block", block).groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "bitmap")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    blocks = written(blocks.withColumn("blocks", F.count("*").over(by_token)), "blocks")
+    sized = shared.filter(F.col("docs") > LEAF).select("token", "doc_id", "n", "comp").distinct()
+    # a block holds sets of about one size, so that their bitmaps are about equally wide
+    sized = sized.withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    nth = F.floor((F.row_number().over(Window.partitionBy("token", "step").orderBy("comp", "n", "doc_id")) - 1) / BLOCK)
+    placed = sized.withColumn("block", F.struct("step", nth.alias("nth"))).select("token", "block", "doc_id", "n", "comp")
+    # bitmaps join last, so that they are shuffled once
+    blocks = placed.join(bitmaps, ["doc_id", "n"]).groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "bitmap")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    blocks = written(blocks, "blocks")
+    freed(spark)
     alone = blocks.filter("low < high").select(F.col("rows").alias("one"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("two"))
-    many = blocks.filter("blocks > 1")
-    left, right = (many.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "rows", "least", "most", "low", "high")]) for k in ("1", "2"))
-    across = left.join(right, "token").filter("block_1 < block_2 and not (low_1 = high_2 and high_1 = low_2)").filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
+    # pairs of blocks by their ends alone, then with their rows
+    ends = blocks.drop("rows")
+    left, right = (ends.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most", "low", "high")]) for k in ("1", "2"))
+    across = left.join(right, "token").filter("block_1 < block_2 and not (low_1 = high_2 and high_1 = low_2)").filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1"))).select("token", "block_1", "block_2")
+    one, two = (blocks.select("token", F.col("block").alias(f"block_{k}"), F.col("rows").alias(f"rows_{k}")) for k in ("1", "2"))
+    across = across.join(one, ["token", "block_1"]).join(two, ["token", "block_2"])
     grown = alone.union(across.select(F.col("rows_1"), F.col("rows_2"))).mapInArrow(_candidates(percent), "a long, b long").filter("a <> b")
     found = written(leaf.union(grown).distinct(), "candidates")
     freed(spark)
