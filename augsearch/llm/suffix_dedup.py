@@ -8,7 +8,8 @@ at the same offset below 31: the position of the least hash of the string's 31 2
 difference cover has that property for any two strings, but samples 6 of 31 positions; this one samples 1 of 16
 and needs to hold for equal strings only.) Then, as in blockwise construction:
 
-1. Sampled suffixes are dealt to buckets by their first 20 bytes. Those of buckets that one document alone has can't repeat.
+1. Sampled suffixes are dealt to buckets by their first 20 bytes. Those of buckets that one text alone has need no sorting: they can't
+   repeat, or do so in whole copies of the text, which a hash finds.
 2. The rest is sorted one bucket at a time: a task reads its buckets one after another in order of document. It ranks
    the bucket's sampled suffixes by what follows and by what precedes them. A suffix that starts d bytes before its sampled
    one is then placed by these two ranks alone, however long the tie: its class at 50 bytes is the run of
@@ -37,6 +38,8 @@ from augsearch.llm.common import documents, freed, n_tasks, slices, written
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a sampled suffix starts at most this far into a string
 CHUNK = 200_000
+#: In place of a position: the whole text is that of a smaller document.
+COPY = -1
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -233,6 +236,8 @@ def _gone(at: list[int] | None, mask: list[int] | None, text: np.ndarray) -> np.
     """Which bytes of the text go."""
     if at is None:
         return np.zeros(len(text), bool)
+    if COPY in at:
+        return np.full(len(text), len(text) >= LENGTH)
     bits = (np.array(mask, np.int64)[:, None] >> np.arange(REACH + 1)) & 1
     starts = (np.array(at, np.int64)[:, None] - np.arange(REACH + 1))[bits > 0]
     edge = np.zeros(len(text) + 1, np.int64)
@@ -256,9 +261,13 @@ def _marked(docs: DataFrame, chunk: int) -> DataFrame:
     """docs (doc_id, th, text, ...) with the columns ats and masks: what to remove, null for nothing."""
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null").select("doc_id", "th", "text")
+    # a copy of a smaller document goes whole, so buckets that only copies of one text share need no sorting
+    whole = known.select("doc_id", "th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    copies = whole.join(whole.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha").filter("doc_id > first").select("doc_id", "th").distinct()
+    copies = copies.select("doc_id", "th", F.lit(COPY).alias("at"), F.lit(0).cast("long").alias("mask"))
     by_bucket = Window.partitionBy("bucket")
     samples = known.mapInArrow(_samples, "doc_id long, th long, bucket long")
-    shared = samples.withColumns({"low": F.min("doc_id").over(by_bucket), "high": F.max("doc_id").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket")
+    shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket")
     shared = written(shared, "shared-buckets")
     freed(spark)
     wanted = shared.groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
@@ -266,7 +275,7 @@ def _marked(docs: DataFrame, chunk: int) -> DataFrame:
     dealt = contexts.repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at int, mask long"), "marks")
     freed(spark)
-    by_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
+    by_doc = marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
     return docs.join(by_doc, ["doc_id", "th"], "left")
 
 
