@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts of one Arrow batch are worked on in slices of about this many bytes.
 SLICE_BYTES = 8 << 20
+#: Paths that scratch has given out.
+TABLES: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -25,7 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = f"file://{tempfile.gettempdir()}/augsearch-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    TABLES.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
 
 
 def written(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 << 20) -> DataFrame:
@@ -72,3 +75,17 @@ def freed(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def discard(paths: list[str], still_read: DataFrame) -> list[str]:
+    """Deletes the paths that still_read doesn't read; returns the others."""
+    files, kept = still_read.inputFiles(), []
+    spark = still_read.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        if any(f.startswith(path) for f in files):
+            kept.append(path)
+        else:
+            at = hadoop.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return kept

@@ -5,25 +5,44 @@ Each stage takes all rows that the one before it kept, and all but the last retu
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm import exact_dedup, langid, ngram_join, packing, suffix_dedup
-from augsearch.llm.common import written
+from augsearch.llm import common, exact_dedup, langid, ngram_join, packing, suffix_dedup
+
+#: Tables of stages that are done; the next stage deletes those that its documents aren't read from.
+_done: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _done[:] = common.discard(_done, docs)
+        first = len(common.TABLES)
+        out = f(spark, docs, sf_dir)
+        _done.extend(common.TABLES[first:])
+        return out
+
+    return run_stage
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text, no letter) go."""
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
     return langid.predict(docs, model, *docs.columns).filter("lang_pred <> 'und'").select(docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space the one of least doc_id stays."""
     return exact_dedup.deduplicated(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id stays."""
     found = ngram_join.jaccard_join(docs)
@@ -31,6 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of smaller doc_id has are cut out; documents of nothing else go."""
     left = suffix_dedup.without_repeats(docs)
@@ -39,6 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return left.filter("text <> ''").select(docs.columns)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            docs = common.written(docs, name.replace(" ", "-"))
+            _done.append(common.TABLES[-1])
     return docs
