@@ -93,8 +93,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Bits at the low bits of the tokens; two to four bits for a token, 64 at least."""
-    bits = np.zeros(max(64, 2 << (max(1, len(tokens)) - 1).bit_length()), np.uint8)
+    """Bits at the low bits of the tokens; four to eight bits for a token, 64 at least."""
+    bits = np.zeros(max(64, 4 << (max(1, len(tokens)) - 1).bit_length()), np.uint8)
     bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
