@@ -1,17 +1,17 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings: sorted projection passes, then all pairs of a label.
 
 Each pass draws its own random hyperplanes, writes which side of each a vector is on as the bits of a number, and orders the
 vectors of a label by it. Near vectors share many leading bits, so they come near each other in some pass; each
 vector is compared, by cosine in double precision, with the `window` vectors after it. Verified pairs
 of all passes are joined to components.
 
-The passes need only find enough links to connect a component. How many links a vector has is then counted
-inside its component: its vectors are dealt to blocks of about `block` rows, and pairs of blocks are compared by matrix products
-that return counts, not pairs. So no partner is capped, and links beyond the windows count too.
+The results don't depend on what the passes find; it only spares links. All vectors of a label (and length) are dealt to strips, and every
+pair of strips is compared by matrix products, which return counts, and links between different components of the passes,
+one for each two components. Components that such links touch are joined. So no pair is missed at any size; the products
+grow with the square of a label's distinct vectors, spread over the pairs of strips.
 
 Equal vectors of a label are one row with a count throughout, so a very common vector costs what one does.
-A range of the order ends at the edge of a task; what the window would reach beyond it is left to the other
-passes, which cut elsewhere.
+A range of the order ends at the edge of a task, and the window with it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
 link with nothing (n_links 0, component_id = vec_id, kept). Repeated rows of one vec_id and vector link with each other as
@@ -33,6 +33,8 @@ from augsearch.llm.components import components
 
 THRESHOLD = 0.93
 PASSES, TOGETHER, WINDOW, BLOCK = 16, 4, 24, 512
+#: A strip has a quarter of its label, at least BLOCK rows and at most about so many components of vectors.
+STRIP = 1 << 21
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -105,22 +107,78 @@ def _codes(passes: list[int], seed: int):
     return run
 
 
-def _counts(threshold: float):
-    """Of each pair of blocks, how many links each vector has into the other block."""
+_TILE = ["label", "dims", "i", "j"]
+
+
+def _compared(threshold: float, block: int = 1024):
+    """Of each pair of strips, how many links each vector has into the other strip (component null), and the pairs of components that
+    are linked (hash null). Rows come by _TILE, then side; the strip of side 0 is held, that of side 1 streams."""
+
+    def part(b: pa.RecordBatch):
+        vec, key, n, component = (np.asarray(b.column(i)) for i in range(5, 9))
+        return vec, key, n, component, _unit(np.asarray(b.column(9).flatten()).reshape(b.num_rows, -1))
+
+    def out(label, vec, key, links):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), label)), pa.array(vec), pa.array(key), pa.array(links), pa.nulls(len(vec), pa.int64())], names=["label", "vec", "hash", "links", "component"])
+
+    def compare(one, two, same: bool, bridges: set):
+        """Links of the rows of one and of two; of pairs of one strip each is seen from both sides in the first."""
+        left, right = np.zeros(len(one[0]), np.int64), np.zeros(len(two[0]), np.int64)
+        for i in range(0, len(left), block):
+            for j in range(0, len(right), block):
+                a, b = slice(i, i + block), slice(j, j + block)
+                near = one[4][a] @ two[4][b].T >= threshold
+                if same and i == j:
+                    np.fill_diagonal(near, False)
+                if not near.any():
+                    continue
+                left[a] += near @ two[2][b]
+                right[b] += one[2][a] @ near
+                x, y = np.nonzero(near & (one[3][a][:, None] != two[3][b]))
+                if len(x):
+                    pairs = np.sort(np.stack([one[3][i + x], two[3][j + y]], 1), 1)
+                    bridges.update(map(tuple, np.unique(pairs, axis=0).tolist()))
+        return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, one, links, bridges = None, [], None, None, set()
+
+        def gathered():
+            return tuple(np.concatenate(c) for c in zip(*held))
+
+        def done():
+            strip = one
+            if strip is None and held and tile[2] == tile[3]:
+                strip = gathered()
+                yield out(tile[0], strip[0], strip[1], compare(strip, strip, True, bridges)[0])
+            elif strip is not None:
+                yield out(tile[0], strip[0], strip[1], links)
+            if bridges:
+                a, b = (pa.array(c, pa.int64()) for c in zip(*bridges))
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, a, none, none, b], names=["label", "vec", "hash", "links", "component"])
+
         for b in batches:
-            for i in range(b.num_rows):
-                one, two, same = (b.column(k)[i].as_py() for k in range(3))
-                a_vec, a_n, a = (np.array([r[k] for r in one]) for k in ("vec", "n", "embedding"))
-                a = _unit(a.astype(np.float64))
-                if same:
-                    near = (a @ a.T >= threshold) * a_n
-                    yield pa.RecordBatch.from_arrays([pa.array(a_vec), pa.array(near.sum(1) - near.diagonal())], names=["vec", "links"])
-                else:
-                    b_vec, b_n, x = (np.array([r[k] for r in two]) for k in ("vec", "n", "embedding"))
-                    near = a @ _unit(x.astype(np.float64)).T >= threshold
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a_vec, b_vec])), pa.array(np.concatenate([near @ b_n, a_n @ near]))], names=["vec", "links"])
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(5)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                *at, side = keys[start].tolist()
+                if at != tile:
+                    yield from done()
+                    tile, held, one, links, bridges = at, [], None, None, set()
+                rows = part(b.slice(start, stop - start))
+                if side == 0:
+                    held.append(rows)
+                elif held:
+                    if one is None:
+                        one, held = gathered(), [rows]
+                        links = np.zeros(len(one[0]), np.int64)
+                    left, right = compare(one, rows, False, bridges)
+                    links += left
+                    yield out(tile[0], rows[0], rows[1], right)
+        yield from done()
 
     return run
 
@@ -141,20 +199,23 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int =
         found = links if found is None else found.union(links)
     # a vec may stand for different vectors of one repeated vec_id: those need no link
     joined = written(components(found.filter("a <> b").distinct()), "embedding-components")
-    sized = joined.groupBy("component").agg(F.count("*").alias("size"))
-    members = distinct.join(joined, F.col("vec") == F.col("node")).join(sized, "component")
-    n_blocks = F.ceil(F.col("size") / block).cast("int")
-    blocks = written(
-        members.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(seed)), n_blocks).cast("int"))
-        .groupBy("component", "block")
-        .agg(F.collect_list(F.struct("vec", "n", "embedding")).alias("rows")),
-        "blocks",
-    )
-    left, right = blocks.select("component", F.col("block").alias("i"), F.col("rows").alias("one")), blocks.select("component", F.col("block").alias("j"), F.col("rows").alias("two"))
-    pairs = left.join(right, (left.component == right.component) & (F.col("i") <= F.col("j"))).select("one", "two", (F.col("i") == F.col("j")).alias("same"))
-    linked = pairs.mapInArrow(_counts(threshold), "vec long, links long").groupBy("vec").agg(F.sum("links").alias("links"))
-    classes = distinct.join(joined, F.col("vec") == F.col("node"), "left").join(linked, "vec", "left")
-    classes = classes.select("label", "hash", "embedding", F.col("vec"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
+    members = distinct.join(joined, F.col("vec") == F.col("node"), "left").select("label", F.size("embedding").alias("dims"), "vec", "hash", "n", F.coalesce("component", "vec").alias("component"), "embedding")
+    # strips follow the size of the label: few copies of each vector, and a strip that a task can hold
+    sized = distinct.groupBy("label", F.size("embedding").alias("dims")).agg(F.count("*").alias("size")).filter("size > 1")
+    rows_of_strip = F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 4)), F.greatest(F.lit(block), F.floor(F.lit(STRIP) / F.col("dims"))))
+    sized = sized.select("label", "dims", F.ceil(F.col("size") / rows_of_strip).cast("int").alias("strips"))
+    dealt = members.join(sized, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("vec", "hash", F.lit(seed)), F.col("strips")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+    tiles = dealt.select("label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec", "hash", "n", "component", "embedding")
+    tiles = tiles.repartition(n_tasks(spark), *_TILE).sortWithinPartitions(*_TILE, "side")
+    compared = written(tiles.mapInArrow(_compared(threshold), "label long, vec long, hash long, links long, component long"), "compared")
+    linked = compared.filter("hash is not null").groupBy("label", "vec", "hash").agg(F.sum("links").alias("links"))
+    bridges = compared.filter("component is not null").select(F.col("vec").alias("a"), F.col("component").alias("b"))
+    bridged = components(bridges, "bridged-components").select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    whole = joined.join(bridged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+    whole = whole.union(bridged.join(joined, F.col("part") == F.col("node"), "left_anti").select("part", "whole"))
+    classes = distinct.join(whole, F.col("vec") == F.col("node"), "left").join(linked, ["label", "vec", "hash"], "left")
+    classes = classes.select("label", "hash", "embedding", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     all_rows = rows.join(classes, ["label", "hash", "embedding"], "left")
     component = F.coalesce("component", "vec", "vec_id")
     return all_rows.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -72,5 +72,18 @@ def test_blocks_count_every_link(spark):
     assert {(x.n_links, x.component_id) for x in got} == {(299, 0)}
 
 
+def test_pairs_that_the_passes_miss(spark):
+    """Isolated near pairs around a common direction, most of which one pass with a window of one row doesn't see."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((600, 64)) + 1.2
+    rows = [(i, int(i % 200 == 7), v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.25 * r.standard_normal(x.shape)]))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    links, comp = truth(rows)
+    assert sum(n > 0 for n in links.values()) > 1000
+    for options in ({"passes": 1, "window": 1}, {"passes": 2, "window": 2, "block": 50}):
+        got = {x.vec_id: (x.n_links, x.component_id) for x in near_duplicates(df, **options).collect()}
+        assert got == {i: (links[i], comp[i]) for i in links}
+
+
 def test_query(spark, sf_dir):
     assert query(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
