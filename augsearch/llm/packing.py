@@ -9,12 +9,14 @@ the sums of the counts of the tasks before it are added through a join on (task,
 
 Defined results: a null text counts as empty and holds the end id alone; repeated rows are packed
 each; an empty table gives no rows; extra columns are ignored. A document longer than the capacity is cut
-into full pieces after a shorter first one.
+into full pieces after a shorter first one. The added tokens of the file (<|endoftext|>) take their ids where a text has
+them, as in tokenizers by default; with encode_special_tokens, its flag, special ones are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,6 +51,17 @@ def _bpe(path: str):
     return tiktoken.Encoding("file", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
+@lru_cache(4)
+def _added(path: str, encode_special_tokens: bool) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """The added tokens that are found in texts before these are split, the longest first, and their ids as bytes."""
+    with open(path, encoding="utf-8") as f:
+        tokens = [t for t in json.load(f).get("added_tokens", []) if not (encode_special_tokens and t["special"])]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    ids = {t["content"]: struct.pack("<I", t["id"]) for t in tokens}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None, ids
+
+
 class _Words(dict):
     """word -> its ids as little-endian unsigned 32-bit numbers."""
 
@@ -62,14 +75,20 @@ class _Words(dict):
         return out
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def word_encoder(path: str, encode_special_tokens: bool = True) -> Callable[[list[str]], list[bytes]]:
     """texts -> their ids as bytes. Each distinct word is encoded once and remembered."""
     words = _Words(path)
+    added, added_ids = _added(path, encode_special_tokens)
+
+    def one(text: str) -> bytes:
+        if added is None or added.search(text) is None:
+            return b"".join(map(words.__getitem__, split(text)))
+        return b"".join(added_ids[x] if i % 2 else b"".join(map(words.__getitem__, split(x))) for i, x in enumerate(added.split(text)))
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(words) > WORDS:
             words.clear()
-        return [b"".join(map(words.__getitem__, split(t))) for t in texts]
+        return list(map(one, texts))
 
     return encode
 
@@ -77,12 +96,12 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 _PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
 
 
-def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, encode_special_tokens: bool):
     schema = pa.schema(_PIECES + [("ids", pa.binary())] * with_ids)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = word_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = word_encoder(path, encode_special_tokens), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 rows = []
@@ -144,12 +163,12 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids where asked for."""
     spark = docs.sparkSession
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), ddl), "pieces")
+    pieces = written(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, encode_special_tokens), ddl), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     planned = plan(counts, capacity)
@@ -176,4 +195,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)

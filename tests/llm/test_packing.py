@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from augsearch.llm.packing import pack, plan, query
 from augsearch.llm.pretokenize import _full, split
+from corpus_pipeline import packed
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,6 +53,16 @@ def test_odd_texts(spark):
     assert pack(df.limit(0), PATH).collect() == []
 
 
+def test_added_tokens_take_their_ids(spark, tmp_path):
+    t = Tokenizer.from_file(PATH)
+    texts = {1: "hi <|endoftext|> there", 2: "<|endoftext|>", 3: "a<|endoftext|><|endoftext|>\n b", 4: "<|endoftext", 5: "it's <|endoftext|>'s  x", 6: "plain"}
+    rows = [(k, x, "en", "a", len(x)) for k, x in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (query(spark, str(tmp_path)), packed(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in got.collect()} == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, x in texts.items() for ids in [t.encode(x, add_special_tokens=False).ids + [0]]}
+
+
 def one_by_one(counts, capacity):
     rooms = [0] * (capacity + 1)
     opened = 0
