@@ -31,9 +31,14 @@ def _stage(f):
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, no letter) go."""
+    """Documents in which no language can be told go: those without a letter, and those for whose likeliest language the calibrated
+    score is less than half above chance (at most 0.5, so that of two or three languages one has to be less likely than not).
+    Where there is no lang to learn from, all with a letter stay."""
     model = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
-    return langid.predict(docs, model, *docs.columns).filter("lang_pred <> 'und'").select(docs.columns)
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = F.col("score") >= min(0.5, 1.5 / len(model.labels))
+    return langid.predict(docs, model, *docs.columns).filter((F.col("lang_pred") != "und") & told).select(docs.columns)
 
 
 @_stage

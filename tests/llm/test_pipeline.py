@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline as p
 from augsearch.llm.common import written
+from augsearch.llm.langid import FEATURES, LanguageModel
 from tests.llm import brute
 from tests.llm.test_ngram_join import shingles
 from tests.llm.test_packing import check as check_packing
@@ -49,3 +52,17 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (True, 0)]
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert p.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_language_stage(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "what", None, "a", 4), (-2, "12", None, "a", 2)], docs.schema)
+    known = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    # nothing to learn from: what has a letter stays
+    blank = docs.union(odd).withColumn("lang", p.F.lit(None).cast("string"))
+    assert {r.doc_id for r in p.language_id(spark, blank, sf_dir).collect()} == known | {-1}
+    # the calibrated score decides: with logits (x, 0, 0, 0) it is 0.25 for x = 0 and 0.475 for x = 1
+    for x, stay in ((0.0, set()), (1.0, known)):
+        model = LanguageModel(list("abcd"), np.zeros((4, FEATURES), np.float32), np.array([x, 0, 0, 0]), 1.0)
+        monkeypatch.setattr(p.langid, "fit", lambda *_, model=model: model)
+        assert {r.doc_id for r in p.language_id(spark, docs, sf_dir).collect()} == stay
