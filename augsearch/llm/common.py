@@ -77,13 +77,21 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def _qualified(spark: SparkSession, path: str, encoded: bool = False) -> str:
+    """The path as Hadoop writes it in full: scheme, authority, absolute path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if encoded else jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def discard(paths: list[str], still_read: DataFrame) -> list[str]:
-    """Deletes the paths that still_read doesn't read; returns the others."""
-    files, kept = still_read.inputFiles(), []
-    spark = still_read.sparkSession
+    """Deletes the paths that still_read doesn't read; returns the others. Nothing else may be about to read them."""
+    kept, spark = [], still_read.sparkSession
+    folders = {_qualified(spark, f, encoded=True) for f in {f.rpartition("/")[0] for f in still_read.inputFiles()}}
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in paths:
-        if any(f.startswith(path) for f in files):
+        table = _qualified(spark, path)
+        if any(f == table or f.startswith(f"{table}/") for f in folders):
             kept.append(path)
         else:
             at = hadoop.Path(path)

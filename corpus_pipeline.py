@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 
 from augsearch.llm import common, exact_dedup, langid, ngram_join, packing, suffix_dedup
 
-#: Tables of stages that are done; the next stage deletes those that its documents aren't read from.
-_done: list[str] = []
-
-
 def _stage(f):
+    """A stage deletes those of its own tables that its result doesn't read. The others stay for as long as the result may be read: run() deletes
+    them once it has written the result; who calls stages alone has to clear spark.checkpoint.dir."""
+
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _done[:] = common.discard(_done, docs)
         first = len(common.TABLES)
         out = f(spark, docs, sf_dir)
-        _done.extend(common.TABLES[first:])
+        common.TABLES[first:] = common.discard(common.TABLES[first:], out)
         return out
 
     return run_stage
@@ -83,9 +81,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = len(common.TABLES)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.written(docs, name.replace(" ", "-"))
-            _done.append(common.TABLES[-1])
+            common.TABLES[first:] = common.discard(common.TABLES[first:], docs)
     return docs

@@ -1,9 +1,10 @@
+import os
 import re
 
 import numpy as np
 
 import corpus_pipeline as p
-from augsearch.llm.common import written
+from augsearch.llm.common import discard, written
 from augsearch.llm.langid import FEATURES, LanguageModel
 from tests.llm import brute
 from tests.llm.test_ngram_join import shingles
@@ -66,3 +67,18 @@ def test_language_stage(spark, sf_dir, monkeypatch):
         model = LanguageModel(list("abcd"), np.zeros((4, FEATURES), np.float32), np.array([x, 0, 0, 0]), 1.0)
         monkeypatch.setattr(p.langid, "fit", lambda *_, model=model: model)
         assert {r.doc_id for r in p.language_id(spark, docs, sf_dir).collect()} == stay
+
+
+def test_tables_that_are_read_stay(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for folder in (f"{tmp_path}/a b", f"file:{tmp_path}/c", f"file://{tmp_path}/d"):
+        kept, gone = f"{folder}/kept", f"{folder}/gone"
+        for path in (kept, gone):
+            docs.write.parquet(path)
+        df = spark.read.parquet(kept)
+        assert discard([kept, gone], df) == [kept] and df.count() == 60
+        assert not os.path.exists(gone.removeprefix("file:").replace("///", "/"))
+    # a stage called before an earlier result is read leaves what that result reads
+    early = p.near(spark, docs, sf_dir)
+    p.exact(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert 0 < early.count() <= 60
