@@ -7,27 +7,51 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are worked on in slices of about this many bytes.
 SLICE_BYTES = 8 << 20
-#: Paths that scratch has given out.
-TABLES: list[str] = []
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """Collects the paths that scratch gives out inside, so that whoever opened it can delete them. What is still listed at the end
+    belongs to the next one out."""
+    outer, paths = _OWNER.get(), []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
+        if outer is not None:
+            outer.extend(paths)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all machines of a cluster share. Only a session of one machine may leave that unset."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not base:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = f"file://{tempfile.gettempdir()}/augsearch-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    TABLES.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (owner := _OWNER.get()) is not None:
+        owner.append(path)
     return path
 
 
@@ -38,6 +62,16 @@ def written(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 << 20)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the names c0, c1 ..., so that no name clashes and Python functions take any; toDF(*df.columns) undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def n_tasks(spark: SparkSession, least: int = 1) -> int:
     """Tasks that a shuffle deals its rows to: the session's setting, never fewer than least."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, n_tasks, record_batches, slices, written
+from augsearch.llm.common import columns, documents, n_tasks, record_batches, slices, written
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: The directory has at most 2^MAX_DEPTH slots (24 bytes each where it is broadcast).
@@ -187,13 +187,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, any columns, that stay."""
-    found = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    rows = docs.withColumn("text_sha256", sha)
-    stay = rows.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha")), "left_semi")
-    same = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (stay if same else stay.dropDuplicates(["doc_id", "text_sha256"])).select(docs.columns)
+    """The rows of docs, any columns of any names, that stay; of repeated rows (same doc_id and text) one, whichever."""
+    key = ["id", "none", "sha"]
+    found = exact_dedup(docs, **options).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("none"), F.unhex("text_sha256").alias("sha"))
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), F.isnull(doc_id).alias("none"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), F.struct(*columns(docs)).alias("row"))
+    # the join leaves equal keys side by side, so repeats go without another shuffle
+    return rows.join(found, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, slices
+from augsearch.llm.common import documents, numbered, slices
 from augsearch.llm.linear import Ftrl, Rows, softmax, step, temperature
 
 BITS, ORDERS = 16, 3
@@ -166,6 +166,20 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("text of the prediction")).mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
 
+def confident(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs, any columns of any names, whose text has a language by a score of at least that."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    rows = numbered(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, f"c{at}", 2 << 20):
+                lang, score = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

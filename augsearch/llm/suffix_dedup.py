@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, freed, n_tasks, slices, written
+from augsearch.llm.common import documents, freed, n_tasks, numbered, slices, written
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a sampled suffix starts at most this far into a string
@@ -257,8 +257,8 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(change, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _marked(docs: DataFrame, chunk: int) -> DataFrame:
-    """docs (doc_id, th, text, ...) with the columns ats and masks: what to remove, null for nothing."""
+def _marks(docs: DataFrame, chunk: int) -> DataFrame:
+    """docs: doc_id, th (the hash of the text), text -> doc_id, th, ats, masks: what to remove, for documents that lose anything."""
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null").select("doc_id", "th", "text")
     # a copy of a smaller document goes whole, so buckets that only copies of one text share need no sorting
@@ -275,34 +275,34 @@ def _marked(docs: DataFrame, chunk: int) -> DataFrame:
     dealt = contexts.repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at int, mask long"), "marks")
     freed(spark)
-    by_doc = marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
-    return docs.join(by_doc, ["doc_id", "th"], "left")
+    return marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
 
 
 def suffix_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end, begin, end ... of what goes)."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return _marked(docs, chunk).select("doc_id", "ats", "masks", "text").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    marked = docs.join(_marks(docs, chunk), ["doc_id", "th"], "left")
+    return marked.select("doc_id", "ats", "masks", "text").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def without_repeats(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """docs, any columns, with what is left of each text; a character that loses some of its bytes goes whole."""
-    names = docs.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """docs, any columns of any names, with what is left of each text; a character that loses some of its bytes goes whole."""
+    at, rows = docs.columns.index("text"), numbered(docs)
+    names = rows.columns
+    doc, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{at}").cast("string")
+    hashed = rows.withColumns({"doc_id": doc, "th": F.xxhash64(text)})
+    marks = _marks(hashed.select("doc_id", "th", text.alias("text")), chunk)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
-                ats, masks = b.column(0).to_pylist(), b.column(1).to_pylist()
-                columns = dict(zip(names, b.columns[2:]))
-                raw = [None if t is None else np.frombuffer(t, np.uint8) for t in columns["text"].cast(pa.binary()).to_pylist()]
-                left = [None if t is None else t[~_gone(at, mask, t)].tobytes().decode("utf-8", "ignore") for at, mask, t in zip(ats, masks, raw)]
-                columns["text"] = pa.array(left, pa.string())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
-
-    marked = _marked(docs.withColumn("th", F.xxhash64("text")), chunk)
-    return marked.select("ats", "masks", *names).mapInArrow(run, ddl)
+            for b in slices(whole, f"c{at}", 1 << 20):
+                gone = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+                raw = [None if t is None else np.frombuffer(t, np.uint8) for t in b.column(at).cast(pa.binary()).to_pylist()]
+                left = [None if t is None else t[~_gone(*g, t)].tobytes().decode("utf-8", "ignore") for g, t in zip(gone, raw)]
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-2])], names=names)
+
+    return hashed.join(marks, ["doc_id", "th"], "left").select(*names, "ats", "masks").mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 import corpus_pipeline as p
+from augsearch.llm import common
 from augsearch.llm.common import discard, written
 from augsearch.llm.langid import FEATURES, LanguageModel
 from tests.llm import brute
@@ -82,3 +83,30 @@ def test_tables_that_are_read_stay(spark, sf_dir, tmp_path):
     early = p.near(spark, docs, sf_dir)
     p.exact(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
     assert 0 < early.count() <= 60
+
+
+CLASHES = ["score", "lang_pred", "text of the prediction", "kept_id", "kept_sha", "text_sha256", "ats", "masks", "th", "id", "none", "sha", "row", "of", "of th", "component_id", "n", "token", "a.b", "back`tick", "TEXT_"]
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Every stage returns extra columns as they are, whatever their names."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
+    wide = plain.select("*", *[p.F.concat(p.F.lit(c), p.F.col("doc_id")).alias(c) for c in CLASHES])
+    for name, stage in p.STAGES[:-1]:
+        want, got = stage(spark, plain, sf_dir).collect(), stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert sorted(tuple(r)[:5] for r in rows) == sorted(map(tuple, want)), name
+        assert all(r[5 + i] == f"{c}{r[0]}" for r in rows for i, c in enumerate(CLASHES)), name
+    assert sorted(map(tuple, p.packed(spark, wide, sf_dir).collect())) == sorted(map(tuple, p.packed(spark, plain, sf_dir).collect()))
+
+
+def test_results_outlive_other_runs(spark, sf_dir, tmp_path, monkeypatch):
+    """Whatever form the shared folder's path has."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = set()
+    for folder in (f"{tmp_path}/x", f"file:{tmp_path}/y", f"file://{tmp_path}/z"):
+        monkeypatch.setattr(common, "shared_folder", lambda _, folder=folder: folder)
+        first, second = p.run(spark, str(tmp_path)), p.run(spark, str(tmp_path))
+        counts |= {first.count(), second.count()}
+    assert len(counts) == 1 and counts.pop() > 0
