@@ -105,10 +105,9 @@ def freed(spark: SparkSession) -> None:
 
     Spark's cleaner follows the collector of the driver's JVM, which alone runs too seldom to keep disks free.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def _qualified(spark: SparkSession, path: str, encoded: bool = False) -> str:

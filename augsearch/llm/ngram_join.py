@@ -1,19 +1,21 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
 1. A scan hashes each whole text's shingles. Documents of equal sets become one class under their least doc_id; classes
-   alone go on. It also keeps, for each class, min-hashes and a token bitmap as wide as its set is large, and counts
-   tokens that many documents of a task share.
-2. Classes that share a band of min-hashes are compared with two leaders of their group. This joins families of near
-   copies with a number of comparisons in proportion to their size.
-3. Whatever links are left between components are found without loss. In one order of all tokens, frequent ones
-   last, two linked sets share a token among the first fifth of each (prefix filter). The classes under a token
-   that more than one component has are the leaves of a signature tree: nodes hold the OR of token bitmaps, size
-   ranges and components. Pairs of nodes are traversed from the top, and a pair is dropped when its largest possible overlap is
-   too small, its sizes are too far apart, or all of it is one component. Up to LEAF classes are one leaf, compared pair by pair.
-4. Remaining pairs are compared exactly, and all links joined to components.
-
-The frequency of tokens decides their order alone, so it bears on cost and never on results. Candidates are read from
-the documents through a Bloom filter of fixed size, so that sets of other documents are never stored or shuffled.
+   alone go on.
+2. In one order of all tokens, frequent ones last, two linked sets share a token among the first fifth of each (prefix
+   filter). Classes that such tokens connect are a *neighbourhood*; no link leaves one. These are the top of the hierarchy.
+3. Below it are signature trees. Classes in order of neighbourhood are dealt to blocks, and each block is the leaves of a
+   tree: a leaf holds the bitmap of its set, over the tokens that more than one leaf has, a node the OR of its
+   children's, and the range of their sizes. Pairs of nodes are traversed from the top, and a pair is dropped when its largest
+   possible overlap is too small, its sizes are too far apart, it has no neighbourhood in common, or all of it is one component
+   already. Bitmaps of leaves are exact, so what is left at the bottom are links.
+4. Neighbourhoods of several blocks go on: a few members of each component are the leaves of new trees until that joins nothing more. Then all their
+   classes, in order of component, are dealt to blocks anew, and the trees of any two blocks that share a token of the prefix
+   between different components are traversed against each other. A hot neighbourhood is so spread over pairs of blocks, each of bounded size.
+
+The frequency of tokens decides their order alone, so it bears on cost and never on results. Sets are read from
+the documents through a Bloom filter of fixed size, so that sets of documents without a neighbour are neither stored nor shuffled; with
+more ids than the filter holds, more sets are stored, and results stay the same.
 
 Defined results: texts that are null or have no word have n_shingles 0 and are linked with nothing; rows of a repeated
 doc_id are one node; rows with a null doc_id are returned unlinked; an empty table gives no rows; extra columns are ignored.
@@ -26,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, freed, slices, written
+from augsearch.llm.common import documents, freed, n_tasks, slices, written
 from augsearch.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-BANDS, ROWS = 8, 3
-BLOCK, LEAF = 512, 16
+#: Leaves of a block, and children of a node.
+BLOCK, FAN = 512, 16
+#: A block ends before it has this many tokens; a set larger than that is a block of its own.
+BLOCK_TOKENS = 1 << 20
 #: A token is common when this many documents have it in their prefix by hash; such tokens come late in the order.
 COMMON = 3
 #: A token is frequent when at least one document in this many has it.
@@ -47,7 +52,6 @@ _LOWER = np.array([0 if b == 32 or 9 <= b <= 13 else (b + 33 if 65 <= b <= 90 el
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _K = np.random.default_rng(91).integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIN = np.random.default_rng(92).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,24 +96,18 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         return out
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Bits at the low bits of the tokens; four to eight bits for a token, 64 at least."""
-    bits = np.zeros(max(64, 4 << (max(1, len(tokens)) - 1).bit_length()), np.uint8)
-    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _texts(batches: Iterator[pa.RecordBatch]):
     for whole in batches:
         for b in slices(whole, "text", 1 << 20):
             yield b.column(0).to_pylist(), [t or b"" for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
 
 
-_SCAN = pa.schema([("frequent", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+_SCAN = pa.schema([("frequent", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document; then a row per token that many documents of the task have (doc_id: the token, n: how many)."""
+def _scan(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """A row per document, with the prefix of its set by hash; then a row per token that many documents of the task have (doc_id: the token, n: how many)."""
+    none = np.zeros(0, np.uint64)
     seen: list[np.ndarray] = []
     docs = held = 0
     often: dict[int, int] = {}
@@ -129,11 +127,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, tokens in zip(ids, shingle_sets(texts)):
                 docs += 1
                 if not len(tokens):
-                    rows.append((False, doc_id, 0, None, None, None))
+                    rows.append((False, doc_id, 0, None, None))
                     continue
-                least = np.multiply.outer(_MIN, tokens).min(1).reshape(BANDS, ROWS)
-                bands = _mix((least * _K[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((False, doc_id, len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), bands.view(np.int64), bitmap(tokens)))
+                rows.append((False, doc_id, len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), prefix(tokens, none, None, percent).view(np.int64)))
                 seen.append(tokens)
                 held += len(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCAN)], schema=_SCAN)
@@ -143,8 +139,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     items = list(often.items())
     for i in range(0, len(items), 10_000):
         t, n = zip(*items[i : i + 10_000])
-        none = [None] * len(t)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([True] * len(t), t, n, none, none, none), _SCAN)], schema=_SCAN)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([True] * len(t), t, n, [None] * len(t), [None] * len(t)), _SCAN)], schema=_SCAN)
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray, common: Bloom | None, percent: int) -> np.ndarray:
@@ -198,210 +193,307 @@ def _sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return written(docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(run, "doc_id long, n long, tokens binary"), name)
 
 
-def _near(percent: int):
-    """Of pairs with both sets those that are near enough."""
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each sorted set a bitmap over the tokens that more than one of them has."""
+    tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count > 1
+    words = max(1, -(-int(shared.sum()) // 64))
+    keep = shared[column]
+    row, at = np.repeat(np.arange(len(sets)), sizes)[keep], (np.cumsum(shared) - 1)[column[keep]]
+    out = np.zeros((len(sets), words), np.uint64)
+    if len(at):
+        word = row * words + (at >> 6)  # ascending, since the sets are sorted
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out.ravel()[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+    return out
 
-    return run
 
+class Tree:
+    """levels[0] are the leaves; nodes are (bitmap, least and most size, least and most neighbourhood)."""
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
-    """pairs: a, b (a table). The links among them."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _sets_of(docs, ids, f"{name}-sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    # sizes first, so that pairs of no hope carry no set
-    sizes = one.select("a", "n_a"), two.select("b", "n_b")
-    fit = (100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b")
-    kept = pairs.join(sizes[0], "a").join(sizes[1], "b").filter(fit).select("a", "b").distinct()
-    return written(kept.join(one, "a").join(two, "b").filter(fit).select("a", "b", "x", "y").mapInArrow(_near(percent), "a long, b long").distinct(), f"{name}-links")
-
-
-class _Tree:
-    """The members of a block as leaves of a signature tree."""
-
-    def __init__(self, rows: list[dict], words: int):
-        self.doc = np.array([r["doc_id"] for r in rows], np.int64)
-        self.comp = np.array([r["comp"] for r in rows], np.int64)
-        self.n = np.array([r["n"] for r in rows], np.int64)
-        self.bits = np.stack([self.folded(np.frombuffer(r["bitmap"], np.uint64), words) for r in rows])
-        self.pop = np.bitwise_count(self.bits).sum(1).astype(np.int64)
-        self.levels = []  # of nodes: bits, least and most n, least pop, least and most comp, and where each node's children begin
-        node = (self.bits, self.n, self.n, self.pop, self.comp, self.comp)
+    def __init__(self, bits: np.ndarray, n: np.ndarray, near: np.ndarray):
+        node = (bits, n, n, near, near)
+        self.levels = [node]
         while len(node[1]) > 1:
-            cuts = np.arange(0, len(node[1]), LEAF)
-            node = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.minimum, np.minimum, np.maximum), node))
+            cuts = np.arange(0, len(node[1]), FAN)
+            node = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum), node))
             self.levels.append(node)
-        self.levels = [(self.bits, self.n, self.n, self.pop, self.comp, self.comp), *self.levels]
 
-    @staticmethod
-    def folded(words: np.ndarray, to: int) -> np.ndarray:
-        """Fewer bits: a bit stands for all that share its low bits."""
-        return np.bitwise_or.reduce(words.reshape(-1, to), axis=0)
 
-
-def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether nodes i of x and j of y may hold a link between components."""
-    bits, least_n, most_n, least_pop, low, high = range(6)
-    ok = (100 * x[most_n][i] >= percent * y[least_n][j]) & (100 * y[most_n][j] >= percent * x[least_n][i])
-    ok &= ~((x[low][i] == x[high][i]) & (y[low][j] == y[high][j]) & (x[low][i] == y[low][j]))
-    out = ok.copy()
-    at = np.flatnonzero(ok)
+def possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether nodes i of x and j of y may hold a link; exact for leaves."""
+    bits, least, most, low, high = range(5)
+    out = (100 * x[most][i] >= percent * y[least][j]) & (100 * y[most][j] >= percent * x[least][i])
+    out &= (x[low][i] <= y[high][j]) & (y[low][j] <= x[high][i])
+    at = np.flatnonzero(out)
     for part in np.array_split(at, max(1, len(at) * x[bits].shape[1] // (1 << 20) + 1)):
-        i_, j_ = i[part], j[part]
-        common = np.bitwise_count(x[bits][i_] & y[bits][j_]).sum(1).astype(np.int64)
-        # a set bit of one that the other lacks is a token of one alone
-        overlap = np.minimum(x[most_n][i_] - np.maximum(0, x[least_pop][i_] - common), y[most_n][j_] - np.maximum(0, y[least_pop][j_] - common))
-        least = x[least_n][i_] + y[least_n][j_]
-        out[part] = (100 + percent) * overlap >= percent * least
+        a, b = i[part], j[part]
+        overlap = np.bitwise_count(x[bits][a] & y[bits][b]).sum(1).astype(np.int64)
+        overlap = np.minimum(overlap, np.minimum(x[most][a], y[most][b]))
+        out[part] = (100 + percent) * overlap >= percent * (x[least][a] + y[least][b])
     return out
 
 
-def traverse(one: _Tree, two: _Tree | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members that may be linked; two is None: within one."""
-    other = two or one
+def _children(i: np.ndarray, j: np.ndarray, one: Tree, two: Tree, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of this level below pairs of the level above it. A tree that is less high waits at its root."""
+    a, b = ((k[:, None] * FAN + np.arange(FAN)) if level < len(tree.levels) - 1 else k[:, None] for k, tree in ((i, one), (j, two)))
+    i, j = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
+    inside = (i < len(_level(one, level)[1])) & (j < len(_level(two, level)[1]))
+    return i[inside], j[inside]
+
+
+def _level(tree: Tree, level: int) -> tuple:
+    return tree.levels[min(level, len(tree.levels) - 1)]
+
+
+def traverse(one: Tree, two: Tree | None, comp: np.ndarray, percent: int, together: int = 32) -> Iterator[tuple[int, int]]:
+    """Links that join components, as pairs of leaves; two is None: within one. comp has the component of each leaf of one, then of two, and is updated."""
+    other, offset = two or one, 0 if two is None else len(one.levels[0][1])
     depth = max(len(one.levels), len(other.levels))
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for level in range(depth - 1, -1, -1):
-        x, y = one.levels[min(level, len(one.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
-        if level < depth - 1:
-            spread = lambda k, tree: (k[:, None] * LEAF + np.arange(LEAF)) if level < len(tree.levels) - 1 else k[:, None]
-            a, b = spread(i, one), spread(j, other)
-            i, j = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
-            inside = (i < len(x[1])) & (j < len(y[1]))
-            i, j = i[inside], j[inside]
+    for level in range(depth - 2, 0, -1):
+        i, j = _children(i, j, one, other, level)
         if two is None:
-            up = i <= j if level else i < j
-            i, j = i[up], j[up]
-        ok = _possible(x, i, y, j, percent)
+            i, j = i[i <= j], j[i <= j]
+        ok = possible(_level(one, level), i, _level(other, level), j, percent)
         i, j = i[ok], j[ok]
-    different = one.comp[i] != other.comp[j]
-    return one.doc[i[different]], other.doc[j[different]]
+    if two is None:  # what is near in the order first
+        order = np.argsort(j - i, kind="stable")
+        i, j = i[order], j[order]
+    up = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for k in range(0, len(i), together):
+        a, b = (i[k : k + together], j[k : k + together])
+        if depth > 1:
+            a, b = _children(a, b, one, other, 0)
+        some = comp[a] != comp[b + offset]
+        if two is None:
+            some &= a < b
+        a, b = a[some], b[some]
+        ok = possible(one.levels[0], a, other.levels[0], b, percent)
+        grown = False
+        for x, y in zip(a[ok].tolist(), (b[ok] + offset).tolist()):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                grown = True
+                yield x, y
+        if grown:
+            distinct, inverse = np.unique(comp, return_inverse=True)
+            comp[:] = np.array([root(c) for c in distinct.tolist()], np.int64)[inverse]
 
 
-def _hopeful(percent: int):
-    """Of pairs with both bitmaps those whose largest possible overlap is enough."""
+def links_of(docs: np.ndarray, near: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], first: int | None, percent: int) -> list[tuple[int, int]]:
+    """Links among the leaves, or, where `first` is given, between the first so many and the others: pairs of doc_ids."""
+    bits, n, comp = bitmaps(sets), np.array([len(x) for x in sets], np.int64), comp.copy()
+    if first is None:
+        found = traverse(Tree(bits, n, near), None, comp, percent)
+    else:
+        found = traverse(Tree(bits[:first], n[:first], near[:first]), Tree(bits[first:], n[first:], near[first:]), comp, percent)
+    return [(int(docs[x]), int(docs[y])) for x, y in found]
 
-    def run(batches):
+
+_LEAF = "near long, comp long, doc_id long, n long, tokens binary"
+
+
+def _leaves(b: pa.RecordBatch) -> tuple:
+    near, comp, docs, n = (np.asarray(b.column(k)) for k in range(4))
+    return near, comp, docs, n, [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
+
+
+def _in_blocks(work, block: int, most: int):
+    """work: (number of a block, its leaves) -> batches. Leaves come in order; a block ends between neighbourhoods once it is half full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, rows, tokens, last = TaskContext.get().partitionId() << 32, [], 0, 0, None
         for b in batches:
-            keep = []
-            for n_a, n_b, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                words = min(len(x), len(y)) // 8
-                x, y = (_Tree.folded(np.frombuffer(v, np.uint64), words) for v in (x, y))
-                overlap = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
-                keep.append((100 + percent) * overlap >= percent * (n_a + n_b))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+            start = 0
+            for k, (near, n) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                half = near != last and (2 * rows >= block or 2 * tokens >= most)
+                if rows and (half or rows >= block or tokens + n > most):
+                    held.append(b.slice(start, k - start))
+                    yield from work(number, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    number, held, start, rows, tokens = number + 1, [], k, 0, 0
+                rows, tokens, last = rows + 1, tokens + n, near
+            held.append(b.slice(start))
+        if rows:
+            yield from work(number, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
-def _candidates(percent: int):
-    def run(batches):
+def _linked(percent: int):
+    """Work on a block: its links (a, b), then its members (doc_id, neighbourhood, block)."""
+
+    def work(number: int, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        near, comp, docs, _, sets = _leaves(b)
+        found = links_of(docs, near, comp, sets, None, percent) if b.num_rows > 1 else []
+        x, y = (list(c) for c in zip(*found)) if found else ([], [])
+        none = [None] * len(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(x + none, pa.int64()), pa.array(y + none, pa.int64()), pa.array([None] * len(x) + docs.tolist(), pa.int64()), pa.array([None] * len(x) + near.tolist(), pa.int64()), pa.array([None] * len(x) + [number] * len(docs), pa.int64())], names=["a", "b", "doc_id", "near", "block"])
+
+    return work
+
+
+def _tiled(number: int, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), *b.columns], names=["block", *b.schema.names])
+
+
+def _across(percent: int):
+    """Rows of pairs of blocks (i, j, side, leaf), in order -> links between the blocks, or within the block where i = j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done():
+            if now is None:
+                return
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            near, comp, docs, _, sets = _leaves(b.select(["near", "comp", "doc_id", "n", "tokens"]))
+            first = int((np.asarray(b.column(2)) == 0).sum())
+            found = links_of(docs, near, comp, sets, None if now[0] == now[1] else first, percent) if b.num_rows > 1 else []
+            if found:
+                x, y = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
         for b in batches:
-            for k in range(b.num_rows):
-                one, two = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                words = min(len(r["bitmap"]) for r in (*one, *(two or ()))) // 8
-                first, second = traverse(_Tree(one, words), _Tree(two, words) if two else None, percent)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                pair = tuple(keys[start].tolist())
+                if pair != now:
+                    yield from done()
+                    now, held = pair, []
+                held.append(b.slice(start, stop - start))
+        yield from done()
 
     return run
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _step(percent: int) -> Column:
+    """Sets whose steps differ by more than one can't be linked."""
+    return F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+
+
+def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, links: DataFrame, percent: int, block: int, most: int) -> DataFrame:
+    """The links that neighbourhoods of several blocks still lack. members: doc_id, near, block."""
+    spark = sets.sparkSession
+    several = members.groupBy("near").agg(F.count_distinct("block").alias("blocks")).filter("blocks > 1").select("near")
+    members = written(members.select("doc_id", "near").distinct().join(several, "near"), "crossing")
+    left, count = members, None
+    while True:
+        if left.isEmpty():
+            return links
+        comp = components(links, "crossing-components").withColumnRenamed("node", "doc_id")
+        state = written(left.join(comp, "doc_id", "left").select("doc_id", "near", F.coalesce("component", "doc_id").alias("comp")), "crossing-state")
+        open_ = state.groupBy("near").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1")
+        left = written(state.join(open_.select("near"), "near").select("doc_id", "near", "comp"), "crossing-open")
+        now = open_.agg(F.sum("comps")).first()[0] or 0
+        if not now or (count is not None and now > 0.9 * count):
+            break
+        count = now
+        # a few members of each component stand for it
+        some = left.join(sets.select("doc_id", "n").distinct(), "doc_id").groupBy("near", "comp")
+        some = some.agg(F.array_distinct(F.array(F.min("doc_id"), F.max_by("doc_id", F.xxhash64("doc_id")), F.min_by("doc_id", "n"), F.max_by("doc_id", "n"))).alias("docs"))
+        leaves = some.select("near", "comp", F.explode("docs").alias("doc_id")).join(sets, "doc_id")
+        found = _dealt(leaves.withColumn("step", _step(percent)), "near", "step", "n", "doc_id").mapInArrow(_in_blocks(_linked(percent), block, most), "a long, b long, doc_id long, near long, block long")
+        links = written(links.union(found.filter("a is not null").select("a", "b")), "crossing-links")
+        left = left.drop("comp")
+    if not now:
+        return links
+    first = postings.groupBy("doc_id").agg(F.min("token").alias("first"))
+    leaves = left.join(sets, "doc_id").join(first, "doc_id").withColumn("step", _step(percent))
+    tiles = _dealt(leaves, "near", "comp", "step", "first", "doc_id").mapInArrow(_in_blocks(_tiled, block, most), f"block long, {_LEAF}")
+    tiles = written(tiles, "crossing-tiles")
+    ends = postings.select("token", "doc_id").join(tiles.select("doc_id", "block", "near", "comp", "n"), "doc_id")
+    ends = ends.groupBy("token", "near", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (ends.select("token", "near", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high", "least", "most")]) for k in "12")
+    differ = "block_1 <= block_2 and not (low_1 = high_1 and low_2 = high_2 and low_1 = low_2)"
+    pairs = one.join(two, ["token", "near"]).filter(differ).filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
+    pairs = written(pairs.select(F.col("block_1").alias("i"), F.col("block_2").alias("j")).distinct(), "crossing-pairs")
+    freed(spark)
+    sides = pairs.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.filter("i < j").select("i", "j", F.lit(1), "j"))
+    rows = sides.join(tiles, "block").select("i", "j", "side", "near", "comp", "doc_id", "n", "tokens")
+    rows = rows.repartition(n_tasks(spark), "i", "j").sortWithinPartitions("i", "j", "side", "near", "comp", "n", "doc_id")
+    return links.union(written(rows.mapInArrow(_across(percent), "a long, b long").distinct(), "crossing-found"))
+
+
+def _dealt(leaves: DataFrame, *order: str) -> DataFrame:
+    """The leaves in ranges of the order."""
+    return leaves.repartitionByRange(n_tasks(leaves.sparkSession), *order).sortWithinPartitions(*order).select("near", "comp", "doc_id", "n", "tokens")
+
+
+def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n), equal sets (a, b) and links found in trees (a, b): enough of them to tell the components."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = written(docs.mapInArrow(_scan, "frequent boolean, doc_id long, n long, key binary, bands array<long>, bitmap binary"), "shingles")
+    scan = written(docs.mapInArrow(lambda batches: _scan(batches, percent), "frequent boolean, doc_id long, n long, key binary, prefix array<long>"), "shingles")
     rows = scan.filter("not frequent").drop("frequent")
     sets = rows.filter("key is not null and doc_id is not null")
     n_docs = sets.count()
     # at most (shingles of a document on average) * FREQUENT tokens can be this frequent
     frequent = scan.filter("frequent").groupBy("doc_id").agg(F.sum("n").alias("n")).filter(F.col("n") * FREQUENT >= n_docs).select("doc_id").toArrow().column(0)
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(frequent).astype(np.int64).view(np.uint64)))
+    often = written(sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON).select("token"), "common")
+    common = spark.sparkContext.broadcast(Bloom(often, "token", often.count()))
+    freed(spark)
     # classes of equal sets
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = written(sets.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep").distinct(), "members")
-    reps = sets.join(classes.withColumnRenamed("key", "rep_key"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("rep_key")))
-    reps = written(reps.dropDuplicates(["doc_id", "key"]).select("doc_id", "n", "bands", "bitmap"), "classes")
-
-    # families of near copies
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min("doc_id").alias("first"), F.max_by("doc_id", F.xxhash64("doc_id")).alias("any"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    pairs = banded.join(leaders, ["band", "value"]).select("doc_id", F.explode(F.array("first", "any")).alias("leader")).filter("doc_id <> leader")
-    pairs = written(pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "family-pairs")
-    same = members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = _verified(docs, pairs, percent, "family").union(same)
-    joined = written(components(links, "families"), "families")
-    freed(spark)
+    equal = written(sets.select("doc_id", "key").join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    # links between components, by the prefix filter: first which tokens of the prefixes by hash alone have COMMON documents
-    def prefixes(common):
-        def run(batches):
-            for ids, texts in _texts(batches):
-                sets = shingle_sets(texts)
-                found = [prefix(x, frequent.value, common and common.value, percent) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets]), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _texts(batches):
+            found = [prefix(x, frequent.value, common.value, percent).view(np.int64) for x in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+
+    known = docs.filter("doc_id is not null")
+    prefixed = written(known.mapInArrow(prefixes, "doc_id long, tokens array<long>").filter("size(tokens) > 0").join(reps, "doc_id"), "prefixes")
+    # tokens that more than one class has, each with the least of them
+    by_token = prefixed.select(F.explode("tokens").alias("token"), "doc_id").groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = written(by_token.filter("least < most").select("token", "least"), "shared-tokens")
+    freed(spark)
+    bloom = spark.sparkContext.broadcast(Bloom(shared, "token", shared.count()))
 
-        return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, tokens array<long>").filter("n > 0")
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = np.asarray(b.column(1).flatten())
+            ok = bloom.value.has(tokens.view(np.uint64))
+            doc = np.repeat(np.asarray(b.column(0)), np.asarray(b.column(1).value_lengths()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(tokens[ok])], names=["doc_id", "token"])
 
-    often = written(prefixes(None).select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON).select("token"), "common")
+    postings = written(prefixed.mapInArrow(hopeful, "doc_id long, token long").join(shared, "token"), "postings")
     freed(spark)
-    common = spark.sparkContext.broadcast(Bloom(often, "token", often.count()))
-    labelled = reps.select("doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    posted = prefixes(common).join(labelled, "doc_id").select(F.explode("tokens").alias("token"), "doc_id", "n", "comp")
-    by_token = Window.partitionBy("token")
-    shared = posted.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token), "docs": F.count("*").over(by_token)}).filter("low < high").drop("low", "high")
-    shared = written(shared, "shared-tokens")
-    freed(spark)
-    bitmaps = reps.select("doc_id", "n", "bitmap")
-
-    # a few documents under a token are one leaf: its pairs, each once for all tokens that it shares
-    member = F.struct("doc_id", "n", "comp")
-    leaf = shared.filter(F.col("docs") <= LEAF).groupBy("token").agg(F.collect_list(member).alias("rows"))
-    leaf = leaf.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y")).filter("x.doc_id < y.doc_id and x.comp <> y.comp")
-    leaf = leaf.filter((100 * F.least("x.n", "y.n")) >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    one, two = (bitmaps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bits_{k}")) for k in "ab")
-    leaf = leaf.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_hopeful(percent), "a long, b long")
-
-    # more of them are the leaves of trees, one for each block
-    sized = shared.filter(F.col("docs") > LEAF).select("token", "doc_id", "n", "comp").distinct()
-    # a block holds sets of about one size, so that their bitmaps are about equally wide
-    sized = sized.withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    nth = F.floor((F.row_number().over(Window.partitionBy("token", "step").orderBy("comp", "n", "doc_id")) - 1) / BLOCK)
-    placed = sized.withColumn("block", F.struct("step", nth.alias("nth"))).select("token", "block", "doc_id", "n", "comp")
-    # bitmaps join last, so that they are shuffled once
-    blocks = placed.join(bitmaps, ["doc_id", "n"]).groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "comp", "n", "bitmap")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    blocks = written(blocks, "blocks")
-    freed(spark)
-    alone = blocks.filter("low < high").select(F.col("rows").alias("one"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("two"))
-    # pairs of blocks by their ends alone, then with their rows
-    ends = blocks.drop("rows")
-    left, right = (ends.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most", "low", "high")]) for k in ("1", "2"))
-    across = left.join(right, "token").filter("block_1 < block_2 and not (low_1 = high_2 and high_1 = low_2)").filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1"))).select("token", "block_1", "block_2")
-    one, two = (blocks.select("token", F.col("block").alias(f"block_{k}"), F.col("rows").alias(f"rows_{k}")) for k in ("1", "2"))
-    across = across.join(one, ["token", "block_1"]).join(two, ["token", "block_2"])
-    grown = alone.union(across.select(F.col("rows_1"), F.col("rows_2"))).mapInArrow(_candidates(percent), "a long, b long").filter("a <> b")
-    found = written(leaf.union(grown).distinct(), "candidates")
+    edges = postings.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    near = written(components(edges, "neighbourhoods").select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "near")
+    sets = _sets_of(docs, near.select("doc_id"), "sets")
+    # a neighbourhood that fits in a block is not parted; a larger one is in order of size and least shared token
+    large = near.groupBy("near").count().select("near", (F.col("count") > block // 2).alias("large"))
+    first = postings.groupBy("doc_id").agg(F.min("token").alias("first"))
+    placed = near.join(large, "near").join(first, "doc_id").join(sets, "doc_id").withColumn("comp", F.col("doc_id"))
+    for name, key in (("k1", _step(percent)), ("k2", F.col("first")), ("k3", F.col("doc_id"))):
+        placed = placed.withColumn(name, F.when(F.col("large"), key).otherwise(F.lit(0)).cast("long"))
+    dealt = placed.repartitionByRange(n_tasks(spark), "near", "k1", "k2", "k3").sortWithinPartitions("near", "k1", "k2", "k3", "n", "doc_id").select("near", "comp", "doc_id", "n", "tokens")
+    blocks = written(dealt.mapInArrow(_in_blocks(_linked(percent), block, most), "a long, b long, doc_id long, near long, block long"), "blocks")
     freed(spark)
-    if not found.isEmpty():
-        links = links.union(_verified(docs, found, percent, "other"))
-        joined = written(components(links, "components"), "jaccard-components")
-    linked = members.select("doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(linked, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = blocks.filter("a is not null").select("a", "b")
+    found = _crossing(sets, blocks.filter("a is null").select("doc_id", "near", "block"), postings, found, percent, block, most)
+    return rows.select("doc_id", "n"), equal, found
+
+
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    rows, equal, found = links(docs, percent, block, most)
+    joined = written(components(equal.union(found), "components"), "jaccard-components").select(F.col("node").alias("id"), "component")
+    return rows.join(joined, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from augsearch.llm import ngram_join
-from augsearch.llm.ngram_join import jaccard_join, query, shingle_sets
+from augsearch.llm.ngram_join import Tree, bitmaps, jaccard_join, links, possible, query, shingle_sets, traverse
 from tests.llm import brute
 
 
@@ -16,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def check(df, rows):
+def check(df, rows, **options):
     sets = [(i, shingles(t)) for i, t in rows]
     inverted: dict = {}
     for k, (_, s) in enumerate(sets):
@@ -29,7 +28,7 @@ def check(df, rows):
                 common[ks[a], ks[b]] = common.get((ks[a], ks[b]), 0) + 1
     links = [(sets[a][0], sets[b][0]) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a][1]) + len(sets[b][1]) - n) and None not in (sets[a][0], sets[b][0])]
     want = brute.components({i for i, _ in rows if i is not None}, links) | {None: None}
-    got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard_join(df).collect())
+    got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard_join(df, **options).collect())
     assert got == sorted(((i is None, i or 0), len(s), want[i]) for i, s in sets)
     return len(links)
 
@@ -46,10 +45,9 @@ def test_table(spark, sf_dir):
     assert check(df, [tuple(r) for r in df.collect()]) > 0
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_planted(spark, monkeypatch, block):
-    """Small blocks make many pairs of blocks."""
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("block, most", [(512, 1 << 20), (7, 1 << 20), (40, 900)])
+def test_planted(spark, block, most):
+    """Small blocks part neighbourhoods, so that trees of different blocks are compared."""
     r = random.Random(block)
     vocabulary = ["w%d" % i for i in range(400)]
     passage = " ".join(r.choices(vocabulary, k=30))
@@ -63,7 +61,11 @@ def test_planted(spark, monkeypatch, block):
     rows = [(i * 3, t) for i, t in enumerate(rows)] + [(None, "one"), (0, rows[0]), (3, "one two")]
     r.shuffle(rows)
     df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, token string").repartition(3)
-    assert check(df, rows) > 5
+    assert check(df, rows, block=block, most=most) > 5
+    # equal sets link as classes; every other link comes from a tree
+    _, equal, found = links(df, block=block, most=most)
+    sets = {i: shingles(t) for i, t in rows[::-1]}
+    assert found.count() > 0 and all(sets[x.a] == sets[x.b] for x in equal.filter("a > 3 and b > 3").collect())
 
 
 def test_empty_table(spark):
@@ -77,3 +79,44 @@ def test_shingle_hashes_follow_words():
     assert [len(s) for s in sets] == [2, 2, 1, 2, 0, 1, 1, 1, 1]
     assert len({x for s in sets[2:] for x in s.tolist()}) == 1 + 2 + 4
     assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
+
+
+def test_one_neighbourhood_of_many_blocks(spark):
+    """A hot family of near copies with chains that only some members link to."""
+    r = random.Random(8)
+    vocabulary = ["v%d" % i for i in range(900)]
+    base = " ".join(r.choices(vocabulary, k=100))
+    rows = [varied(r, base, 0.01) for _ in range(150)] + [varied(r, varied(r, base, 0.02), 0.02) for _ in range(60)]
+    rows += [" ".join(base.split()[:k]) + " " + " ".join(r.choices(vocabulary, k=100 - k)) for k in range(20, 100, 2)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({"block": 16}, {"most": 700}, {}):
+        assert check(df, rows, **options) > 1000
+
+
+def test_traverse_finds_the_components():
+    r = np.random.default_rng(3)
+    for trial in range(30):
+        n, some = int(r.integers(2, 90)), []
+        for k in range(n):
+            x = some[int(r.integers(k))].copy() if k and r.random() < 0.6 else r.integers(0, 4000, int(r.integers(1, 60))).astype(np.uint64)
+            x[r.random(len(x)) < 0.08] += np.uint64(5000)
+            some.append(np.unique(x))
+        near = np.sort(r.integers(0, 4, n))
+        size = np.array([len(x) for x in some])
+        pairs = [(a, b) for b in range(n) for a in range(b) if near[a] == near[b] and 100 * (k := len(np.intersect1d(some[a], some[b]))) >= 80 * (size[a] + size[b] - k)]
+        bits = bitmaps(some)
+        got = list(traverse(Tree(bits, size, near), None, np.arange(n), 80))
+        assert set(got) <= set(pairs) and brute.components(range(n), got) == brute.components(range(n), pairs)
+        first = int(r.integers(1, n))
+        across = [(a, b) for a, b in pairs if a < first <= b]
+        got = list(traverse(Tree(bits[:first], size[:first], near[:first]), Tree(bits[first:], size[first:], near[first:]), np.arange(n), 80))
+        assert set(got) <= set(across) and brute.components(range(n), got) == brute.components(range(n), across)
+
+
+def test_nodes_are_pruned():
+    """A node pair goes by its overlap alone where sizes and neighbourhoods would let it pass."""
+    one, two = ([np.arange(k, k + 20, dtype=np.uint64) for k in range(s, s + 320, 20)] for s in (0, 310))
+    tree = Tree(bitmaps(one + two + one + two), np.full(64, 20), np.zeros(64, int))
+    ok = possible(tree.levels[1], np.array([0, 0]), tree.levels[1], np.array([1, 2]), 80)
+    assert ok.tolist() == [False, True]
