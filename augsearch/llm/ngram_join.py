@@ -3,7 +3,8 @@
 1. A scan hashes each whole text's shingles. Documents of equal sets become one class under their least doc_id; classes
    alone go on.
 2. In one order of all tokens, frequent ones last, two linked sets share a token among the first fifth of each (prefix
-   filter). Classes that such tokens connect are a *neighbourhood*; no link leaves one. These are the top of the hierarchy.
+   filter), and their sizes are at most a step apart. Classes that tokens connect within steps are a *neighbourhood*; no link leaves one.
+   These are the top of the hierarchy.
 3. Below it are signature trees. Classes in order of neighbourhood are dealt to blocks, and each block is the leaves of a
    tree: a leaf holds the bitmap of its set, over the tokens that more than one leaf has, a node the OR of its
    children's, and the range of their sizes. Pairs of nodes are traversed from the top, and a pair is dropped when its largest
@@ -413,11 +414,11 @@ def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, links: D
     leaves = left.join(sets, "doc_id").join(first, "doc_id").withColumn("step", _step(percent))
     tiles = _dealt(leaves, "near", "comp", "step", "first", "doc_id").mapInArrow(_in_blocks(_tiled, block, most), f"block long, {_LEAF}")
     tiles = written(tiles, "crossing-tiles")
-    ends = postings.select("token", "doc_id").join(tiles.select("doc_id", "block", "near", "comp", "n"), "doc_id")
-    ends = ends.groupBy("token", "near", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (ends.select("token", "near", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high", "least", "most")]) for k in "12")
+    ends = postings.select("token", "step", "doc_id").join(tiles.select("doc_id", "block", "comp", "n"), "doc_id")
+    ends = ends.groupBy("token", "step", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (ends.select("token", "step", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high", "least", "most")]) for k in "12")
     differ = "block_1 <= block_2 and not (low_1 = high_1 and low_2 = high_2 and low_1 = low_2)"
-    pairs = one.join(two, ["token", "near"]).filter(differ).filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
+    pairs = one.join(two, ["token", "step"]).filter(differ).filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
     pairs = written(pairs.select(F.col("block_1").alias("i"), F.col("block_2").alias("j")).distinct(), "crossing-pairs")
     freed(spark)
     sides = pairs.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.filter("i < j").select("i", "j", F.lit(1), "j"))
@@ -452,25 +453,32 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
-            found = [prefix(x, frequent.value, common.value, percent).view(np.int64) for x in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+            sets = shingle_sets(texts)
+            found = [prefix(x, frequent.value, common.value, percent).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
 
     known = docs.filter("doc_id is not null")
-    prefixed = written(known.mapInArrow(prefixes, "doc_id long, tokens array<long>").filter("size(tokens) > 0").join(reps, "doc_id"), "prefixes")
-    # tokens that more than one class has, each with the least of them
+    prefixed = written(known.mapInArrow(prefixes, "doc_id long, n long, tokens array<long>").filter("n > 0").join(reps, "doc_id"), "prefixes")
+    # tokens that more than one class has
     by_token = prefixed.select(F.explode("tokens").alias("token"), "doc_id").groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = written(by_token.filter("least < most").select("token", "least"), "shared-tokens")
+    shared = written(by_token.filter("least < most").select("token"), "shared-tokens")
     freed(spark)
     bloom = spark.sparkContext.broadcast(Bloom(shared, "token", shared.count()))
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = np.asarray(b.column(1).flatten())
+            tokens = np.asarray(b.column(2).flatten())
             ok = bloom.value.has(tokens.view(np.uint64))
-            doc = np.repeat(np.asarray(b.column(0)), np.asarray(b.column(1).value_lengths()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(tokens[ok])], names=["doc_id", "token"])
-
-    postings = written(prefixed.mapInArrow(hopeful, "doc_id long, token long").join(shared, "token"), "postings")
+            doc, n = (np.repeat(np.asarray(b.column(k)), np.asarray(b.column(2).value_lengths()))[ok] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(tokens[ok])], names=["doc_id", "n", "token"])
+
+    # linked sets have a step in common, and a token that they share is posted under it
+    keyed = prefixed.mapInArrow(hopeful, "doc_id long, n long, token long").join(shared, "token").withColumn("step", F.explode(F.array(_step(percent), _step(percent) + 1)))
+    keyed = written(keyed.select("token", "step", "doc_id", "n"), "keyed")
+    one = F.struct("doc_id", "n")
+    groups = keyed.groupBy("token", "step").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("size")).filter("low.doc_id < high.doc_id")
+    groups = groups.filter((F.col("size") > 2) | (100 * F.least("low.n", "high.n") >= percent * F.greatest("low.n", "high.n")))
+    postings = written(keyed.join(groups.select("token", "step", F.col("low.doc_id").alias("least")), ["token", "step"]).select("token", "step", "doc_id", "least"), "postings")
     freed(spark)
     edges = postings.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     near = written(components(edges, "neighbourhoods").select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "near")
