@@ -194,6 +194,17 @@ def _sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return written(docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(run, "doc_id long, n long, tokens binary"), name)
 
 
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of these ids (and a few others), so that a join with the ids doesn't shuffle the rest."""
+    bloom = sets.sparkSession.sparkContext.broadcast(Bloom(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bloom.value.has(np.asarray(b.column(3)).view(np.uint64)))).select(["doc_id", "n", "tokens"])
+
+    return sets.select("doc_id", "n", "tokens", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "doc_id long, n long, tokens binary")
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """Of each sorted set a bitmap over the tokens that more than one of them has."""
     tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
@@ -388,8 +399,9 @@ def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, links: D
     """The links that neighbourhoods of several blocks still lack. members: doc_id, near, block."""
     spark = sets.sparkSession
     several = members.groupBy("near").agg(F.count_distinct("block").alias("blocks")).filter("blocks > 1").select("near")
-    members = written(members.select("doc_id", "near").distinct().join(several, "near"), "crossing")
-    left, count = members, None
+    left, count = written(members.select("doc_id", "near").distinct().join(several, "near"), "crossing"), None
+    if not left.isEmpty():
+        sets = written(_among(sets, left.select("doc_id").distinct()), "crossing-sets")
     while True:
         if left.isEmpty():
             return links
