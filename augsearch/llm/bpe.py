@@ -1,14 +1,15 @@
-"""Byte-level BPE by merge replay over blocks of the corpus.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
 
-A task gathers whole texts to a block of about `block_bytes`, numbers the distinct words of the block (matches of
-the pre-tokenisation pattern) and replays the merges on all words at once: an inverted index leads from a pair of
-tokens, held under the rank of what it merges to, to its positions in the words. Ranks are taken in
-order; a merge touches its own positions and enters the new pairs with their neighbours in the index. The block's
-documents then take the ids of their words.
+1. A task splits whole texts into words (matches of the pre-tokenisation pattern) and numbers the distinct words of each block of
+   about `block_bytes` of text. Documents go on as the numbers of their words, words under their block and number.
+2. Words are shuffled by themselves, so that each distinct word of the corpus is in one task, whatever blocks have it. There the
+   merges are replayed on all its words at once: an inverted index leads from a pair of tokens, held under the rank of
+   what it merges to, to its positions in the words. Ranks are taken in order; a merge touches its own positions and enters
+   the new pairs with their neighbours in the index.
+3. Ids go back to the blocks that have the word, and a block's documents take the ids of their words.
 
-A block is the unit of the corpus here, since a dictionary of all words grows with the input and can be neither
-broadcast nor joined to every token within the disk that the input allows. Blocks need no shuffle, and
-any of them can be computed again alone.
+A dictionary of all words is broadcast nowhere. What a task holds is bounded: the words of one block or `REPLAY_BYTES` of distinct words.
+A very common word has one row for each block.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded each; an
 empty table gives no rows; extra columns are ignored.
@@ -25,13 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, slices
+from augsearch.llm.common import documents, n_tasks, slices, written
 from augsearch.llm.pretokenize import split
 
 BLOCK_BYTES = 24 << 20
+#: Merges are replayed on about so many bytes of distinct words at a time.
+REPLAY_BYTES = 4 << 20
 
 
 class Ranks:
@@ -61,12 +65,25 @@ class Ranks:
 
     def one_word(self, word: bytes) -> list[int]:
         """Merges the leftmost pair of the least rank, one at a time."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while True:
-            best = min(((r, i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                return [self.rank[p] for p in parts]
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        token, n = self.byte[np.frombuffer(word, np.uint8)].tolist(), len(word)
+        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self.of_pairs(np.array(token[:-1], np.int64), np.array(token[1:], np.int64)).tolist() if n > 1 else []
+        queue = [(r, i) for i, r in enumerate(ranks) if r >= 0]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            j = following[i]
+            if token[i] < 0 or j >= n or self.rank.get(self.token[token[i]] + self.token[token[j]]) != rank:
+                continue
+            token[i], token[j], following[i] = rank, -1, following[j]
+            if following[i] < n:
+                previous[following[i]] = i
+            for a in (previous[i], i):
+                if a >= 0 and following[a] < n:
+                    r = self.rank.get(self.token[token[a]] + self.token[token[following[a]]])
+                    if r is not None:
+                        heapq.heappush(queue, (r, a))
+        return [t for t in token if t >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and where each word's ids end."""
@@ -149,46 +166,120 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, block_bytes: int):
-    """(doc_ids, the words of each document by number, ids of all words, where each word's ids end)."""
-    ranks = ranks_of(path)
-    words: defaultdict[str, int] = defaultdict()
-    words.default_factory = words.__len__
-    doc_ids, numbers, held = [], [], 0
+#: Words have a block, a number in it and their bytes; documents a block, the number WHOLE, an id and the numbers of their words.
+_PARTS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("doc_id", pa.int64()), ("numbers", pa.binary())])
+_PARTS_DDL = "block long, number int, word binary, doc_id long, numbers binary"
+WHOLE = 2**31 - 1
+
+
+def _numbered(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        words: defaultdict[str, int] = defaultdict()
+        words.default_factory = words.__len__
+
+        def dictionary():
+            known = [w.encode() for w in words]
+            for i in range(0, len(known), 20_000):
+                part = known[i : i + 20_000]
+                none = [None] * len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block] * len(part), range(i, i + len(part)), part, none, none), _PARTS)], schema=_PARTS)
+
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                texts = batch.column(1).to_pylist()
+                numbers = [np.array([words[w] for w in split(t)], "<i4").tobytes() if t else b"" for t in texts]
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block] * n, [WHOLE] * n, [None] * n, batch.column(0).to_pylist(), numbers), _PARTS)], schema=_PARTS)
+                held += sum(len(t or "") for t in texts)
+                if held > block_bytes:
+                    yield from dictionary()
+                    words.clear()
+                    block, held = block + 1, 0
+        yield from dictionary()
 
-    def block():
-        return doc_ids, numbers, *ranks.replay([w.encode() for w in words])
+    return run
 
-    for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc_ids.append(doc_id)
-                numbers.append(np.array([words[w] for w in split(text or "")], np.int32))
-                held += len(text or "")
-            if held > block_bytes:
-                yield block()
-                words.clear()
-                doc_ids, numbers, held = [], [], 0
-    if doc_ids:
-        yield block()
 
+_IDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
 
-def _ids(path: str, block_bytes: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def run(batches):
-        for doc_ids, numbers, ids, stops in _blocks(batches, path, block_bytes):
-            by_word = np.split(ids.astype(np.int32), stops[:-1])
-            for i in range(0, len(doc_ids), 256):
-                part = [np.concatenate([by_word[w] for w in n]) if len(n) else np.zeros(0, np.int32) for n in numbers[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), pa.array(part, schema.field(1).type)], schema=schema)
+def _replayed(path: str, replay_bytes: int):
+    """Words in order, each with all its blocks -> their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranks_of(path)
+        distinct: list[bytes] = []
+        at, blocks, numbers, held = [], [], [], 0
+
+        def out():
+            ids, stops = ranks.replay(distinct)
+            of_word = [x.astype("<i4").tobytes() for x in np.split(ids, stops[:-1])]
+            for i in range(0, len(at), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((blocks[i : i + 20_000], numbers[i : i + 20_000], [of_word[k] for k in at[i : i + 20_000]]), _IDS)], schema=_IDS)
+
+        for b in batches:
+            for block, number, word in zip(*(c.to_pylist() for c in b.columns)):
+                if not distinct or word != distinct[-1]:
+                    if held > replay_bytes or len(at) > 1_000_000:
+                        yield from out()
+                        distinct, at, blocks, numbers, held = [], [], [], [], 0
+                    distinct.append(word)
+                    held += len(word)
+                at.append(len(distinct) - 1)
+                blocks.append(block)
+                numbers.append(number)
+        if distinct:
+            yield from out()
 
     return run
 
 
+def _by_block(docs: DataFrame, path: str, block_bytes: int, convert, ddl: str) -> DataFrame:
+    """convert: ids of a block's words by number -> (a batch's doc_ids and the numbers of their words -> batches)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = written(docs.mapInArrow(_numbered(block_bytes), _PARTS_DDL), "words")
+    words = parts.filter("word is not null").select("block", "number", "word").repartition(n_tasks(spark), "word").sortWithinPartitions("word")
+    ids = words.mapInArrow(_replayed(path, REPLAY_BYTES), "block long, number int, ids binary")
+    ids = ids.select("block", "number", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("of"))
+    whole = parts.filter("numbers is not null").select("block", "number", "doc_id", F.col("numbers").alias("of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of_word, encode = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, number = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | ((number[1:] == WHOLE) != (number[:-1] == WHOLE))) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                part = b.slice(start, stop - start)
+                if block[start] != now:
+                    now, of_word, encode = block[start], [], None
+                values = [np.frombuffer(x, "<i4") for x in part.column(3).to_pylist()]
+                if number[start] != WHOLE:
+                    of_word += values
+                else:
+                    encode = encode or convert(of_word)
+                    yield from encode(part.column(2).to_pylist(), values)
+
+    dealt = whole.union(ids).repartition(n_tasks(spark), "block").sortWithinPartitions("block", "number")
+    return dealt.mapInArrow(run, ddl)
+
+
 def encode(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_ids(ranks_path, block_bytes), "doc_id long, ids array<int>")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def convert(of_word: list[np.ndarray]):
+        def run(doc_ids, numbers):
+            for i in range(0, len(doc_ids), 256):
+                ids = [np.concatenate([of_word[w] for w in n.tolist()]) if len(n) else np.zeros(0, np.int32) for n in numbers[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), pa.array(ids, schema.field(1).type)], schema=schema)
+
+        return run
+
+    return _by_block(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ranks_path, block_bytes, convert, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -205,29 +296,25 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     return encoded.select(*others, ids_col).mapInArrow(run, ddl)
 
 
-def _digests(path: str, block_bytes: int):
-    """As encode and decode on one block, with only the digests going on."""
+def digests(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As encode and decode, with only the digests going on."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def run(batches):
-        token = ranks_of(path).token
-        for doc_ids, numbers, ids, stops in _blocks(batches, path, block_bytes):
-            counts = np.diff(stops, prepend=0)
-            text = list(map(str, ids.tolist()))
-            starts = (stops - counts).tolist()
-            decimal = [" ".join(text[a:b]).encode() for a, b in zip(starts, stops.tolist())]
-            raw = list(map(token.__getitem__, ids.tolist()))
-            decoded = [b"".join(raw[a:b]) for a, b in zip(starts, stops.tolist())]
-            del text, raw
-            rows = [(d, int(counts[n].sum()), hashlib.sha256(b" ".join([decimal[w] for w in n.tolist()])).hexdigest(), hashlib.sha256(b"".join([decoded[w] for w in n.tolist()])).hexdigest()) for d, n in zip(doc_ids, numbers)]
-            for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), schema)], schema=schema)
+    def convert(of_word: list[np.ndarray]):
+        token, counts = ranks_of(ranks_path).token, np.array([len(x) for x in of_word], np.int64)
+        decimal = [" ".join(map(str, x.tolist())).encode() for x in of_word]
+        decoded = [b"".join(map(token.__getitem__, x.tolist())) for x in of_word]
 
-    return run
+        def run(doc_ids, numbers):
+            rows = []
+            for d, n in zip(doc_ids, numbers):
+                at = n.tolist()
+                rows.append((d, int(counts[n].sum()), hashlib.sha256(b" ".join(map(decimal.__getitem__, at))).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, at))).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+        return run
 
-def digests(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(ranks_path, block_bytes), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _by_block(docs, ranks_path, block_bytes, convert, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

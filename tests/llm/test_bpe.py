@@ -56,3 +56,17 @@ def test_replay_where_a_merge_makes_a_pair_of_lower_rank(tmp_path):
 def test_split_keeps_everything():
     for t in ("it's  a\n\n b ", "日本 x½", ""):
         assert "".join(split(t)) == t
+
+
+def test_long_words_and_clashing_names(spark):
+    """Words of any length, one of them in many blocks, and columns named as the operator's own."""
+    r = random.Random(9)
+    texts = ["ab" * 60_000, "".join(r.choices("abcdefgh", k=120_000)), " the the", "a" * 100_000, " the"] * 3
+    df = spark.createDataFrame([(i, t, "x", b"y", 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, block string, word binary, number int, numbers string").repartition(5)
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256) for x in digests(df, PATH, block_bytes=5000).collect()}
+    for i, t in enumerate(texts):
+        ids = TIKTOKEN.encode_ordinary(t)
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    ranks = Ranks(PATH)
+    for t in texts[:4]:
+        assert ranks.one_word(t.encode()) == TIKTOKEN._core_bpe.encode_single_piece(t.encode())
