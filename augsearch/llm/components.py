@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augsearch.llm.common import written
 
 
+#: Nodes that a task holds while it joins its own links.
+HELD = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links -> fewer ones that connect the same nodes: within a task, each node to the least of its tree."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def out():
+        pairs = [(r, x) for x in up if (r := root(x)) != x]
+        up.clear()
+        for i in range(0, len(pairs), 50_000):
+            u, v = zip(*pairs[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        for x, y in np.unique(np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1), axis=0).tolist():
+            up.setdefault(x, x)
+            up.setdefault(y, y)
+            if (x := root(x)) != (y := root(y)):
+                up[max(x, y)] = min(x, y)
+        if len(up) > HELD:
+            yield from out()
+    yield from out()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """links: a, b (long). -> node, component: the least node reachable, for each node that has a link.
 
-    Alternates large and small stars: each node's larger, then smaller neighbours are linked to the least
+    Each task first joins its own links to trees. Then large and small stars alternate: each node's larger, then smaller neighbours are linked to the least
     one it knows. Stars come from an aggregation and a join, whose hot nodes Spark splits, and each round goes to a table,
     so no node's neighbours are gathered anywhere. Ends when a round changes nothing.
     """
-    edges = written(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
+    edges = written(links.select("a", "b").filter("a <> b").mapInArrow(_forest, "u long, v long").distinct(), f"{name}-0")
     state, rounds = None, 0
     while True:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select("v", "u"))

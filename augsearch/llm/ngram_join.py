@@ -302,8 +302,8 @@ def traverse(one: Tree, two: Tree | None, comp: np.ndarray, percent: int, togeth
 
 
 def links_of(docs: np.ndarray, near: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], first: int | None, percent: int) -> list[tuple[int, int]]:
-    """Links among the leaves, or, where `first` is given, between the first so many and the others: pairs of doc_ids."""
-    bits, n, comp = bitmaps(sets), np.array([len(x) for x in sets], np.int64), comp.copy()
+    """Links among the leaves, or, where `first` is given, between the first so many and the others: pairs of doc_ids. Updates comp."""
+    bits, n = bitmaps(sets), np.array([len(x) for x in sets], np.int64)
     if first is None:
         found = traverse(Tree(bits, n, near), None, comp, percent)
     else:
@@ -341,14 +341,16 @@ def _in_blocks(work, block: int, most: int):
 
 
 def _linked(percent: int):
-    """Work on a block: its links (a, b), then its members (doc_id, neighbourhood, block)."""
+    """Work on a block: its links (a, b), then its members (doc_id, near, block, was: the component before, comp: the component that they have in the block)."""
 
     def work(number: int, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         near, comp, docs, _, sets = _leaves(b)
+        was, comp = comp, comp.copy()
         found = links_of(docs, near, comp, sets, None, percent) if b.num_rows > 1 else []
         x, y = (list(c) for c in zip(*found)) if found else ([], [])
-        none = [None] * len(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(x + none, pa.int64()), pa.array(y + none, pa.int64()), pa.array([None] * len(x) + docs.tolist(), pa.int64()), pa.array([None] * len(x) + near.tolist(), pa.int64()), pa.array([None] * len(x) + [number] * len(docs), pa.int64())], names=["a", "b", "doc_id", "near", "block"])
+        members = [docs.tolist(), near.tolist(), [number] * len(docs), was.tolist(), comp.tolist()]
+        columns = [x + [None] * len(docs), y + [None] * len(docs), *[[None] * len(x) + m for m in members]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "doc_id", "near", "block", "was", "comp"])
 
     return work
 
@@ -369,7 +371,7 @@ def _across(percent: int):
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             near, comp, docs, _, sets = _leaves(b.select(["near", "comp", "doc_id", "n", "tokens"]))
             first = int((np.asarray(b.column(2)) == 0).sum())
-            found = links_of(docs, near, comp, sets, None if now[0] == now[1] else first, percent) if b.num_rows > 1 else []
+            found = links_of(docs, near, comp.copy(), sets, None if now[0] == now[1] else first, percent) if b.num_rows > 1 else []
             if found:
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -395,33 +397,35 @@ def _step(percent: int) -> Column:
     return F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
 
 
-def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, links: DataFrame, percent: int, block: int, most: int) -> DataFrame:
-    """The links that neighbourhoods of several blocks still lack. members: doc_id, near, block."""
+_BLOCKS = "a long, b long, doc_id long, near long, block long, was long, comp long"
+
+
+def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, percent: int, block: int, most: int) -> DataFrame | None:
+    """The links that neighbourhoods of several blocks still lack. members: doc_id, near, block, comp; two of one comp are known to be connected."""
     spark = sets.sparkSession
     several = members.groupBy("near").agg(F.count_distinct("block").alias("blocks")).filter("blocks > 1").select("near")
-    left, count = written(members.select("doc_id", "near").distinct().join(several, "near"), "crossing"), None
-    if not left.isEmpty():
-        sets = written(_among(sets, left.select("doc_id").distinct()), "crossing-sets")
+    left = written(members.join(several, "near").groupBy("doc_id", "near").agg(F.min("comp").alias("comp")), "crossing")
+    if left.isEmpty():
+        return None
+    sets, links, count = written(_among(sets, left.select("doc_id").distinct()), "crossing-sets"), None, None
     while True:
-        if left.isEmpty():
-            return links
-        comp = components(links, "crossing-components").withColumnRenamed("node", "doc_id")
-        state = written(left.join(comp, "doc_id", "left").select("doc_id", "near", F.coalesce("component", "doc_id").alias("comp")), "crossing-state")
-        open_ = state.groupBy("near").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1")
-        left = written(state.join(open_.select("near"), "near").select("doc_id", "near", "comp"), "crossing-open")
+        open_ = left.groupBy("near").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1")
         now = open_.agg(F.sum("comps")).first()[0] or 0
         if not now or (count is not None and now > 0.9 * count):
             break
         count = now
         # a few members of each component stand for it
-        some = left.join(sets.select("doc_id", "n").distinct(), "doc_id").groupBy("near", "comp")
+        some = left.join(open_.select("near"), "near").join(sets.select("doc_id", "n").distinct(), "doc_id").groupBy("near", "comp")
         some = some.agg(F.array_distinct(F.array(F.min("doc_id"), F.max_by("doc_id", F.xxhash64("doc_id")), F.min_by("doc_id", "n"), F.max_by("doc_id", "n"))).alias("docs"))
         leaves = some.select("near", "comp", F.explode("docs").alias("doc_id")).join(sets, "doc_id")
-        found = _dealt(leaves.withColumn("step", _step(percent)), "near", "step", "n", "doc_id").mapInArrow(_in_blocks(_linked(percent), block, most), "a long, b long, doc_id long, near long, block long")
-        links = written(links.union(found.filter("a is not null").select("a", "b")), "crossing-links")
-        left = left.drop("comp")
+        found = written(_dealt(leaves.withColumn("step", _step(percent)), "near", "step", "n", "doc_id").mapInArrow(_in_blocks(_linked(percent), block, most), _BLOCKS), "crossing-blocks")
+        some = found.filter("a is not null").select("a", "b")
+        links = some if links is None else links.union(some)
+        joined = found.filter("a is null").groupBy(F.col("was").alias("comp")).agg(F.min("comp").alias("now"))
+        left = written(left.join(joined, "comp", "left").select("doc_id", "near", F.coalesce("now", "comp").alias("comp")), "crossing-state")
     if not now:
         return links
+    left = left.join(open_.select("near"), "near")
     first = postings.groupBy("doc_id").agg(F.min("token").alias("first"))
     leaves = left.join(sets, "doc_id").join(first, "doc_id").withColumn("step", _step(percent))
     tiles = _dealt(leaves, "near", "comp", "step", "first", "doc_id").mapInArrow(_in_blocks(_tiled, block, most), f"block long, {_LEAF}")
@@ -436,7 +440,8 @@ def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, links: D
     sides = pairs.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.filter("i < j").select("i", "j", F.lit(1), "j"))
     rows = sides.join(tiles, "block").select("i", "j", "side", "near", "comp", "doc_id", "n", "tokens")
     rows = rows.repartition(n_tasks(spark), "i", "j").sortWithinPartitions("i", "j", "side", "near", "comp", "n", "doc_id")
-    return links.union(written(rows.mapInArrow(_across(percent), "a long, b long").distinct(), "crossing-found"))
+    found = written(rows.mapInArrow(_across(percent), "a long, b long").distinct(), "crossing-found")
+    return found if links is None else links.union(found)
 
 
 def _dealt(leaves: DataFrame, *order: str) -> DataFrame:
@@ -502,11 +507,11 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     for name, key in (("k1", _step(percent)), ("k2", F.col("first")), ("k3", F.col("doc_id"))):
         placed = placed.withColumn(name, F.when(F.col("large"), key).otherwise(F.lit(0)).cast("long"))
     dealt = placed.repartitionByRange(n_tasks(spark), "near", "k1", "k2", "k3").sortWithinPartitions("near", "k1", "k2", "k3", "n", "doc_id").select("near", "comp", "doc_id", "n", "tokens")
-    blocks = written(dealt.mapInArrow(_in_blocks(_linked(percent), block, most), "a long, b long, doc_id long, near long, block long"), "blocks")
+    blocks = written(dealt.mapInArrow(_in_blocks(_linked(percent), block, most), _BLOCKS), "blocks")
     freed(spark)
     found = blocks.filter("a is not null").select("a", "b")
-    found = _crossing(sets, blocks.filter("a is null").select("doc_id", "near", "block"), postings, found, percent, block, most)
-    return rows.select("doc_id", "n"), equal, found
+    more = _crossing(sets, blocks.filter("a is null").select("doc_id", "near", "block", "comp"), postings, percent, block, most)
+    return rows.select("doc_id", "n"), equal, found if more is None else found.union(more)
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_TOKENS) -> DataFrame:
