@@ -20,12 +20,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,13 +169,26 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-#: Words have a block, a number in it and their bytes; documents a block, the number WHOLE, an id and the numbers of their words.
-_PARTS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("doc_id", pa.int64()), ("numbers", pa.binary())])
-_PARTS_DDL = "block long, number int, word binary, doc_id long, numbers binary"
+#: A row is a run of a block's documents (part WHOLE: ids, and a blob of the numbers of their words) or the words of a block that go to one part of the
+#: corpus's words (their numbers and bytes), later their ids. Blobs are compressed here, since rows of a word each would be mostly overhead.
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("blob", pa.binary())])
+_ROW_DDL = "block long, part int, docs array<long>, sizes binary, blob binary"
 WHOLE = 2**31 - 1
 
 
-def _numbered(block_bytes: int):
+def _packed(x: np.ndarray, dtype: str) -> bytes:
+    return zstandard.compress(x.astype(dtype).tobytes(), 3)
+
+
+def _unpacked(b: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), dtype)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+
+
+def _numbered(block_bytes: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, 0
         words: defaultdict[str, int] = defaultdict()
@@ -180,18 +196,21 @@ def _numbered(block_bytes: int):
 
         def dictionary():
             known = [w.encode() for w in words]
-            for i in range(0, len(known), 20_000):
-                part = known[i : i + 20_000]
-                none = [None] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block] * len(part), range(i, i + len(part)), part, none, none), _PARTS)], schema=_PARTS)
+            part = np.fromiter(map(zlib.crc32, known), np.int64, len(known)) % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for at in np.split(order, cuts) if len(order) else []:
+                some = [known[i] for i in at.tolist()]
+                sizes = _packed(np.array([np.diff(at, prepend=0), [len(w) for w in some]]), "<i4")
+                yield _rows([(block, int(part[at[0]]), None, sizes, zstandard.compress(b"".join(some), 3))])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                texts = batch.column(1).to_pylist()
-                numbers = [np.array([words[w] for w in split(t)], "<i4").tobytes() if t else b"" for t in texts]
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block] * n, [WHOLE] * n, [None] * n, batch.column(0).to_pylist(), numbers), _PARTS)], schema=_PARTS)
-                held += sum(len(t or "") for t in texts)
+            for batch in slices(whole, "text", 1 << 20):
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                numbers = [[words[w] for w in split(t)] for t in texts]
+                flat = np.fromiter(itertools.chain.from_iterable(numbers), np.int64)
+                yield _rows([(block, WHOLE, batch.column(0).to_pylist(), _packed(np.array([len(n) for n in numbers]), "<i4"), _packed(flat, "<i4"))])
+                held += sum(map(len, texts))
                 if held > block_bytes:
                     yield from dictionary()
                     words.clear()
@@ -201,69 +220,74 @@ def _numbered(block_bytes: int):
     return run
 
 
-_IDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
-
-
 def _replayed(path: str, replay_bytes: int):
-    """Words in order, each with all its blocks -> their ids."""
+    """Words of one part, from all blocks -> their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path)
-        distinct: list[bytes] = []
-        at, blocks, numbers, held = [], [], [], 0
+        distinct: defaultdict[bytes, int] = defaultdict()
+        distinct.default_factory = distinct.__len__
+        rows: list[tuple] = []
+        held = 0
 
         def out():
-            ids, stops = ranks.replay(distinct)
-            of_word = [x.astype("<i4").tobytes() for x in np.split(ids, stops[:-1])]
-            for i in range(0, len(at), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((blocks[i : i + 20_000], numbers[i : i + 20_000], [of_word[k] for k in at[i : i + 20_000]]), _IDS)], schema=_IDS)
+            known = list(distinct)
+            of_word: list[np.ndarray] = []
+            ends = np.cumsum([len(w) for w in known])
+            for some in np.split(np.arange(len(known)), np.searchsorted(ends, np.arange(replay_bytes, int(ends[-1]), replay_bytes))):
+                if len(some):
+                    ids, stops = ranks.replay(known[some[0] : some[-1] + 1])
+                    of_word += np.split(ids.astype("<i4"), stops[:-1])
+            for block, part, numbers, at in rows:
+                ids = [of_word[k] for k in at]
+                yield _rows([(block, part, None, _packed(np.array([numbers, [len(x) for x in ids]]), "<i4"), _packed(np.concatenate(ids), "<i4"))])
 
         for b in batches:
-            for block, number, word in zip(*(c.to_pylist() for c in b.columns)):
-                if not distinct or word != distinct[-1]:
-                    if held > replay_bytes or len(at) > 1_000_000:
-                        yield from out()
-                        distinct, at, blocks, numbers, held = [], [], [], [], 0
-                    distinct.append(word)
-                    held += len(word)
-                at.append(len(distinct) - 1)
-                blocks.append(block)
-                numbers.append(number)
-        if distinct:
+            for block, part, sizes, blob in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):
+                numbers, lengths = _unpacked(sizes, "<i4").reshape(2, -1)
+                word, ends = zstandard.decompress(blob), np.cumsum(lengths)
+                rows.append((block, part, numbers, [distinct[word[e - n : e]] for e, n in zip(ends.tolist(), lengths.tolist())]))
+                held += len(word)
+                if held > 4 * replay_bytes:
+                    yield from out()
+                    distinct.clear()
+                    rows, held = [], 0
+        if rows:
             yield from out()
 
     return run
 
 
 def _by_block(docs: DataFrame, path: str, block_bytes: int, convert, ddl: str) -> DataFrame:
-    """convert: ids of a block's words by number -> (a batch's doc_ids and the numbers of their words -> batches)."""
+    """convert: ids of a block's words by number -> (doc_ids and the numbers of their words -> batches)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = written(docs.mapInArrow(_numbered(block_bytes), _PARTS_DDL), "words")
-    words = parts.filter("word is not null").select("block", "number", "word").repartition(n_tasks(spark), "word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_replayed(path, REPLAY_BYTES), "block long, number int, ids binary")
-    ids = ids.select("block", "number", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("of"))
-    whole = parts.filter("numbers is not null").select("block", "number", "doc_id", F.col("numbers").alias("of"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # parts have so few bytes of words that one task can hold each distinct word of a part once
+    parts = n_tasks(spark, n_bytes // (8 * REPLAY_BYTES))
+    numbered = written(docs.mapInArrow(_numbered(block_bytes, parts), _ROW_DDL), "words")
+    words = numbered.filter(F.col("part") != WHOLE).repartitionById(parts, F.col("part")).mapInArrow(_replayed(path, REPLAY_BYTES), _ROW_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, of_word, encode = None, [], None
+        now, known, encode = None, [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            block, number = np.asarray(b.column(0)), np.asarray(b.column(1))
-            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | ((number[1:] == WHOLE) != (number[:-1] == WHOLE))) + 1).tolist(), b.num_rows]
-            for start, stop in zip(cuts, cuts[1:]):
-                part = b.slice(start, stop - start)
-                if block[start] != now:
-                    now, of_word, encode = block[start], [], None
-                values = [np.frombuffer(x, "<i4") for x in part.column(3).to_pylist()]
-                if number[start] != WHOLE:
-                    of_word += values
-                else:
-                    encode = encode or convert(of_word)
-                    yield from encode(part.column(2).to_pylist(), values)
-
-    dealt = whole.union(ids).repartition(n_tasks(spark), "block").sortWithinPartitions("block", "number")
+            for block, part, docs_, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if block != now:
+                    now, known, encode = block, [], None
+                values = _unpacked(blob, "<i4")
+                if part != WHOLE:
+                    steps, lengths = _unpacked(sizes, "<i4").reshape(2, -1)
+                    known.append((np.cumsum(steps), np.split(values, np.cumsum(lengths)[:-1])))
+                    continue
+                if encode is None:
+                    of_word: list = [None] * sum(len(n) for n, _ in known)
+                    for numbers, ids in known:
+                        for k, x in zip(numbers.tolist(), ids):
+                            of_word[k] = x
+                    known, encode = [], convert(of_word)
+                yield from encode(docs_, np.split(values, np.cumsum(_unpacked(sizes, "<i4"))[:-1]))
+
+    dealt = numbered.filter(F.col("part") == WHOLE).union(words).repartition(n_tasks(spark), "block").sortWithinPartitions("block", "part")
     return dealt.mapInArrow(run, ddl)
 
 
