@@ -1,21 +1,24 @@
-"""Chat formatting by event-sourced reconstruction.
+r"""Chat formatting by event-sourced reconstruction.
 
-A log of events (conversation, sequence, kind, message, role, text) is partitioned by conversation, sorted
-by sequence and folded: `delta` appends to a message, `edit` replaces its text, `regenerate` empties it for another
-try, `delete` drops it, `message` is a whole message. What is left is rendered in a template that marks turns
+A log of events (conversation, sequence, kind, message, role, text) is folded to final messages: `delta` appends to a message, `edit`
+replaces its text, `regenerate` empties it for another try, `delete` drops it, `message` sets it whole. The log is
+partitioned by conversation and message and sorted by sequence, so a task holds one message at a time, whatever
+else its conversation has. Events of kind `message` without a message id are messages of their own.
 
-    <|im_start|>role\\n text <|im_end|>\\n
+Messages are then partitioned by conversation, sorted by the sequence of their first event (null first), then role and text, and rendered
+in a template that marks turns
 
-and, inside roles and texts, escapes the control strings reversibly: `<|` is written `<\\|`, and so is every
-`<\\...\\|` with one more backslash. The loss mask covers the texts of assistant turns.
+    <|im_start|>role\n text <|im_end|>\n
 
-A conversation's events come sorted through one task, which holds the open messages of one conversation
-while they are folded. Where each event is a whole message, as in a table of turns, a message is done when it
-is read, so that a conversation of any length streams through: only hashes and the text at hand are held.
+and, inside roles and texts, escapes the control strings reversibly: `<|` is written `<\|`, and so is every
+`<\...\|` with one more backslash. The loss mask covers the texts of assistant turns.
 
-Defined results: a null text or role counts as empty; turns are ordered by turn (null first), then role and text;
-repeated rows are turns of their own; rows with a null conversation form one conversation; an empty table gives
-no rows; extra columns are ignored.
+The digests read the formatted conversation back: a reader scans the stream for its turn marks wherever they stand, so a text that forged
+one would show as a turn, and the loss text is cut out at the offsets of the mask. Conversations of any length
+stream through; only hashes and the turn at hand are held.
+
+Defined results: a null text or role counts as empty; repeated rows of a table of turns are turns of their own; rows with a null conversation
+form one conversation; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, n_tasks
+from augsearch.llm.common import documents, n_tasks, slices
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ESCAPE = re.compile(r"<(\\*)\|")
@@ -60,42 +63,74 @@ def parse_turn(turn: str) -> tuple[str, str]:
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text -> a log with one `message` event for each row."""
+    """conv_id, turn, role, text -> the log of a client that streams: each turn comes in two deltas; by its place some begin with a draft that is
+    regenerated, some are edited at the end, some are followed by a message that is deleted."""
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message"), role.alias("role"), text.alias("text"))
-
-
-_ORDER = ("conv_id", "seq", "message", "role", "text")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("id"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail, draft = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")), F.substring("text", 3, 24)
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (F.col("id") * 2 + F.lit(int(step >= 10))).alias("message"), text.alias("text"))
+    typed = [event(2, "delta", head), event(3, "delta", tail)]
+    again = [event(0, "delta", draft), event(1, "regenerate", F.lit(None).cast("string"))]
+    edited = [event(2, "delta", draft), event(4, "edit", F.col("text"))]
+    dropped = [event(10, "delta", draft), event(11, "delete", F.lit(None).cast("string"))]
+    kind = F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4))
+    events = F.when(kind == 0, F.array(*typed)).when(kind == 1, F.array(*again, *typed)).when(kind == 2, F.array(*edited)).otherwise(F.array(*typed, *dropped))
+    return rows.select("conv_id", "seq", "role", F.explode(events).alias("e")).select("conv_id", "seq", "e.step", "e.kind", "e.message", "role", "e.text")
+
+
+def folded(events: DataFrame, least_tasks: int = 1) -> DataFrame:
+    """events: conv_id, seq, kind, message, role, text, and step where events of one seq have an order. -> final messages: conv_id, seq, step, role, text."""
+    schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("step", pa.int32()), ("role", pa.string()), ("text", pa.string())])
+    step = F.col("step").cast("int") if "step" in events.columns else F.lit(0)
+    rows = events.select("conv_id", "seq", step.alias("step"), "kind", "message", F.coalesce("role", F.lit("")).alias("role"), "text")
+    alone = (F.col("kind") == "message") & F.col("message").isNull()
 
-
-def folded(events: DataFrame, convert, ddl: str, least_tasks: int = 1) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, parts, out, held = None, None, None, [], 0
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out.clear()
+            return batch
+
+        def close():
+            if parts is not None:
+                out.append((now[0], first[0], first[1], first[2], "".join(parts)))
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                for conv, seq, step, kind, message, role, text in zip(*(c.to_pylist() for c in b.columns)):
+                    if (conv, message) != now:
+                        close()
+                        now, first, parts = (conv, message), None, None
+                        if out and (held := held + len(out[-1][4])) > 4 << 20 or len(out) == 4096:
+                            yield flush()
+                            held = 0
+                    if kind == "delete":
+                        parts = first = None
+                    elif kind == "regenerate":
+                        if parts is not None:
+                            parts = [text] if text else []
+                    else:
+                        if parts is None:
+                            first, parts = (seq, step, role), []
+                        if kind != "delta":  # edit, message
+                            parts = []
+                        parts.append(text or "")
+        close()
+        if out:
+            yield flush()
+
+    order = ("conv_id", "message", "seq", "step")
+    dealt = rows.filter(~F.coalesce(alone, F.lit(False))).repartition(n_tasks(events.sparkSession, least_tasks), "conv_id", "message").sortWithinPartitions(*order)
+    done = dealt.mapInArrow(run, "conv_id long, seq long, step int, role string, text string")
+    return done.union(rows.filter(alone).select("conv_id", "seq", "step", "role", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def _conversations(messages: DataFrame, convert, ddl: str) -> DataFrame:
     """convert: iterator of (conv_id, iterator of (role, text)) -> record batches."""
 
-    def messages(rows):
-        """The messages of one conversation, in order of their first event."""
-        open_: dict = {}
-        whole = 0
-        for kind, message, role, text in rows:
-            if kind == "message" and message is None:
-                if not open_:
-                    yield role, text
-                    continue
-                message, whole = ("whole", whole), whole + 1
-            if kind == "delete":
-                open_.pop(message, None)
-            elif kind == "regenerate":
-                if message in open_:
-                    open_[message][1] = [text] if text else []
-            elif kind in ("edit", "message") or message not in open_:
-                if message in open_:
-                    open_[message][1] = [text]
-                else:
-                    open_[message] = [role, [text]]
-            else:  # delta
-                open_[message][1].append(text)
-        for role, parts in open_.values():
-            yield role, "".join(parts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -115,15 +150,14 @@ def folded(events: DataFrame, convert, ddl: str, least_tasks: int = 1) -> DataFr
                         row = next(source, None)
 
                 rest = own()
-                yield conv, messages(rest)
+                yield conv, rest
                 for _ in rest:
                     pass
 
         yield from convert(conversations())
 
-    keyed = events.select("conv_id", "seq", "kind", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = keyed.repartition(n_tasks(events.sparkSession, least_tasks), "conv_id").sortWithinPartitions(*_ORDER)
-    return dealt.select("conv_id", "kind", "message", "role", "text").mapInArrow(run, ddl)
+    dealt = messages.repartition(n_tasks(messages.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq", "step", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, ddl)
 
 
 def format_chat(events: DataFrame) -> DataFrame:
@@ -141,29 +175,51 @@ def format_chat(events: DataFrame) -> DataFrame:
                 at += len(turn)
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array(["".join(parts)]), pa.array([mask], schema.field(2).type)], schema=schema)
 
-    return folded(events, convert, "conv_id long, formatted string, mask array<array<long>>")
+    return _conversations(folded(events), convert, "conv_id long, formatted string, mask array<array<long>>")
+
+
+class Reader:
+    """Reads turns from a formatted conversation that comes in parts, wherever these are cut."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, part: str) -> Iterator[tuple[str, str]]:
+        self.rest += part
+        while (end := self.rest.find(END)) >= 0:
+            turn, self.rest = self.rest[: end + len(END)], self.rest[end + len(END) :]
+            yield parse_turn(turn)
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the conversation ends within a turn")
 
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:
-    return [parse_turn(m.group()) for m in _TURN.finditer(formatted)]
+    reader = Reader()
+    turns = list(reader.feed(formatted))
+    reader.close()
+    return turns
 
 
 def digests(events: DataFrame) -> DataFrame:
-    """format_chat, read back turn by turn, so that no conversation is held whole."""
+    """format_chat, read back from the stream of each conversation, so that none is held whole."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def convert(conversations):
         rows = []
         for conv, messages in conversations:
-            n, chars, loss_chars, turns, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            n, chars, loss_chars, turns, loss, reader = 0, 0, 0, hashlib.sha256(), hashlib.sha256(), Reader()
             for role, text in messages:
                 turn, a, b = render_turn(role, text)
-                role, text = parse_turn(turn)
-                n, chars = n + 1, chars + len(turn)
-                turns.update(f"{role}\n{text}\n".encode())
+                chars += len(turn)
+                for role, text in reader.feed(turn):
+                    n += 1
+                    turns.update(f"{role}\n{text}\n".encode())
                 masked = unescape(turn[a:b])
                 loss_chars += len(masked)
                 loss.update(masked.encode())
+            reader.close()
             rows.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             if len(rows) == 1024:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -171,7 +227,7 @@ def digests(events: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return folded(events, convert, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _conversations(folded(events), convert, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
