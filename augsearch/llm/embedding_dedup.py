@@ -1,22 +1,24 @@
-"""Near-duplicate embeddings: sorted projection passes, then all pairs of a label.
+"""Near-duplicate embeddings by sorted projection passes.
 
 Each pass draws its own random hyperplanes, writes which side of each a vector is on as the bits of a number, and orders the
 vectors of a label by it. Near vectors share many leading bits, so they come near each other in some pass; each
 vector is compared, by cosine in double precision, with the `window` vectors after it. Verified pairs
-of all passes are joined to components.
+of all passes are joined to components. The order is dealt to tasks in ranges; the rows at the ends of each range are compared
+once more with those of its neighbours, so that no window ends at the edge of a task.
 
-The results don't depend on what the passes find; it only spares links. All vectors of a label (and length) are dealt to strips, and every
-pair of strips is compared by matrix products, which return counts, and links between different components of the passes,
-one for each two components. Components that such links touch are joined. So no pair is missed at any size; the products
-grow with the square of a label's distinct vectors, spread over the pairs of strips.
+Hyperplanes go through the mean of the label, since around a common direction sides of planes through the origin tell little. The
+number of passes follows the data: `passes_for` says how many find a pair at the threshold itself with probability `recall`, from the size of
+a label and the spread around its mean; closer pairs are found more surely. So passes grow with a label's size, by about its fifth root.
+
+All pairs within a component, and only those, are then compared by matrix products over tiles, pairs of strips of bounded size, for
+the number of links of each vector; a hot component is so spread over many tasks.
 
 Equal vectors of a label are one row with a count throughout, so a very common vector costs what one does.
-A range of the order ends at the edge of a task, and the window with it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
 link with nothing (n_links 0, component_id = vec_id, kept). Repeated rows of one vec_id and vector link with each other as
-others do. Rows with a null vec_id are returned unlinked. Vectors of different lengths never link. An empty table gives no
-rows; extra columns are ignored.
+others do; different vectors of one vec_id have counts of their own. Rows with a null vec_id are returned unlinked. Vectors of different
+lengths never link. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from augsearch.llm.common import documents, n_tasks, written
 from augsearch.llm.components import components
 
 THRESHOLD = 0.93
-PASSES, TOGETHER, WINDOW, BLOCK = 16, 4, 24, 512
-#: A strip has a quarter of its label, at least BLOCK rows and at most about so many components of vectors.
+TOGETHER, WINDOW, BLOCK, RECALL = 4, 24, 512, 0.999
+#: No more passes than this, which is enough for labels of 10^8 evenly spread vectors.
+PASSES = 128
+#: A strip has a quarter of its component, at least BLOCK rows and at most about so many components of vectors.
 STRIP = 1 << 21
 
 
@@ -62,21 +66,43 @@ def usable() -> Column:
     return F.coalesce(whole, F.lit(False))
 
 
-def _links(threshold: float, window: int):
-    """Pairs of a range of each pass's order that are near enough."""
+def passes_for(size: float, spread: float, threshold: float, window: int, recall: float) -> int:
+    """How many passes bring a pair of that cosine into one window with that probability. spread: the mean squared distance of a label's unit
+    vectors from their mean, 1 for evenly spread ones."""
+    # of the pair as seen from the mean; in labels so tight that it would be less, most vectors are linked, and any window finds links
+    cosine = max(0.6, 1 - (1 - threshold) / max(spread, 1e-9))
+    same_side = 1 - np.arccos(cosine) / np.pi
+    bits = max(0.0, np.log2(max(size, 1.0) / window))  # that a pair has to share, so that fewer than a window's rows come between
+    found = same_side**bits
+    return 1 if found >= recall else int(min(PASSES, np.ceil(np.log(1 - recall) / np.log1p(-found))))
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("code", pa.int64()), ("vec", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+_FOUND_DDL = "a long, b long, pass int, label long, code long, vec long, embedding array<double>"
+
+
+def _links(threshold: float, window: int, ends: bool):
+    """Rows (pass, label, code, vec, embedding) of a range of the order -> pairs that are near enough (a, b); where `ends`, also the first and the last rows of the range."""
+
+    def edge(b: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(b.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *(c.cast(f.type) for c, f in zip(b.columns, list(_FOUND)[2:]))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the last rows of what came before
+        tail, seen = None, 0  # the last rows of what came before
         for b in batches:
             if not b.num_rows:
                 continue
+            if ends and seen < window:
+                yield edge(b.slice(0, window - seen))
+            seen += b.num_rows
             if tail is not None:
                 b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
             new = 0 if tail is None else tail.num_rows
             key = np.stack([np.asarray(b.column(i)) for i in (0, 1)], 1)  # pass and label
-            vec = np.asarray(b.column(2))
+            vec = np.asarray(b.column(3))
             left, right = [], []
-            for rows, x in _matrix(b.column(3)):
+            for rows, x in _matrix(b.column(4)):
                 x = _unit(x)
                 for d in range(1, min(window, len(rows) - 1) + 1):
                     i, j = rows[:-d], rows[d:]
@@ -86,88 +112,100 @@ def _links(threshold: float, window: int):
                     left.append(vec[i[near]])
                     right.append(vec[j[near]])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+                none = [pa.nulls(len(pairs), f.type) for f in list(_FOUND)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=_FOUND)
             tail = b.slice(max(0, b.num_rows - window))
+        if ends and tail is not None:
+            yield edge(tail)
 
     return run
 
 
 def _codes(passes: list[int], seed: int):
-    """Each vector once for each pass, with its place in the pass's order."""
+    """Rows (vec, label, embedding, centre) -> each vector once for each pass, with its place in the pass's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts = []
+            for (rows, x), (_, centre) in zip(_matrix(b.column(2)), _matrix(b.column(3))):
+                parts.append((rows, _unit(x) - centre))
             for p in passes:
                 code = np.zeros(b.num_rows, np.uint64)
-                for rows, x in _matrix(b.column(2)):
+                for rows, x in parts:
                     planes = np.random.default_rng([seed, p, x.shape[1]]).standard_normal((x.shape[1], 64))
                     code[rows] = ((x @ planes) > 0) @ (np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, p, np.int32)), b.column(1), b.column(0), b.column(2), pa.array((code ^ np.uint64(1 << 63)).view(np.int64))], names=["pass", "label", "vec", "embedding", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, p, np.int32)), b.column(1), pa.array((code ^ np.uint64(1 << 63)).view(np.int64)), b.column(0), b.column(2)], names=["pass", "label", "code", "vec", "embedding"])
 
     return run
 
 
-_TILE = ["label", "dims", "i", "j"]
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, embedding) -> of each label and length in the task: label, dims, n, sum of the unit vectors."""
+    sums: dict[tuple[int, int], list] = {}
+    for b in batches:
+        label = np.asarray(b.column(0))
+        for rows, x in _matrix(b.column(1)):
+            x = _unit(x)
+            for one in np.unique(label[rows]):
+                part = x[label[rows] == one]
+                n, s = sums.get((int(one), x.shape[1]), (0, 0.0))
+                sums[int(one), x.shape[1]] = (n + len(part), s + part.sum(0))
+    if sums:
+        rows = [(label, dims, n, s) for (label, dims), (n, s) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["label", "dims", "n", "sum"])
+
+
+_TILE = ["component", "label", "dims", "i", "j"]
 
 
 def _compared(threshold: float, block: int = 1024):
-    """Of each pair of strips, how many links each vector has into the other strip (component null), and the pairs of components that
-    are linked (hash null). Rows come by _TILE, then side; the strip of side 0 is held, that of side 1 streams."""
+    """Of each pair of strips, how many links each vector has into the other strip. Rows come by _TILE, then side; the strip of side 0 is
+    held, that of side 1 streams."""
 
     def part(b: pa.RecordBatch):
-        vec, key, n, component = (np.asarray(b.column(i)) for i in range(5, 9))
-        return vec, key, n, component, _unit(np.asarray(b.column(9).flatten()).reshape(b.num_rows, -1))
+        vec, key, n = (np.asarray(b.column(i)) for i in range(6, 9))
+        return vec, key, n, _unit(np.asarray(b.column(9).flatten()).reshape(b.num_rows, -1))
 
     def out(label, vec, key, links):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), label)), pa.array(vec), pa.array(key), pa.array(links), pa.nulls(len(vec), pa.int64())], names=["label", "vec", "hash", "links", "component"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), label)), pa.array(vec), pa.array(key), pa.array(links)], names=["label", "vec", "hash", "links"])
 
-    def compare(one, two, same: bool, bridges: set):
+    def compare(one, two, same: bool):
         """Links of the rows of one and of two; of pairs of one strip each is seen from both sides in the first."""
         left, right = np.zeros(len(one[0]), np.int64), np.zeros(len(two[0]), np.int64)
         for i in range(0, len(left), block):
             for j in range(0, len(right), block):
                 a, b = slice(i, i + block), slice(j, j + block)
-                near = one[4][a] @ two[4][b].T >= threshold
+                near = one[3][a] @ two[3][b].T >= threshold
                 if same and i == j:
                     np.fill_diagonal(near, False)
-                if not near.any():
-                    continue
                 left[a] += near @ two[2][b]
                 right[b] += one[2][a] @ near
-                x, y = np.nonzero(near & (one[3][a][:, None] != two[3][b]))
-                if len(x):
-                    pairs = np.sort(np.stack([one[3][i + x], two[3][j + y]], 1), 1)
-                    bridges.update(map(tuple, np.unique(pairs, axis=0).tolist()))
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, one, links, bridges = None, [], None, None, set()
+        tile, held, one, links = None, [], None, None
 
         def gathered():
             return tuple(np.concatenate(c) for c in zip(*held))
 
         def done():
-            strip = one
-            if strip is None and held and tile[2] == tile[3]:
+            if one is None and held and tile[3] == tile[4]:
                 strip = gathered()
-                yield out(tile[0], strip[0], strip[1], compare(strip, strip, True, bridges)[0])
-            elif strip is not None:
-                yield out(tile[0], strip[0], strip[1], links)
-            if bridges:
-                a, b = (pa.array(c, pa.int64()) for c in zip(*bridges))
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, a, none, none, b], names=["label", "vec", "hash", "links", "component"])
+                yield out(tile[1], strip[0], strip[1], compare(strip, strip, True)[0])
+            elif one is not None:
+                yield out(tile[1], one[0], one[1], links)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(5)], 1)
+            keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(6)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
             for start, stop in zip(cuts, cuts[1:]):
                 *at, side = keys[start].tolist()
                 if at != tile:
                     yield from done()
-                    tile, held, one, links, bridges = at, [], None, None, set()
+                    tile, held, one, links = at, [], None, None
                 rows = part(b.slice(start, stop - start))
                 if side == 0:
                     held.append(rows)
@@ -175,46 +213,56 @@ def _compared(threshold: float, block: int = 1024):
                     if one is None:
                         one, held = gathered(), [rows]
                         links = np.zeros(len(one[0]), np.int64)
-                    left, right = compare(one, rows, False, bridges)
+                    left, right = compare(one, rows, False)
                     links += left
-                    yield out(tile[0], rows[0], rows[1], right)
+                    yield out(tile[1], rows[0], rows[1], right)
         yield from done()
 
     return run
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = 3) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, seed: int = 3, recall: float = RECALL) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. passes: by default as many as `recall` needs."""
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("hash", F.when(usable(), F.xxhash64("embedding")))
     # each usable vector of a label once, under its least vec_id
     distinct = written(rows.filter("hash is not null").groupBy("label", "hash", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n")), "vectors")
+    # the mean of each label; a row for each label and length
+    dims = F.size("embedding").alias("dims")
+    sums = distinct.select("label", "embedding").mapInArrow(_sums, "label long, dims int, n long, sum array<double>").select("label", "dims", "n", F.posexplode("sum"))
+    sums = sums.groupBy("label", "dims", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("sum"))
+    means = sums.groupBy("label", "dims").agg(F.max("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("sum") / F.col("n")).alias("mean")))), lambda x: x["mean"]).alias("centre"))
+    means = written(means, "means")
+    # what one label needs follows its size and spread; passes are for all, as many as the neediest label's
+    spread = 1 - F.aggregate("centre", F.lit(0.0), lambda a, x: a + x * x)
+    kinds = means.groupBy(F.ceil(F.log2("size") * 4).alias("size"), F.ceil(spread * 64).alias("spread")).count().collect()  # some 200 sizes by 65 spreads at most
+    most = max((passes_for(2 ** (k["size"] / 4), max(k["spread"] - 1, 0.5) / 64, threshold, window, recall) for k in kinds), default=0)
+    passes = min(most, PASSES) if passes is None else passes
+    centred = distinct.select("vec", "label", "embedding", dims).join(means.select("label", "dims", "centre"), ["label", "dims"]).select("vec", "label", "embedding", "centre")
     found = None
+    order = ("pass", "label", "code", "vec")
     for p in range(0, passes, TOGETHER):
-        some = list(range(p, min(passes, p + TOGETHER)))
-        coded = distinct.select("vec", "label", "embedding").mapInArrow(_codes(some, seed), "pass int, label long, vec long, embedding array<double>, code long")
-        ordered = coded.repartitionByRange(n_tasks(spark), "pass", "label", "code", "vec").sortWithinPartitions("pass", "label", "code", "vec")
-        links = written(ordered.select("pass", "label", "vec", "embedding").mapInArrow(_links(threshold, window), "a long, b long"), "links")
+        coded = centred.mapInArrow(_codes(list(range(p, min(passes, p + TOGETHER))), seed), "pass int, label long, code long, vec long, embedding array<double>")
+        ranges = written(coded.repartitionByRange(n_tasks(spark), *order).sortWithinPartitions(*order).mapInArrow(_links(threshold, window, True), _FOUND_DDL), "links")
+        ends = ranges.filter("a is null").select(*order, "embedding").distinct().repartition(n_tasks(spark), "pass", "label").sortWithinPartitions(*order)
+        links = ranges.filter("a is not null").select("a", "b").union(ends.mapInArrow(_links(threshold, window, False), _FOUND_DDL).select("a", "b"))
         found = links if found is None else found.union(links)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long")
     # a vec may stand for different vectors of one repeated vec_id: those need no link
     joined = written(components(found.filter("a <> b").distinct()), "embedding-components")
-    members = distinct.join(joined, F.col("vec") == F.col("node"), "left").select("label", F.size("embedding").alias("dims"), "vec", "hash", "n", F.coalesce("component", "vec").alias("component"), "embedding")
-    # strips follow the size of the label: few copies of each vector, and a strip that a task can hold
-    sized = distinct.groupBy("label", F.size("embedding").alias("dims")).agg(F.count("*").alias("size")).filter("size > 1")
+    members = distinct.join(joined, F.col("vec") == F.col("node")).select("component", "label", dims, "vec", "hash", "n", "embedding")
+    # strips follow the size of the component: few copies of each vector, and a strip that a task can hold
+    sized = members.groupBy("component", "label", "dims").agg(F.count("*").alias("size")).filter("size > 1")
     rows_of_strip = F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 4)), F.greatest(F.lit(block), F.floor(F.lit(STRIP) / F.col("dims"))))
-    sized = sized.select("label", "dims", F.ceil(F.col("size") / rows_of_strip).cast("int").alias("strips"))
-    dealt = members.join(sized, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("vec", "hash", F.lit(seed)), F.col("strips")).cast("int"))
+    sized = sized.select("component", "label", "dims", F.ceil(F.col("size") / rows_of_strip).cast("int").alias("strips"))
+    dealt = members.join(sized, ["component", "label", "dims"]).withColumn("own", F.pmod(F.xxhash64("vec", "hash", F.lit(seed)), F.col("strips")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
-    tiles = dealt.select("label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec", "hash", "n", "component", "embedding")
+    tiles = dealt.select("component", "label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec", "hash", "n", "embedding")
     tiles = tiles.repartition(n_tasks(spark), *_TILE).sortWithinPartitions(*_TILE, "side")
-    compared = written(tiles.mapInArrow(_compared(threshold), "label long, vec long, hash long, links long, component long"), "compared")
-    linked = compared.filter("hash is not null").groupBy("label", "vec", "hash").agg(F.sum("links").alias("links"))
-    bridges = compared.filter("component is not null").select(F.col("vec").alias("a"), F.col("component").alias("b"))
-    bridged = components(bridges, "bridged-components").select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    whole = joined.join(bridged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
-    whole = whole.union(bridged.join(joined, F.col("part") == F.col("node"), "left_anti").select("part", "whole"))
-    classes = distinct.join(whole, F.col("vec") == F.col("node"), "left").join(linked, ["label", "vec", "hash"], "left")
+    linked = tiles.mapInArrow(_compared(threshold), "label long, vec long, hash long, links long").groupBy("label", "vec", "hash").agg(F.sum("links").alias("links"))
+    classes = distinct.join(joined, F.col("vec") == F.col("node"), "left").join(linked, ["label", "vec", "hash"], "left")
     classes = classes.select("label", "hash", "embedding", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     all_rows = rows.join(classes, ["label", "hash", "embedding"], "left")
     component = F.coalesce("component", "vec", "vec_id")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from augsearch.llm.components import components
-from augsearch.llm.embedding_dedup import near_duplicates, query
+from augsearch.llm.embedding_dedup import near_duplicates, passes_for, query
 from tests.llm import brute
 
 
@@ -72,17 +72,55 @@ def test_blocks_count_every_link(spark):
     assert {(x.n_links, x.component_id) for x in got} == {(299, 0)}
 
 
-def test_pairs_that_the_passes_miss(spark):
-    """Isolated near pairs around a common direction, most of which one pass with a window of one row doesn't see."""
-    r = np.random.default_rng(5)
-    x = r.standard_normal((600, 64)) + 1.2
-    rows = [(i, int(i % 200 == 7), v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.25 * r.standard_normal(x.shape)]))]
-    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
-    links, comp = truth(rows)
-    assert sum(n > 0 for n in links.values()) > 1000
-    for options in ({"passes": 1, "window": 1}, {"passes": 2, "window": 2, "block": 50}):
-        got = {x.vec_id: (x.n_links, x.component_id) for x in near_duplicates(df, **options).collect()}
-        assert got == {i: (links[i], comp[i]) for i in links}
+def test_recall(spark):
+    """Isolated pairs just above the threshold, evenly spread and around a common direction: links are found, and nothing else links."""
+    r, rows, n = np.random.default_rng(5), [], 8000
+    for label, mean in ((0, 0.0), (1, 0.8)):
+        x = r.standard_normal((n, 64)) + mean
+        y = r.standard_normal(x.shape)
+        y -= (y * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x  # orthogonal to x
+        cosine = r.uniform(0.931, 0.95, (n, 1))
+        y = cosine * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        rows += [(label * 2 * n + k, label, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    got = {g.vec_id: (g.n_links, g.component_id) for g in near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(8)).collect()}
+    unit = [np.array([v / np.linalg.norm(v) for _, label, e in rows if label == k for v in [np.array(e)]]) for k in (0, 1)]
+    for k, u in enumerate(unit):
+        first = k * 2 * n
+        true = sum(int((u[a : a + 1000] @ u.T >= 0.93).sum()) for a in range(0, 2 * n, 1000)) - 2 * n
+        found = sum(got[first + a][0] for a in range(2 * n))
+        assert true >= 2 * n and 0.99 * true <= found <= true
+        assert sum(got[first + a][1] == got[first + a + n][1] for a in range(n)) >= 0.99 * n
+
+
+def test_windows_reach_over_the_edges_of_tasks(spark):
+    """With one pass and a small window, whatever one range of the order finds more ranges find too."""
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((40, 16))
+    rows = [(i, 0, (centres[i % 40] + 0.12 * r.standard_normal(16)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, near_duplicates(df, passes=1, window=3).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(x[1] for x in results[0]) > 400
+    for more in results[1:]:
+        assert all(a[0] == b[0] and a[1] <= b[1] and a[2] >= b[2] for a, b in zip(results[0], more))
+
+
+def test_vectors_of_one_vec_id(spark):
+    """Different vectors of one vec_id have counts of their own."""
+    rows = [(1, 0, [1.0, 0.0, 0.0]), (1, 0, [0.0, 1.0, 0.0]), (2, 0, [1.0, 0.01, 0.0]), (3, 0, [1.0, 0.0, 0.01])]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).select("vec_id", "n_links", "component_id").collect()))
+    assert got == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_passes_follow_size_and_spread():
+    sizes = [passes_for(n, 1.0, 0.93, 24, 0.999) for n in (10, 500, 40_000, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] < 200
+    assert passes_for(40_000, 0.4, 0.93, 24, 0.999) > sizes[2]
 
 
 def test_query(spark, sf_dir):
