@@ -16,8 +16,11 @@ and needs to hold for equal strings only.) Then, as in blockwise construction:
    equal d bytes before and 50 - d bytes after. In each class all documents but the least lose the string.
 3. What goes is gathered by document and cut out of the whole text.
 
-A bucket of any size is read in chunks of `chunk` rows; between chunks only distinct contexts are kept, each under its least
-document. Matches never cross documents, and strings are judged on the input.
+A bucket is read in chunks of `chunk` rows; between chunks only distinct contexts are kept, each under its least document. Buckets
+of more than `hot` documents go to no single task: their distinct contexts are aggregated under the least document of each, ties between contexts are
+resolved by the hash of each 50-byte string that they stand for, and rows find their context's ranks through a join. So no task
+holds more than `hot` rows of a bucket. A passage that a document repeats is one row with all its places.
+Matches never cross documents, and strings are judged on the input.
 
 Defined results: a null text counts as empty; rows with a null doc_id are returned whole and remove nothing; rows of one
 doc_id never remove from each other; an empty table gives no rows; extra columns are ignored.
@@ -38,6 +41,8 @@ from augsearch.llm.common import documents, freed, n_tasks, numbered, slices, wr
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a sampled suffix starts at most this far into a string
 CHUNK = 200_000
+#: Documents of a bucket that one task sorts, at most.
+HOT = 10_000
 #: In place of a position: the whole text is that of a smaller document.
 COPY = -1
 
@@ -110,14 +115,16 @@ def _samples(batches):
                 yield table.slice(i, 20_000)
 
 
-_CONTEXT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("before", pa.int8()), ("least", pa.int8()), ("context", pa.binary())])
+_CONTEXT = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("before", pa.int8()), ("least", pa.int8()), ("context", pa.binary())])
+_CONTEXT_DDL = "bucket long, hot boolean, doc_id long, th long, at array<int>, before tinyint, least tinyint, context binary"
 
 
 def _contexts(batches):
-    """For each sampled suffix in a shared bucket the strings that it stands for: those that start `least` to `before` bytes before it."""
-    for (doc, th, buckets), texts in _bytes(batches):
+    """For each sampled suffix in a shared bucket the strings that it stands for: those that start `least` to `before` bytes before it. Equal ones of
+    a document are one row."""
+    for (doc, th, buckets, hot), texts in _bytes(batches):
         rows: list[list] = [[] for _ in _CONTEXT]
-        for d, t, shared, text in zip(doc, th, buckets, texts):
+        for d, t, shared, crowded, text in zip(doc, th, buckets, hot, texts):
             of = sampled(text)
             if not len(of):
                 continue
@@ -127,14 +134,43 @@ def _contexts(batches):
             h = grams(text, at).view(np.int64)
             some = np.isin(h, np.array(shared, np.int64))
             at, first, last, h = at[some], first[some], last[some], h[some]
-            raw = text.tobytes()
-            n = len(at)
-            for column, values in zip(rows, (h.tolist(), [d] * n, [t] * n, at.tolist(), (at - first).tolist(), (at - last).tolist(), [raw[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())])):
-                column.extend(values)
+            raw, crowded = text.tobytes(), set(crowded or ())
+            places: dict[tuple, list] = {}
+            for key, p, a, b in zip(h.tolist(), at.tolist(), first.tolist(), last.tolist()):
+                places.setdefault((key, p - a, p - b, raw[a : b + LENGTH]), []).append(p)
+            for (key, before, least, context), p in places.items():
+                for column, value in zip(rows, (key, key in crowded, d, t, p, before, least, context)):
+                    column.append(value)
         for i in range(0, len(rows[0]), 8192):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 8192], f.type) for c, f in zip(rows, _CONTEXT)], schema=_CONTEXT)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts (c, doc_id, before, least, context) -> a row for each string: c, d (how far before the suffix it starts), its hash, doc_id."""
+    for whole in batches:
+        for b in slices(whole, "context", 1 << 18):
+            out: list[list] = [[], [], [], []]
+            for c, doc, before, least, context in zip(*(x.to_pylist() for x in b.columns)):
+                for d in range(least, before + 1):
+                    digest = hashlib.blake2b(context[before - d : before - d + LENGTH], digest_size=16).digest()
+                    for column, value in zip(out, (c, d, digest, doc)):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int8(), pa.binary(), pa.int64()))], names=["c", "d", "string", "doc_id"])
+
+
+def _hot_marks(contexts: DataFrame) -> DataFrame:
+    """What goes by the contexts of hot buckets, with no bucket gathered anywhere."""
+    rows = contexts.withColumn("c", F.unhex(F.md5(F.concat(F.col("before").cast("string").cast("binary"), F.lit(b"-"), F.col("least").cast("string").cast("binary"), F.lit(b"-"), F.hex("bucket").cast("binary"), F.col("context")))))
+    # equal contexts fall together before they are shuffled
+    distinct = rows.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("before").alias("before"), F.first("least").alias("least"), F.first("context").alias("context"))
+    strings = written(distinct.mapInArrow(_strings, "c binary, d tinyint, string binary, doc_id long"), "hot-strings")
+    ranks = strings.select("c", "d", "string").join(strings.groupBy("string").agg(F.min("doc_id").alias("least_doc")), "string")
+    ranks = ranks.groupBy("c").agg(F.collect_list(F.struct("d", "least_doc")).alias("ranks"))  # 31 at most
+    bit = F.expr("aggregate(ranks, 0L, (m, x) -> m + if(x.least_doc < doc_id, shiftleft(1L, cast(x.d as int)), 0L))")
+    return rows.select("c", "doc_id", "th", "at").join(ranks, "c").select("doc_id", "th", "at", bit.alias("mask")).filter("mask > 0")
+
+
 def _padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
     """Rows of up to 56 bytes from starts on (step 1) or backwards (step -1), as big-endian words, zeros after the size."""
     column = np.arange(56)
@@ -196,12 +232,14 @@ def _sorted_buckets(chunk: int):
         n = kept = 0  # rows held, and how many of them only stand for what came before
 
         def worked(rows: pa.Table, skip: int) -> pa.RecordBatch:
-            bucket, doc, th, at, before, least = (np.asarray(rows.column(i)) for i in range(6))
+            bucket, doc, th, before, least = (np.asarray(rows.column(i)) for i in (0, 1, 2, 4, 5))
             before, least = before.astype(np.int64), least.astype(np.int64)
             mask = repeats(bucket, doc, before, least, rows.column(6).combine_chunks() if isinstance(rows.column(6), pa.ChunkedArray) else rows.column(6))
             some = np.flatnonzero(mask > 0)
             some = some[some >= skip]
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (doc, th, at, mask)], names=["doc_id", "th", "at", "mask"])
+            at = rows.column(3).take(pa.array(some))
+            at = at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at
+            return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(th[some]), at, pa.array(mask[some])], names=["doc_id", "th", "at", "mask"])
 
         for b in batches:
             if not b.num_rows:
@@ -232,14 +270,15 @@ def _sorted_buckets(chunk: int):
     return run
 
 
-def _gone(at: list[int] | None, mask: list[int] | None, text: np.ndarray) -> np.ndarray:
+def _gone(ats: list[list[int]] | None, masks: list[int] | None, text: np.ndarray) -> np.ndarray:
     """Which bytes of the text go."""
-    if at is None:
+    if ats is None:
         return np.zeros(len(text), bool)
-    if COPY in at:
+    if any(at[0] == COPY for at in ats):
         return np.full(len(text), len(text) >= LENGTH)
-    bits = (np.array(mask, np.int64)[:, None] >> np.arange(REACH + 1)) & 1
-    starts = (np.array(at, np.int64)[:, None] - np.arange(REACH + 1))[bits > 0]
+    at, mask = np.array([p for x in ats for p in x], np.int64), np.repeat(np.array(masks, np.int64), [len(x) for x in ats])
+    bits = (mask[:, None] >> np.arange(REACH + 1)) & 1
+    starts = (at[:, None] - np.arange(REACH + 1))[bits > 0]
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + LENGTH, -1)
@@ -257,42 +296,49 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(change, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _marks(docs: DataFrame, chunk: int) -> DataFrame:
+def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
     """docs: doc_id, th (the hash of the text), text -> doc_id, th, ats, masks: what to remove, for documents that lose anything."""
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null").select("doc_id", "th", "text")
     # a copy of a smaller document goes whole, so buckets that only copies of one text share need no sorting
     whole = known.select("doc_id", "th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     copies = whole.join(whole.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha").filter("doc_id > first").select("doc_id", "th").distinct()
-    copies = copies.select("doc_id", "th", F.lit(COPY).alias("at"), F.lit(0).cast("long").alias("mask"))
+    copies = copies.select("doc_id", "th", F.array(F.lit(COPY)).alias("at"), F.lit(0).cast("long").alias("mask"))
     by_bucket = Window.partitionBy("bucket")
     samples = known.mapInArrow(_samples, "doc_id long, th long, bucket long")
-    shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket")
+    shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket), "docs": F.count("*").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket", (F.col("docs") > hot).alias("hot"))
     shared = written(shared, "shared-buckets")
     freed(spark)
-    wanted = shared.groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
-    contexts = known.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "buckets", "text").mapInArrow(_contexts, "bucket long, doc_id long, th long, at int, before tinyint, least tinyint, context binary")
-    dealt = contexts.repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
-    marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at int, mask long"), "marks")
+    wanted = shared.groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"), F.collect_set(F.when(F.col("hot"), F.col("bucket"))).alias("hot"))
+    contexts = known.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "buckets", "hot", "text").mapInArrow(_contexts, _CONTEXT_DDL)
+    crowded = not shared.filter("hot").isEmpty()
+    if crowded:  # read twice
+        contexts = written(contexts, "contexts")
+    own = contexts.filter("not hot").select("bucket", "doc_id", "th", "at", "before", "least", "context")
+    dealt = own.repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
+    marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at array<int>, mask long"), "marks")
     freed(spark)
+    if crowded:
+        marks = marks.union(written(_hot_marks(contexts.filter("hot")), "hot-marks"))
+        freed(spark)
     return marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
 
 
-def suffix_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end, begin, end ... of what goes)."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    marked = docs.join(_marks(docs, chunk), ["doc_id", "th"], "left")
+    marked = docs.join(_marks(docs, chunk, hot), ["doc_id", "th"], "left")
     return marked.select("doc_id", "ats", "masks", "text").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def without_repeats(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """docs, any columns of any names, with what is left of each text; a character that loses some of its bytes goes whole."""
     at, rows = docs.columns.index("text"), numbered(docs)
     names = rows.columns
     doc, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{at}").cast("string")
     hashed = rows.withColumns({"doc_id": doc, "th": F.xxhash64(text)})
-    marks = _marks(hashed.select("doc_id", "th", text.alias("text")), chunk)
+    marks = _marks(hashed.select("doc_id", "th", text.alias("text")), chunk, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

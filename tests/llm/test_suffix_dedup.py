@@ -36,8 +36,8 @@ def test_table(spark, sf_dir):
     assert got(query(spark, sf_dir)) == truth(rows)
 
 
-@pytest.mark.parametrize("chunk", [200_000, 40])
-def test_planted(spark, chunk):
+@pytest.mark.parametrize("chunk, hot", [(200_000, 10_000), (40, 10_000), (40, 10), (200_000, 0)])
+def test_planted(spark, chunk, hot):
     r = random.Random(chunk)
     alphabet = "ab é"
     passages = ["".join(r.choices(alphabet, k=n)) for n in (49, 50, 51, 80, 200)] + ["x" * 120, "ab" * 60, "\0" * 70]
@@ -50,8 +50,20 @@ def test_planted(spark, chunk):
     r.shuffle(rows)
     rows += [(3000 + k, passages[4]) for k in range(60)] + [(None, passages[4]), (3001, passages[4]), (3002, "y" * 70), (3003, "long " * 20_000)]
     df = spark.createDataFrame([(*x, "b") for x in rows], "doc_id long, text string, bucket string").repartition(3)
-    assert got(suffix_dedup(df, chunk)) == truth(rows)
+    assert got(suffix_dedup(df, chunk, hot)) == truth(rows)
 
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("hot", [20, 10_000])
+def test_bucket_of_many_contexts(spark, hot):
+    """One common opening with continuations of its own in each document, far more than a chunk; some share more of it."""
+    r = random.Random(hot)
+    opening = "the very same opening of forty-five bytes ..."
+    tails = ["".join(r.choices("abcdef ", k=60)) for _ in range(40)]
+    rows = [(i, "".join(r.choices("xyz ", k=20)) + opening + (r.choice(tails)[: r.randrange(60)] if i % 3 else "") + "".join(r.choices("uvw ", k=30))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = truth(rows)
+    assert got(suffix_dedup(df, 50, hot)) == want and sum(x[2] for x in want) > 10_000
