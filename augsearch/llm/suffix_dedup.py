@@ -115,16 +115,16 @@ def _samples(batches):
                 yield table.slice(i, 20_000)
 
 
-_CONTEXT = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("before", pa.int8()), ("least", pa.int8()), ("context", pa.binary())])
-_CONTEXT_DDL = "bucket long, hot boolean, doc_id long, th long, at array<int>, before tinyint, least tinyint, context binary"
+_CONTEXT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.list_(pa.int32())), ("before", pa.int8()), ("least", pa.int8()), ("context", pa.binary())])
+_CONTEXT_DDL = "bucket long, doc_id long, th long, at array<int>, before tinyint, least tinyint, context binary"
 
 
 def _contexts(batches):
     """For each sampled suffix in a shared bucket the strings that it stands for: those that start `least` to `before` bytes before it. Equal ones of
     a document are one row."""
-    for (doc, th, buckets, hot), texts in _bytes(batches):
+    for (doc, th, buckets), texts in _bytes(batches):
         rows: list[list] = [[] for _ in _CONTEXT]
-        for d, t, shared, crowded, text in zip(doc, th, buckets, hot, texts):
+        for d, t, shared, text in zip(doc, th, buckets, texts):
             of = sampled(text)
             if not len(of):
                 continue
@@ -134,12 +134,12 @@ def _contexts(batches):
             h = grams(text, at).view(np.int64)
             some = np.isin(h, np.array(shared, np.int64))
             at, first, last, h = at[some], first[some], last[some], h[some]
-            raw, crowded = text.tobytes(), set(crowded or ())
+            raw = text.tobytes()
             places: dict[tuple, list] = {}
             for key, p, a, b in zip(h.tolist(), at.tolist(), first.tolist(), last.tolist()):
                 places.setdefault((key, p - a, p - b, raw[a : b + LENGTH]), []).append(p)
             for (key, before, least, context), p in places.items():
-                for column, value in zip(rows, (key, key in crowded, d, t, p, before, least, context)):
+                for column, value in zip(rows, (key, d, t, p, before, least, context)):
                     column.append(value)
         for i in range(0, len(rows[0]), 8192):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 8192], f.type) for c, f in zip(rows, _CONTEXT)], schema=_CONTEXT)
@@ -309,17 +309,16 @@ def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
     shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket), "docs": F.count("*").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket", (F.col("docs") > hot).alias("hot"))
     shared = written(shared, "shared-buckets")
     freed(spark)
-    wanted = shared.groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"), F.collect_set(F.when(F.col("hot"), F.col("bucket"))).alias("hot"))
-    contexts = known.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "buckets", "hot", "text").mapInArrow(_contexts, _CONTEXT_DDL)
-    crowded = not shared.filter("hot").isEmpty()
-    if crowded:  # read twice
-        contexts = written(contexts, "contexts")
-    own = contexts.filter("not hot").select("bucket", "doc_id", "th", "at", "before", "least", "context")
-    dealt = own.repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
+
+    def contexts(hot: bool) -> DataFrame:
+        wanted = shared.filter(F.col("hot") == hot).groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
+        return known.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "buckets", "text").mapInArrow(_contexts, _CONTEXT_DDL)
+
+    dealt = contexts(False).repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at array<int>, mask long"), "marks")
     freed(spark)
-    if crowded:
-        marks = marks.union(written(_hot_marks(contexts.filter("hot")), "hot-marks"))
+    if not shared.filter("hot").isEmpty():  # once the disk of the others is free
+        marks = marks.union(written(_hot_marks(written(contexts(True), "hot-contexts")), "hot-marks"))
         freed(spark)
     return marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
 
