@@ -6,7 +6,8 @@
    merges are replayed on all its words at once: an inverted index leads from a pair of tokens, held under the rank of
    what it merges to, to its positions in the words. Ranks are taken in order; a merge touches its own positions and enters
    the new pairs with their neighbours in the index.
-3. Ids go back to the blocks that have the word, and a block's documents take the ids of their words.
+3. Ids go back to the blocks that have the word, and a block's documents take the ids of their words. The table of documents is bucketed by
+   block, so they are not shuffled.
 
 A dictionary of all words is broadcast nowhere. What a task holds is bounded: the words of one block or `REPLAY_BYTES` of distinct words.
 A very common word has one row for each block.
@@ -21,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, n_tasks, slices, written
+from augsearch.llm.common import documents, n_tasks, scratch, slices
 from augsearch.llm.pretokenize import split
 
 BLOCK_BYTES = 24 << 20
@@ -259,37 +261,32 @@ def _replayed(path: str, replay_bytes: int):
     return run
 
 
-def _by_block(docs: DataFrame, path: str, block_bytes: int, convert, ddl: str) -> DataFrame:
+def _by_block(docs: DataFrame, path: str, block_bytes: int, convert, schema: pa.Schema, ddl: str) -> DataFrame:
     """convert: ids of a block's words by number -> (doc_ids and the numbers of their words -> batches)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # parts have so few bytes of words that one task can hold each distinct word of a part once
     parts = n_tasks(spark, n_bytes // (8 * REPLAY_BYTES))
-    numbered = written(docs.mapInArrow(_numbered(block_bytes, parts), _ROW_DDL), "words")
+    # bucketed by block, so that documents, which are most of it, need no shuffle to meet their words
+    name, at = f"words_{uuid.uuid4().hex}", scratch(spark, "words")
+    numbered = docs.mapInArrow(_numbered(block_bytes, parts), _ROW_DDL)
+    numbered.write.bucketBy(n_tasks(spark), "block").option("path", at).option("compression", "none").format("parquet").saveAsTable(name)
+    numbered = spark.table(name)
     words = numbered.filter(F.col("part") != WHOLE).repartitionById(parts, F.col("part")).mapInArrow(_replayed(path, REPLAY_BYTES), _ROW_DDL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, encode = None, [], None
-        for b in batches:
-            for block, part, docs_, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
-                if block != now:
-                    now, known, encode = block, [], None
-                values = _unpacked(blob)
-                if part != WHOLE:
-                    steps, lengths = _unpacked(sizes).reshape(2, -1)
-                    known.append((np.cumsum(steps), np.split(values, np.cumsum(lengths)[:-1])))
-                    continue
-                if encode is None:
-                    of_word: list = [None] * sum(len(n) for n, _ in known)
-                    for numbers, ids in known:
-                        for k, x in zip(numbers.tolist(), ids):
-                            of_word[k] = x
-                    known, encode = [], convert(of_word)
-                yield from encode(docs_, np.split(values, np.cumsum(_unpacked(sizes))[:-1]))
-
-    dealt = numbered.filter(F.col("part") == WHOLE).union(words).repartition(n_tasks(spark), "block").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(run, ddl)
+    def meet(whole: pa.Table, ids: pa.Table) -> pa.Table:
+        of_word: dict[int, np.ndarray] = {}
+        for sizes, blob in zip(ids.column("sizes").to_pylist(), ids.column("blob").to_pylist()):
+            steps, lengths = _unpacked(sizes).reshape(2, -1)
+            of_word.update(zip(np.cumsum(steps).tolist(), np.split(_unpacked(blob), np.cumsum(lengths)[:-1])))
+        encode = convert([of_word[k] for k in range(len(of_word))])
+        out = []
+        for docs_, sizes, blob in zip(*(whole.column(c).to_pylist() for c in ("docs", "sizes", "blob"))):
+            out += encode(docs_, np.split(_unpacked(blob), np.cumsum(_unpacked(sizes))[:-1]))
+        return pa.Table.from_batches(out, schema=schema)
+
+    return numbered.filter(F.col("part") == WHOLE).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(meet, ddl)
 
 
 def encode(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +301,7 @@ def encode(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES, id_
 
         return run
 
-    return _by_block(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ranks_path, block_bytes, convert, "doc_id long, ids array<int>")
+    return _by_block(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ranks_path, block_bytes, convert, schema, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -339,7 +336,7 @@ def digests(docs: DataFrame, ranks_path: str, block_bytes: int = BLOCK_BYTES) ->
 
         return run
 
-    return _by_block(docs, ranks_path, block_bytes, convert, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _by_block(docs, ranks_path, block_bytes, convert, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
