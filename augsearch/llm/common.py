@@ -100,14 +100,15 @@ def record_batches(schema: pa.Schema, columns: list, rows: int = 4096) -> Iterat
     yield from table.to_batches(max_chunksize=rows)
 
 
-def freed(spark: SparkSession) -> None:
+def freed(spark: SparkSession, times: int = 1) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; call it after a large `written`.
 
     Spark's cleaner follows the collector of the driver's JVM, which alone runs too seldom to keep disks free.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
+    for _ in range(times):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2 if times == 1 else 0.5)
 
 
 def _qualified(spark: SparkSession, path: str, encoded: bool = False) -> str:

@@ -308,7 +308,7 @@ def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
     samples = known.mapInArrow(_samples, "doc_id long, th long, bucket long")
     shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket), "docs": F.count("*").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket", (F.col("docs") > hot).alias("hot"))
     shared = written(shared, "shared-buckets")
-    freed(spark)
+    freed(spark, 3)
 
     def contexts(hot: bool) -> DataFrame:
         wanted = shared.filter(F.col("hot") == hot).groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
@@ -316,10 +316,10 @@ def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
 
     dealt = contexts(False).repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at array<int>, mask long"), "marks")
-    freed(spark)
+    freed(spark, 3)
     if not shared.filter("hot").isEmpty():  # once the disk of the others is free
         marks = marks.union(written(_hot_marks(written(contexts(True), "hot-contexts")), "hot-marks"))
-        freed(spark)
+        freed(spark, 3)
     return marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
 
 
