@@ -18,8 +18,9 @@ and needs to hold for equal strings only.) Then, as in blockwise construction:
 
 A bucket is read in chunks of `chunk` rows; between chunks only distinct contexts are kept, each under its least document. Buckets
 of more than `hot` documents go to no single task: their distinct contexts are aggregated under the least document of each, ties between contexts are
-resolved by the hash of each 50-byte string that they stand for, and rows find their context's ranks through a join. So no task
-holds more than `hot` rows of a bucket. A passage that a document repeats is one row with all its places.
+resolved by the hash of each 50-byte string that they stand for, and rows find their context's ranks through a join. Unless it is given,
+`hot` is the rows that a task has on average, so that no bucket makes a task much larger than the others whatever the size of the corpus, and a chunk at most, so
+that a bucket's contexts fit in memory. A passage that a document repeats is one row with all its places.
 Matches never cross documents, and strings are judged on the input.
 
 Defined results: a null text counts as empty; rows with a null doc_id are returned whole and remove nothing; rows of one
@@ -41,8 +42,8 @@ from augsearch.llm.common import documents, freed, n_tasks, numbered, slices, wr
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a sampled suffix starts at most this far into a string
 CHUNK = 200_000
-#: Documents of a bucket that one task sorts, at most.
-HOT = 10_000
+#: Buckets of fewer documents are never split, however small the table.
+SMALL = 1000
 #: In place of a position: the whole text is that of a smaller document.
 COPY = -1
 
@@ -246,7 +247,7 @@ def _sorted_buckets(chunk: int):
                 continue
             held.append(b)
             n += b.num_rows
-            if n < chunk:
+            if n < max(chunk, 2 * kept):
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             bucket = np.asarray(rows.column(0))
@@ -296,7 +297,7 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(change, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
+def _marks(docs: DataFrame, chunk: int, hot: int | None) -> DataFrame:
     """docs: doc_id, th (the hash of the text), text -> doc_id, th, ats, masks: what to remove, for documents that lose anything."""
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null").select("doc_id", "th", "text")
@@ -306,24 +307,28 @@ def _marks(docs: DataFrame, chunk: int, hot: int) -> DataFrame:
     copies = copies.select("doc_id", "th", F.array(F.lit(COPY)).alias("at"), F.lit(0).cast("long").alias("mask"))
     by_bucket = Window.partitionBy("bucket")
     samples = known.mapInArrow(_samples, "doc_id long, th long, bucket long")
-    shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket), "docs": F.count("*").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket", (F.col("docs") > hot).alias("hot"))
+    shared = samples.withColumns({"low": F.min("th").over(by_bucket), "high": F.max("th").over(by_bucket), "docs": F.count("*").over(by_bucket)}).filter("low < high").select("doc_id", "th", "bucket", F.col("docs").cast("int").alias("docs"))
     shared = written(shared, "shared-buckets")
+    if hot is None:
+        hot = min(chunk, max(SMALL, shared.count() // n_tasks(spark)))
     freed(spark, 3)
 
+    is_hot = F.col("docs") > hot
+
     def contexts(hot: bool) -> DataFrame:
-        wanted = shared.filter(F.col("hot") == hot).groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
+        wanted = shared.filter(is_hot if hot else ~is_hot).groupBy("doc_id", "th").agg(F.collect_set("bucket").alias("buckets"))
         return known.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "buckets", "text").mapInArrow(_contexts, _CONTEXT_DDL)
 
     dealt = contexts(False).repartition(n_tasks(spark), "bucket").sortWithinPartitions("bucket", "doc_id")
     marks = written(dealt.mapInArrow(_sorted_buckets(chunk), "doc_id long, th long, at array<int>, mask long"), "marks")
     freed(spark, 3)
-    if not shared.filter("hot").isEmpty():  # once the disk of the others is free
+    if not shared.filter(is_hot).isEmpty():  # once the disk of the others is free
         marks = marks.union(written(_hot_marks(written(contexts(True), "hot-contexts")), "hot-marks"))
         freed(spark, 3)
     return marks.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select("doc_id", "th", F.col("marks.at").alias("ats"), F.col("marks.mask").alias("masks"))
 
 
-def suffix_dedup(docs: DataFrame, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, chunk: int = CHUNK, hot: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end, begin, end ... of what goes)."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -331,7 +336,7 @@ def suffix_dedup(docs: DataFrame, chunk: int = CHUNK, hot: int = HOT) -> DataFra
     return marked.select("doc_id", "ats", "masks", "text").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def without_repeats(docs: DataFrame, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk: int = CHUNK, hot: int | None = None) -> DataFrame:
     """docs, any columns of any names, with what is left of each text; a character that loses some of its bytes goes whole."""
     at, rows = docs.columns.index("text"), numbered(docs)
     names = rows.columns

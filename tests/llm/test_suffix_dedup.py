@@ -57,10 +57,11 @@ def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("hot", [20, 10_000])
-def test_bucket_of_many_contexts(spark, hot):
+@pytest.mark.parametrize("hot", [20, 10_000, None])
+def test_bucket_of_many_contexts(spark, monkeypatch, hot):
     """One common opening with continuations of its own in each document, far more than a chunk; some share more of it."""
-    r = random.Random(hot)
+    monkeypatch.setattr("augsearch.llm.suffix_dedup.SMALL", 10)  # None: of 50 documents, a chunk
+    r = random.Random(hot or 7)
     opening = "the very same opening of forty-five bytes ..."
     tails = ["".join(r.choices("abcdef ", k=60)) for _ in range(40)]
     rows = [(i, "".join(r.choices("xyz ", k=20)) + opening + (r.choice(tails)[: r.randrange(60)] if i % 3 else "") + "".join(r.choices("uvw ", k=30))) for i in range(900)]
