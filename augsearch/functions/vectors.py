@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,8 @@ def pooled(rows: DataFrame, key: str, vector: str, how: str = "mean") -> DataFra
     f = F.avg if how == "mean" else F.median
     cells = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(f("x").alias("x"))
     return cells.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(vector))
+
+
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """rows x centres, for tasks: no array has all three of rows, centres and dimensions."""
+    return np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", centres, centres) - 2 * x @ centres.T

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augsearch.functions.vectors import normalised, squared_distance
+from augsearch.functions.vectors import normalised, squared_distance, squared_distances
 from augsearch.operators.retrieval import nearest
 
 
@@ -120,7 +120,7 @@ class KMedoids:
                 for b in batches:
                     if b.num_rows:
                         p = np.array(b.column(1).to_pylist())
-                        d = 1 - p @ c.T if metric == "cosine" else ((p[:, None, :] - c[None]) ** 2).sum(2)
+                        d = 1 - p @ c.T if metric == "cosine" else squared_distances(p, c)
                         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1).astype(np.int32))], names=["column_id", "v", "cluster"])
 
             assigned = rows.mapInArrow(assign, "column_id string, v array<double>, cluster int")

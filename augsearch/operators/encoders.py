@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augsearch.functions.vectors import normalised, truncated
+from augsearch.operators.ranges import greedy_batches
 
 
 @dataclass(frozen=True)
@@ -92,20 +93,9 @@ class Pipelines:
 def request_batches(prompts: DataFrame, by: str, order: str, max_tokens: int = 300_000, max_prompts: int = 2048) -> DataFrame:
     """Greedy requests: a prompt opens a new one when it would pass either bound. by splits the stream to parts that pack alone.
 
-    Adds request, from 0 in each part. A fold over the part in order, since each bound starts anew with a request.
+    Adds request, from 0 in each part. Parts of any size: see greedy_batches.
     """
-    def run(key, frame):
-        frame = frame.sort_values(order)
-        request, tokens, n, out = 0, 0, 0, []
-        for t in frame.n_tokens:
-            if n and (tokens + t > max_tokens or n >= max_prompts):
-                request, tokens, n = request + 1, 0, 0
-            tokens, n = tokens + t, n + 1
-            out.append(request)
-        return frame.assign(request=out)
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.groupBy(by).applyInPandas(run, f"{ddl}, request int")
+    return greedy_batches(prompts, by, order, F.col("n_tokens"), max_tokens, max_prompts, "request")
 
 
 def rate_windows(events: DataFrame, key: str, at: str, cost: str, seconds: int = 60) -> DataFrame:

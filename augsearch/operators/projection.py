@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augsearch.functions.vectors import normalised, padded, truncated
+from augsearch.functions.vectors import normalised, padded, squared_distances, truncated
 
 OUT = "column_id string, embedding array<double>"
 
@@ -159,7 +159,7 @@ class LocalIsometry:
 
         def f(x, p):
             centres, parts = p
-            near = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+            near = squared_distances(x, centres).argmin(1)
             out = np.zeros((len(x), parts[0][2].shape[1]))
             for g in np.unique(near):
                 ms, mt, r, scale = parts[g]

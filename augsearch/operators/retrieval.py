@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augsearch.functions.vectors import dot, normalised
+from augsearch.operators.ranges import numbered
 
 #: Query vectors that are broadcast at once, at most; more queries go in blocks, one pass of the candidates each.
 QUERY_BLOCK = 4096
@@ -17,6 +18,8 @@ SPACES = ("ip", "cosine", "l2")
 #: Fixed values of the table matching: similarities below the threshold don't match.
 THRESHOLD = 0.1
 NEIGHBOURS = 50
+#: Candidates that are compared at once: bounds the memory of a task.
+CANDIDATE_BLOCK = 1024
 K_VALUES = (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50)
 
 
@@ -56,28 +59,29 @@ def _scan(shared, k: int, space: str, exclude: bool):
         q, query_ids, query_tables = shared.value
         q2 = np.einsum("ij,ij->i", q, q)
         kept_d, kept_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, tables = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), object)
-            order = np.argsort(ids, kind="stable")
-            x = np.array(b.column(2).to_pylist(), np.float64)[order]
-            ids, tables = ids[order], tables[order]
-            if space == "cosine":
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            d = q2[:, None] + np.einsum("ij,ij->i", x, x) - 2 * q @ x.T if space == "l2" else 1 - q @ x.T
-            if space == "l2":
-                d = np.maximum(d, 0.0)
-            d = np.round(d, 12)  # equal vectors are equally far, whatever the order of their sums
-            if exclude:
-                d[query_tables[:, None] == tables[None, :]] = np.inf
-            d = np.concatenate([kept_d, d], 1)
-            i = np.concatenate([kept_i, np.broadcast_to(ids, (len(q), len(ids)))], 1)
-            # by distance, then id: ids come sorted within a batch, so sort by id before the stable sort by distance
-            by_id = np.argsort(i, axis=1, kind="stable")
-            d, i = np.take_along_axis(d, by_id, 1), np.take_along_axis(i, by_id, 1)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            kept_d, kept_i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
+        for whole in batches:
+            for b in (whole.slice(at, CANDIDATE_BLOCK) for at in range(0, whole.num_rows, CANDIDATE_BLOCK)):
+                ids, tables = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), object)
+                order = np.argsort(ids, kind="stable")
+                x = np.array(b.column(2).to_pylist(), np.float64)[order]
+                ids, tables = ids[order], tables[order]
+                if space == "cosine":
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                d = q2[:, None] + np.einsum("ij,ij->i", x, x) - 2 * q @ x.T if space == "l2" else 1 - q @ x.T
+                if space == "l2":
+                    d = np.maximum(d, 0.0)
+                d = np.round(d, 12)  # equal vectors are equally far, whatever the order of their sums
+                if exclude:
+                    d[query_tables[:, None] == tables[None, :]] = np.inf
+                # ids come sorted, so the first k of a stable sort are those of least id among equals
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                d = np.concatenate([kept_d, np.take_along_axis(d, top, 1)], 1)
+                i = np.concatenate([kept_i, ids[top]], 1)
+                # at most 2 k a query: by distance, then id
+                by_id = np.argsort(i, axis=1, kind="stable")
+                d, i = np.take_along_axis(d, by_id, 1), np.take_along_axis(i, by_id, 1)
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                kept_d, kept_i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
         ok = np.isfinite(kept_d)
         rows, columns = np.nonzero(ok)
         if len(rows):
@@ -98,8 +102,8 @@ def unreachable(ground_truth: DataFrame, candidates: DataFrame, on: str = "candi
 def view_of(rows: DataFrame, order: str, n_views: int, view: int | str = "iterate", by: str | None = None) -> DataFrame:
     """Adds view: a fixed one, or the row's number modulo the number of views."""
     if view == "iterate":
-        w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(order)
-        return rows.withColumn("view", F.pmod(F.row_number().over(w) - 1, F.lit(n_views)))
+        nth = numbered(rows, [order], [by] if by else None, "view")
+        return nth.withColumn("view", F.pmod("view", F.lit(n_views)))
     if not 0 <= view < n_views:
         raise ValueError(f"view {view} is out of range")
     return rows.withColumn("view", F.lit(view))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from augsearch.operators.ranges import numbered
+
 
 def check_fractions(fractions: list[float], n: int | None = None) -> None:
     if n is not None and len(fractions) != n:
@@ -27,13 +29,12 @@ def split(rows: DataFrame, order: str, fractions: list[float], seed: int | None
     """rows with split (the number of the part): ranges of the order, or of a seeded hash order. Cuts are found by counts, not by chance."""
     counts = split_counts(rows.count(), fractions)
     keyed = rows.withColumn("_key", F.struct(order) if seed is None else F.struct(F.xxhash64(order, F.lit(seed)), order))
-    rank = F.row_number().over(Window.orderBy("_key")) - 1
     ends, total = [], 0
     for c in counts:
         total += c
         ends.append(total)
     # a cut is a value of the key: found once, then rows are compared with it where they are
-    ranked = keyed.select("_key", rank.alias("r")).filter(F.col("r").isin([e for e in ends[:-1]])).orderBy("r").collect() if len(counts) > 1 else []
+    ranked = numbered(keyed.select("_key"), ["_key"], name="r").filter(F.col("r").isin([e for e in ends[:-1]])).orderBy("r").collect() if len(counts) > 1 else []
     expression = F.lit(len(counts) - 1)
     by_rank = {x.r: x._key for x in ranked}
     for i in range(len(counts) - 2, -1, -1):

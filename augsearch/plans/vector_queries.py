@@ -48,7 +48,7 @@ def knn_other_tables(spark, sf_dir):
     return retrieval.join_discovery(_queries(e), _candidates(e), 10).withColumn("distance", F.round("distance", 6))
 
 
-_TRUTH = ", g AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND b.vec_id % 3 = 0)"
+_TRUTH = ", g AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
 _METRICS = """, sizes AS (SELECT query_id, count(*) AS rel FROM g GROUP BY ALL), ks AS (SELECT unnest([1, 5, 10]) AS k),
  h AS (SELECT query_id, rank AS pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM r JOIN g USING (query_id, candidate_id) WHERE rank <= 10)
  SELECT s.query_id, k, round(count(pos) / k, 6) AS precision, round(count(pos) / rel, 6) AS recall, round(least(k, rel) / k, 6) AS max_precision, round(least(1.0, k / rel)::DOUBLE, 6) AS max_recall,
@@ -58,7 +58,7 @@ _METRICS = """, sizes AS (SELECT query_id, count(*) AS rel FROM g GROUP BY ALL),
 
 def _truth(e):
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("candidate_id"), "label"), "label").filter("query_id <> candidate_id")
+    return q.join(e.select(F.col("vec_id").alias("candidate_id"), "label"), "label").filter("query_id <> candidate_id")
 
 
 def _rounded(df, keep=()):
@@ -72,7 +72,10 @@ def retrieval_metrics(spark, sf_dir):
     return _rounded(retrieval.metrics(found, _truth(e), (1, 5, 10)))
 
 
-@register("retrieval_wide")
+_WIDE = ", ".join(f'max({m}) FILTER (k = {k}) AS "{m}@{k}"' for m in retrieval.METRICS for k in (1, 5, 10))
+
+
+@register("retrieval_wide", f"SELECT query_id, {_WIDE} FROM ({_ranked_sql(f'1 - {_COS}', 10)}{_TRUTH}{_METRICS}) GROUP BY query_id")
 def retrieval_wide(spark, sf_dir):
     """The same, one row per query with a column for each metric and k."""
     return retrieval.wide(retrieval_metrics(spark, sf_dir), (1, 5, 10))
@@ -265,15 +268,17 @@ _curated("k_medoids", curation.KMedoids(metric="cosine", max_iters=5), 8)
 _DENSE = _ranked_sql("greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0)", 15).replace("a.vec_id % 50 = 0 AND", "")
 
 
-@register("density_report", _DENSE + """, x AS (SELECT query_id, 1 / (d + 1e-12) AS y FROM r WHERE rank = 15), z AS (SELECT y FROM x WHERE query_id % 5 = 0),
+@register("density_report", _DENSE + """, x AS (SELECT query_id, 1 / (d + 1e-12) AS y FROM r WHERE rank = 15), z AS (SELECT y FROM x JOIN e ON vec_id = query_id WHERE label < 5),
  u AS (SELECT y, sum(a) AS a, sum(b) AS b FROM (SELECT round(y, 9) AS y, 1 AS a, 0 AS b FROM x UNION ALL SELECT round(y, 9), 0, 1 FROM z) GROUP BY y),
  f AS (SELECT abs(sum(a) OVER (ORDER BY y) / (SELECT count(*) FROM x) - sum(b) OVER (ORDER BY y) / (SELECT count(*) FROM z)) * (lead(y) OVER (ORDER BY y) - y) AS area FROM u)
  SELECT round((SELECT avg(y) FROM x), 5) AS ref_mean, round((SELECT median(y) FROM x), 5) AS ref_median, round((SELECT quantile_cont(y, 0.1) FROM x), 5) AS ref_q10, round((SELECT quantile_cont(y, 0.9) FROM x), 5) AS ref_q90,
  round(avg(y), 5) AS mean, round(median(y), 5) AS median, round(quantile_cont(y, 0.1), 5) AS q10, round(quantile_cont(y, 0.9), 5) AS q90, round(avg((y <= (SELECT quantile_cont(y, 0.1) FROM x))::INT), 5) AS outlier_rate, round((SELECT sum(area) FROM f), 5) AS wasserstein FROM z""")
 def density_report(spark, sf_dir):
-    ids = embeddings(spark, sf_dir).select(F.col("vec_id").alias("column_id"), "embedding")
+    """The vectors of five labels against all of them."""
+    e = embeddings(spark, sf_dir)
+    ids = e.select(F.col("vec_id").alias("column_id"), "embedding")
     d = curation.density(ids, ids).withColumn("density", F.round("density", 9)).cache()
-    report = curation.density_report(d, d.filter("query_id % 5 = 0"))
+    report = curation.density_report(d, d.join(e.filter("label < 5").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"))
     return report.select(*[F.round(c, 5).alias(c) for c in report.columns])
 
 
@@ -291,14 +296,11 @@ def _views(e):
     return [one, one.select("column_id", F.transform(F.reverse("embedding"), lambda x: x * 3 + 1).alias("embedding"))]
 
 
-@register("procrustes", E + " SELECT vec_id::VARCHAR AS column_id, unnest(range(64)) AS pos, round(unnest(v), 5) AS x FROM e")
+@register("procrustes", E + ", p AS (SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS pos FROM e), s AS (SELECT 3 * sqrt(sum(x * x) / sum((3 * x + 1) * (3 * x + 1))) AS scale FROM p), m AS (SELECT pos, avg(x) AS mean FROM p GROUP BY ALL) SELECT vec_id::VARCHAR AS column_id, pos, round(mean + scale * (x - mean), 5) AS x FROM p JOIN m USING (pos), s")
 def procrustes(spark, sf_dir):
-    """View 1 is a rotation of view 0, moved and stretched; its projection is close to view 0 but for the ratio of uncentred norms, which is undone here."""
+    """View 1 is view 0 turned, stretched by 3 and moved: its projection is view 0 about its mean, stretched by 3 and the ratio of the uncentred norms."""
     views = _views(embeddings(spark, sf_dir))
-    model = projection.Procrustes().fit(views)
-    ms, mt, ns, nt, r = model.maps[1]
-    model.maps[1] = (ms, mt, 3.0, 1.0, r)
-    out = model.project(views[1], 1).select("column_id", F.posexplode("embedding").alias("pos", "x"))
+    out = projection.Procrustes().fit(views).project(views[1], 1).select("column_id", F.posexplode("embedding").alias("pos", "x"))
     return out.select("column_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 

@@ -2,13 +2,15 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from augsearch.functions import text, vectors
-from augsearch.operators import alignment, curation, encoders, projection, prompts, retrieval, splits
+from augsearch.functions.vectors import squared_distances
+from augsearch.operators import alignment, curation, encoders, projection, prompts, ranges, retrieval, splits
 from augsearch.sources import collection, logs, results, views
 
 CELL = "table_id string, col_ord int, col_name string, row_ord long, value string"
@@ -99,6 +101,50 @@ def test_requests(spark):
     assert got == [0, 0, 1, 2, 3, 3, 3]
 
 
+@pytest.mark.parametrize("tokens,prompts_", [(50, 5), (10**9, 7), (9, 1000), (100, 30)])
+def test_requests_over_ranges(spark, tokens, prompts_):
+    """A part that spans all ranges, one of null, small ones; against the fold itself."""
+    r = random.Random(tokens)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), i, r.choice([0, 1, 3, 9, 120, None])) for i in range(3000)]
+    parts = {}
+    for s, i, n in rows:
+        parts.setdefault(s, []).append((i, n or 0))
+    want = {}
+    for part in parts.values():
+        request, held, count = 0, 0, 0
+        for i, n in part:
+            if count and (held + n > tokens or count >= prompts_):
+                request, held, count = request + 1, 0, 0
+            held, count = held + n, count + 1
+            want[i] = request
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, i int, n_tokens long").repartition(5)
+    got = encoders.request_batches(df, "s", "i", tokens, prompts_)
+    assert got.columns == ["s", "i", "n_tokens", "request"]
+    assert {x.i: x.request for x in got.collect()} == want
+    assert encoders.request_batches(df.limit(0), "s", "i").collect() == []
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(None if i % 3 else "g", (i * 37) % 1000, None if i == 5 else f"x{i % 11}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, i int, t string").repartition(4)
+    got = sorted((x.i, x.nth) for x in ranges.numbered(df, ["i"]).collect())
+    assert got == [(i, i) for i in range(1000)]
+    key = lambda x: (x[2] is not None, x[2] or "", x[1])
+    for g in {x[0] for x in rows}:
+        want = [x[1] for x in sorted((x for x in rows if x[0] == g), key=key)]
+        assert [x.i for x in sorted((x for x in ranges.numbered(df, ["t", "i"], ["g"]).collect() if x.g == g), key=lambda x: x.nth)] == want
+    assert ranges.numbered(df.limit(0), ["i"]).collect() == []
+    same = ranges.numbered(df.limit(9).selectExpr("1 as i"), ["i"]).collect()
+    assert sorted(x.nth for x in same) == list(range(9))
+
+
+def test_squared_distances():
+    r = np.random.default_rng(1)
+    x, c = r.normal(size=(30, 5)), r.normal(size=(4, 5))
+    assert np.allclose(squared_distances(x, c), ((x[:, None] - c[None]) ** 2).sum(2))
+
+
 def test_assignment_is_optimal():
     r = np.random.default_rng(0)
     for _ in range(200):
