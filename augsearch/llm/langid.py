@@ -45,7 +45,9 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     letters = np.add.reduceat(np.append(c != 32, False).astype(np.int64), np.minimum(np.concatenate([[0], ends[:-1]]), len(c))) if len(texts) else np.zeros(0, int)
     letters = np.where(np.diff(ends, prepend=0) > 0, letters, 0)
     padded = np.concatenate([c, [32, 32]]).astype(np.uint32)
-    one, two, three = padded[:-2], padded[1:-1], padded[2:]
+    one, two, three = padded[:-2], padded[1:-1].copy(), padded[2:].copy()
+    last = ends[ends > 0] - 1  # a text ends in spaces, whatever text comes next
+    two[last] = three[last] = three[np.maximum(last - 1, 0)] = 32
     mix = lambda x: ((x * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
     pair = one * np.uint32(40503) + two
     return [mix(one), mix(pair) + (1 << BITS), mix(pair * np.uint32(40503) + three) + (2 << BITS)], ends, letters > 0
@@ -131,7 +133,9 @@ def fit(docs: DataFrame, may_learn: Column, train_rows: int = TRAIN_ROWS, epochs
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(5)).cast("int")
-    sample = known.filter(order <= F.lit(cut)).select(F.col("lang").alias("label"), fold.alias("fold"), "text").mapInArrow(_counts, "label string, fold int, index binary, tf binary").toArrow().to_pandas()
+    sample = known.filter(order <= F.lit(cut)).select(F.col("lang").alias("label"), fold.alias("fold"), "text").mapInArrow(_counts, "label string, fold int, index binary, tf binary")
+    # rows of null or repeated doc_id share a hash, so more may lie below the bound: whatever their number, train_rows of them come
+    sample = sample.orderBy(F.xxhash64("index", "tf", F.lit(seed)), "label", "fold").limit(train_rows).toArrow().to_pandas()
     sample = sample.sort_values(["fold", "label", "index", "tf"])  # the same order in every run
     labels = sorted(set(sample.label))
     y = np.searchsorted(labels, sample.label)
