@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augsearch.llm.common import documents, slices
@@ -173,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, train_rows: int =
     """docs: doc_id, text. labels: doc_id, toxic. may_learn: the labels that the model may see."""
     known = labels.filter(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "toxic").limit(train_rows)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_bags(seed), "doc_id long, toxic int, twin int, index binary").toArrow().to_pandas()
+    # of texts that share a doc_id the one of least hash teaches, so that the sample has its bound whatever ids repeat
+    one = F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").withColumn("nth", one).filter("nth = 1")
+    bags = texts.select("doc_id", "toxic", "text").mapInArrow(_bags(seed), "doc_id long, toxic int, twin int, index binary").toArrow().to_pandas()
     if not len(bags):
         return ToxicityModel(np.zeros(FEATURES), -1000.0)
     bags = bags.sort_values(["doc_id", "twin", "index"])  # the same order in every run

@@ -33,10 +33,20 @@ def test_neutral_mentions_stay_clean(spark):
         group = r.choice(["muslims", "immigrants", "women", "gay"])
         rows.append((i, sentence(r.choice(["vermin", "filth"]), group) if i % 2 else sentence(), i % 2))
     docs, labels = table(spark, rows)
-    probes = [sentence(g) for g in ("muslims", "immigrants", "women", "gay")]
-    plain, fair = (fit(docs, labels, F.lit(True), counterfactual=c).scores(probes).mean() for c in (0.0, 5.0))
-    assert fair < 0.5 and fair <= plain
-    assert fit(docs, labels, F.lit(True), counterfactual=5.0).scores([sentence("vermin")])[0] > 0.5
+    # held out: sentences that the fit has not seen, half of them neutral mentions
+    mentions = [sentence(g) for g in ("muslims", "immigrants", "women", "gay") for _ in range(50)]
+    insults = [sentence(w) for w in ("vermin", "filth") for _ in range(50)]
+    models = {c: fit(docs, labels, F.lit(True), counterfactual=c) for c in (0.0, 1.0, 5.0)}  # 1.0 is the default
+    false = {c: (m.scores(mentions) >= 0.5).mean() for c, m in models.items()}
+    mean = {c: m.scores(mentions).mean() for c, m in models.items()}
+    assert false[5.0] <= false[1.0] < false[0.0] and max(mean[1.0], mean[5.0]) < mean[0.0] and false[1.0] < 0.05
+    assert all((m.scores(insults) >= 0.5).mean() > 0.95 for m in models.values())
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs, labels = table(spark, [(i % 3, f"you vermin {i}" if i % 3 == 0 else f"a calm day {i}", int(i % 3 == 0)) for i in range(900)])
+    one, two = (fit(d, labels, F.lit(True)) for d in (docs.repartition(3), docs.repartition(7)))
+    assert (one.weights == two.weights).all() and one.bias == two.bias
 
 
 def test_defined_cases(spark):
