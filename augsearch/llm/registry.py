@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augsearch.llm import bpe, chat, embedding_dedup, exact_dedup, langid, ngram_join, packing, shards, suffix_dedup, toxicity
+from augsearch.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lexical, ngram_join, packing, quality, shards, spelling, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.query,
         "op9_ngram_jaccard_join": ngram_join.query,
         "op10_training_shards": shards.query,
+        "op11_lexical_search": lexical.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_quality_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL, "op11_lexical_search": lexical.SQL, "op12_spelling_variants": spelling.SQL}
