@@ -30,10 +30,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, n_tasks, slices, written
+from augsearch.llm.common import documents, slices, written
 
-#: Terms and queries of a block at most (a longer query has a block of its own), and postings of a shard.
-BLOCK_TERMS, BLOCK_QUERIES, SHARD = 1 << 17, 2048, 4 << 20
+#: Terms and queries of a block at most (a longer query has a block of its own), postings of a shard at most, and of a task about.
+BLOCK_TERMS, BLOCK_QUERIES, SHARD, TASK = 1 << 17, 2048, 4 << 20, 1 << 20
 #: Letters and digits stay, A-Z in lower case, and so do all bytes of other code points; the rest parts terms.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
@@ -200,7 +200,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, shard: int = SHARD)
             df[t] = n
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
         block = [np.array([number[t] for t in has], np.int64) for has in lists], weight, n_docs, n_terms
-        found = hits.filter(F.size("term") > 0).repartition(n_tasks(spark)).mapInArrow(_searched(spark.sparkContext.broadcast(block), k, shard), "query int, doc_id long, score long")
+        # a task gives up to k rows a query, so there are no more tasks than cores unless the postings are many
+        tasks = max(spark.sparkContext.defaultParallelism, -(-int(df.sum()) // TASK))
+        found = hits.filter(F.size("term") > 0).repartition(tasks).mapInArrow(_searched(spark.sparkContext.broadcast(block), k, shard), "query int, doc_id long, score long")
         id_of = spark.createDataFrame(list(enumerate(ids)), "query int, item_id long")  # BLOCK_QUERIES rows at most
         out.append(found.join(F.broadcast(id_of), "query").select("item_id", "doc_id", "score"))
     if not out:
