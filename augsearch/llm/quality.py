@@ -80,7 +80,7 @@ class Texts:
 
     def word_features(self) -> Iterator[np.ndarray]:
         """The feature of each word, and of each word with the next of its text (of the last with nothing)."""
-        lower = self.points + 32 * ((self.points >= 65) & (self.points <= 90))
+        lower = self.points.astype(np.uint64) + np.uint64(32) * ((self.points >= 65) & (self.points <= 90))
         power, inverse = _powers(1 << int(np.ceil(np.log2(len(lower) + 2))))
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower + np.uint64(1)) * power[: len(lower)], dtype=np.uint64)])
