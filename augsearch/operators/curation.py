@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from augsearch.functions.vectors import normalised, squared_distance, squared_distances
 from augsearch.operators.retrieval import nearest
+from augsearch.operators.vector_index import VectorIndex
 
 
 def size_of(k: int | float, n: int) -> int:
@@ -155,9 +156,10 @@ def reduced(x: DataFrame, components: int | float) -> DataFrame:
     return model.transform(centred).select("column_id", F.slice(vector_to_array("pca"), 1, k).alias("embedding"))
 
 
-def density(reference: DataFrame, subset: DataFrame, k: int = 15, space: str = "l2") -> DataFrame:
-    """query_id, distance (to the k-th nearest reference row), density. Rows of the subset may find themselves."""
-    found = nearest(subset.select(F.col("column_id").alias("query_id"), "embedding"), reference.select(F.col("column_id").alias("candidate_id"), "embedding"), k, space)
+def density(reference: DataFrame, subset: DataFrame, k: int = 15, space: str = "l2", index: VectorIndex | None = None) -> DataFrame:
+    """query_id, distance (to the k-th nearest reference row), density. Rows of the subset may find themselves. index: of the reference, if there is one."""
+    asked = subset.select(F.col("column_id").alias("query_id"), "embedding")
+    found = index.nearest(asked, k) if index else nearest(asked, reference.select(F.col("column_id").alias("candidate_id"), "embedding"), k, space)
     return found.filter(F.col("rank") == k).select("query_id", "distance", (1 / (F.col("distance") + 1e-12)).alias("density"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from augsearch.functions.vectors import dot, normalised
 from augsearch.operators.ranges import numbered
 
-#: Query vectors that are broadcast at once, at most; more queries go in blocks, one pass of the candidates each.
+#: Query vectors that are broadcast at once, at most; more queries are joined with an index.
 QUERY_BLOCK = 4096
 SPACES = ("ip", "cosine", "l2")
 #: Fixed values of the table matching: similarities below the threshold don't match.
@@ -27,29 +27,28 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, space: str = "cos
     """query_id, candidate_id, distance, rank: the k nearest candidates, exactly; ties by candidate_id.
 
     queries: query_id, embedding (and table_id). candidates: candidate_id, embedding (and table_id). Distances: 1 - dot, 1 - cosine,
-    or the squared Euclidean. Each task compares its candidates with a block of queries by matrix products and keeps the k best
-    for each query; those are merged by a window over k rows a task and query.
+    or the squared Euclidean. Up to QUERY_BLOCK queries are broadcast: each task compares its candidates with them by matrix products and keeps the k best
+    for each query; those are merged by a window over k rows a task and query. More queries go through a `VectorIndex` of the candidates
+    and are joined with its cells; the answers are the same.
     """
     if space not in SPACES:
         raise ValueError(f"unknown space {space!r}")
     spark = candidates.sparkSession
     ids = queries.select("query_id", F.col("table_id") if exclude_same_table else F.lit(None).cast("string").alias("table_id"), "embedding")
-    n_blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    blocked = ids.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))) if n_blocks > 1 else ids.withColumn("block", F.lit(0))
-    best = None
-    for i in range(n_blocks):
-        rows = blocked.filter(F.col("block") == i).orderBy("query_id").collect()  # about QUERY_BLOCK rows
-        if not rows:
-            continue
+    if ids.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        from augsearch.operators.vector_index import VectorIndex
+
+        return VectorIndex.build(candidates, space).nearest(ids, k, exclude_same_table)
+    rows = ids.orderBy("query_id").collect()  # QUERY_BLOCK rows at most
+    if not rows:
+        best = queries.select("query_id").limit(0).crossJoin(candidates.select("candidate_id").limit(0)).withColumn("distance", F.lit(0.0))
+    else:
         q = np.array([r.embedding for r in rows], np.float64)
         if space == "cosine":
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         shared = spark.sparkContext.broadcast((q, [r.query_id for r in rows], np.array([r.table_id for r in rows], object)))
         table = F.col("table_id") if exclude_same_table else F.lit(None).cast("string").alias("table_id")
-        part = candidates.select("candidate_id", table, "embedding").mapInArrow(_scan(shared, k, space, exclude_same_table), f"query_id {queries.schema['query_id'].dataType.simpleString()}, candidate_id {candidates.schema['candidate_id'].dataType.simpleString()}, distance double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = queries.select("query_id").limit(0).crossJoin(candidates.select("candidate_id").limit(0)).withColumn("distance", F.lit(0.0))
+        best = candidates.select("candidate_id", table, "embedding").mapInArrow(_scan(shared, k, space, exclude_same_table), f"query_id {queries.schema['query_id'].dataType.simpleString()}, candidate_id {candidates.schema['candidate_id'].dataType.simpleString()}, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "candidate_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from augsearch.functions import vectors
 from augsearch.operators import alignment, curation, projection, reports, retrieval, splits
+from augsearch.operators.vector_index import VectorIndex
 from augsearch.plans.registry import register
 
 E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -42,12 +43,31 @@ _knn("ip", f"1 - {_DOT}")
 _knn("l2", "greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0)")
 
 
+def _indexed(space, distance):
+    @register(f"indexed_{space}", _ranked_sql(distance, 10) + " SELECT query_id, candidate_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 10")
+    def indexed(spark, sf_dir):
+        """The same through an index of all vectors."""
+        e = embeddings(spark, sf_dir)
+        return VectorIndex.build(_candidates(e), space).nearest(_queries(e), 10).withColumn("distance", F.round("distance", 6))
+
+
+_indexed("cosine", f"1 - {_COS}")
+_indexed("ip", f"1 - {_DOT}")
+_indexed("l2", "greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0)")
+
+
 @register("knn_other_tables", _ranked_sql(f"1 - {_COS}", 10, "a.label <> b.label") + " SELECT query_id, candidate_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 10")
 def knn_other_tables(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     return retrieval.join_discovery(_queries(e), _candidates(e), 10).withColumn("distance", F.round("distance", 6))
 
 
+@register("indexed_other_tables", _ranked_sql(f"1 - {_COS}", 10, "a.label <> b.label") + " SELECT query_id, candidate_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 10")
+def indexed_other_tables(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return VectorIndex.build(_candidates(e)).nearest(_queries(e), 10, exclude_same_table=True).withColumn("distance", F.round("distance", 6))
+
+
 _TRUTH = ", g AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
 _METRICS = """, sizes AS (SELECT query_id, count(*) AS rel FROM g GROUP BY ALL), ks AS (SELECT unnest([1, 5, 10]) AS k),
  h AS (SELECT query_id, rank AS pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM r JOIN g USING (query_id, candidate_id) WHERE rank <= 10)
@@ -282,6 +302,14 @@ def density_report(spark, sf_dir):
     return report.select(*[F.round(c, 5).alias(c) for c in report.columns])
 
 
+@register("indexed_density", _DENSE + " SELECT query_id, round(d, 6) AS distance FROM r WHERE rank = 15")
+def indexed_density(spark, sf_dir):
+    """Each vector's distance to the fifteenth nearest of all, through an index."""
+    ids = embeddings(spark, sf_dir).select(F.col("vec_id").alias("column_id"), "embedding")
+    index = VectorIndex.build(ids.withColumnRenamed("column_id", "candidate_id"), "l2")
+    return curation.density(ids, ids, index=index).select("query_id", F.round("distance", 6).alias("distance"))
+
+
 @register("wasserstein", "WITH a AS (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus <> 'F'), u AS (SELECT x, sum(p) AS p, sum(q) AS q FROM (SELECT x, 1 AS p, 0 AS q FROM a UNION ALL SELECT x, 0, 1 FROM b) GROUP BY x), f AS (SELECT abs(sum(p) OVER (ORDER BY x) / (SELECT count(*) FROM a) - sum(q) OVER (ORDER BY x) / (SELECT count(*) FROM b)) * (lead(x) OVER (ORDER BY x) - x) AS area FROM u) SELECT round(coalesce(sum(area), 0), 4) AS wasserstein FROM f")
 def wasserstein(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
