@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from augsearch.functions.storage import written
 from augsearch.functions.vectors import normalised, padded, squared_distances, truncated
+from augsearch.operators.linkage import average_linkage
 
 OUT = "column_id string, embedding array<double>"
 
@@ -86,16 +88,69 @@ def _sums(pairs: DataFrame, by: str | None = None) -> dict:
     return out
 
 
+def _added(rows: DataFrame, f) -> np.ndarray:
+    """The sum over the tasks of f(columns as matrices), whose shape all batches share; None without rows. Tasks' matrices are added before they come to the driver."""
+
+    def part(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                now = f(*[np.array(c.to_pylist(), np.float64) for c in b.columns])
+                total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([total.shape], pa.list_(pa.int32()))], names=["sums", "shape"])
+
+    cells = rows.mapInArrow(part, "sums array<double>, shape array<int>").select("shape", F.posexplode("sums").alias("pos", "x"))
+    total = cells.groupBy("shape", "pos").agg(F.sum("x").alias("x")).groupBy("shape").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("sums")).first()
+    return np.array(total.sums).reshape(total.shape) if total else None
+
+
+def low_rank(pairs: DataFrame, rank: int, oversampling: int = 10, iterations: int = 4, seed: int = 0) -> tuple:
+    """n, means, squared norms, and the leading singular vectors and values (u, sv, vt) of the centred cross product of pairs (s, t).
+
+    A randomised range finder: the D x D product is never formed. Each half iteration is one pass in which every task multiplies its rows
+    by a thin matrix of rank + oversampling columns; only such matrices come to the driver, where they are made orthogonal.
+    """
+    pairs = pairs.select("s", "t")
+    first = _added(pairs, lambda s, t: np.concatenate([[len(s), (s * s).sum(), (t * t).sum()], s.sum(0), t.sum(0)]))
+    d_s = len(pairs.first().s)
+    n, ss, tt = first[:3]
+    ms, mt = first[3 : 3 + d_s] / n, first[3 + d_s :] / n
+    width = min(rank + oversampling, len(ms), len(mt))
+    spark = pairs.sparkSession
+
+    def product(w: np.ndarray, forth: bool) -> np.ndarray:
+        """The centred product (or its transpose) with w."""
+        shared, swap = spark.sparkContext.broadcast(w), not forth
+        total = _added(pairs, lambda s, t: (t.T @ (s @ shared.value)) if swap else (s.T @ (t @ shared.value)))
+        return total - n * (np.outer(mt, ms @ w) if swap else np.outer(ms, mt @ w))
+
+    q = np.linalg.qr(product(np.random.default_rng(seed).standard_normal((len(mt), width)), True))[0]
+    for _ in range(iterations):
+        q = np.linalg.qr(product(np.linalg.qr(product(q, False))[0], True))[0]
+    u, sv, vt = np.linalg.svd(product(q, False).T, full_matrices=False)
+    return n, ms, mt, ss, tt, (q @ u)[:, :rank], sv[:rank], vt[:rank]
+
+
 @dataclass
 class Procrustes:
-    """An orthogonal map of each view to view 0 after centring; scales are the norms of the uncentred data."""
+    """An orthogonal map of each view to view 0 after centring; scales are the norms of the uncentred data.
+
+    rank: so many singular vectors, by a randomised range finder, where that is less than both dimensions; None for all of them."""
 
     rotation: bool = True
     maps: dict = field(default_factory=dict)
+    rank: int | None = None
 
     def fit(self, views: list[DataFrame]) -> Procrustes:
         for i, v in enumerate(views[1:], 1):
-            n, s, t, st, ss, tt, _ = _sums(paired(v, views[0]))[0]
+            pairs = paired(v, views[0])
+            dims = pairs.select(F.size("s"), F.size("t")).first()
+            if self.rotation and self.rank is not None and self.rank < min(dims):
+                _, ms, mt, ss, tt, u, _, vt = low_rank(pairs, self.rank)
+                self.maps[i] = (ms, mt, float(np.sqrt(ss)), float(np.sqrt(tt)), u @ vt)
+                continue
+            n, s, t, st, ss, tt, _ = _sums(pairs)[0]
             ms, mt, ns, nt = s / n, t / n, np.sqrt(ss), np.sqrt(tt)
             m = (st - n * np.outer(ms, mt)) / (ns * nt)
             if self.rotation:
@@ -122,35 +177,74 @@ class Procrustes:
         return F.zip_with(F.transform(columns, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) * nt), F.array(*map(F.lit, mt.tolist())), lambda a, m: a + m)
 
 
+@dataclass
+class Components:
+    """Principal components of centred vectors: at most as many as dimensions or rows."""
+
+    mean: np.ndarray | None = None
+    axes: np.ndarray | None = None
+
+    def fit(self, rows: DataFrame, most: int) -> Components:
+        v = F.col("embedding").cast("array<double>")
+        sums = _added(rows.select(v), lambda x: np.concatenate([[np.append(len(x), x.sum(0))], np.pad(x.T @ x, ((0, 0), (1, 0)))]))
+        n, self.mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+        values, vectors = np.linalg.eigh(sums[1:, 1:] / n - np.outer(self.mean, self.mean))
+        axes = vectors[:, ::-1][:, : min(most, len(values), max(1, int(n)))]
+        self.axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)  # the same signs in every run
+        return self
+
+    def project(self, rows: DataFrame) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((self.mean, self.axes))
+        return _mapped(rows, lambda x, p: (x - p[0]) @ p[1], shared)
+
+
 @dataclass
 class LocalIsometry:
-    """Clusters of each view are mapped to view 0 one by one: centred, rotated and scaled."""
+    """Clusters of each view are mapped to view 0 one by one: centred, rotated and scaled.
+
+    clustering: "kmeans" or "avg_linkage". reduced_dim: views are first reduced to so many principal components each; 0 for none."""
 
     clusters: int = 8
     seed: int = 0
     maps: dict = field(default_factory=dict)
-
-    def fit(self, views: list[DataFrame]) -> LocalIsometry:
+    clustering: str = "kmeans"
+    reduced_dim: int = 0
+    components: dict = field(default_factory=dict)
+
+    def _labels(self, rows: DataFrame) -> DataFrame:
+        """column_id, cluster"""
+        if self.clustering == "avg_linkage":
+            return average_linkage(rows, self.clusters)
+        if self.clustering != "kmeans":
+            raise ValueError(f"unknown clustering {self.clustering!r}")
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
+        rows = rows.select("column_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+        k = min(self.clusters, rows.count())
+        model = KMeans(k=k, seed=self.seed, maxIter=20).fit(rows) if k > 1 else None
+        return model.transform(rows).select("column_id", F.col("prediction").alias("cluster")) if model else rows.select("column_id", F.lit(0).alias("cluster"))
+
+    def fit(self, views: list[DataFrame]) -> LocalIsometry:
+        if self.reduced_dim > 0:
+            self.components = {i: Components().fit(v, self.reduced_dim) for i, v in enumerate(views)}
+            views = [written(self.components[i].project(v), "reduced-view") for i, v in enumerate(views)]
         for i, v in enumerate(views[1:], 1):
-            rows = v.select("column_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-            model = KMeans(k=self.clusters, seed=self.seed, maxIter=20).fit(rows)
-            centres = np.array(model.clusterCenters())
-            pairs = paired(v, views[0]).join(model.transform(rows).select("column_id", "prediction"), "column_id")
-            parts = {}
-            for g, (n, s, t, st, ss, _, _) in _sums(pairs, "prediction").items():
+            pairs = paired(v, views[0]).join(self._labels(v), "column_id")
+            centres, parts = [], []
+            for _, (n, s, t, st, ss, _, _) in sorted(_sums(pairs, "cluster").items()):
                 ms, mt = s / n, t / n
                 u, sv, vt = np.linalg.svd(st - n * np.outer(ms, mt), full_matrices=False)
                 spread = ss - n * ms @ ms
                 scale = np.linalg.norm(sv) / spread if spread > 0 else np.nan
-                parts[g] = (ms, mt, u @ vt, 1.0 if np.isnan(scale) else float(scale))
-            kept = sorted(parts)
-            self.maps[i] = (centres[kept], [parts[g] for g in kept])
+                centres.append(ms)
+                parts.append((ms, mt, u @ vt, 1.0 if np.isnan(scale) else float(scale)))
+            self.maps[i] = (np.array(centres), parts)
         return self
 
     def project(self, rows: DataFrame, view: int) -> DataFrame:
+        if self.reduced_dim > 0 and view in self.components:
+            rows = self.components[view].project(rows)
         if view == 0:
             return Procrustes().project(rows, 0)
         if view not in self.maps:
@@ -159,7 +253,7 @@ class LocalIsometry:
 
         def f(x, p):
             centres, parts = p
-            near = squared_distances(x, centres).argmin(1)
+            near = squared_distances(x, np.asarray(centres)).argmin(1)
             out = np.zeros((len(x), parts[0][2].shape[1]))
             for g in np.unique(near):
                 ms, mt, r, scale = parts[g]
@@ -307,6 +401,8 @@ KINDS = {"naive": Naive, "procrustes": Procrustes, "local_isometry": LocalIsomet
 
 
 def _plain(x):
+    if isinstance(x, Components):
+        return {"components": [_plain(x.mean), _plain(x.axes)]}
     if isinstance(x, np.ndarray):
         return {"array": x.tolist()}
     if isinstance(x, dict):
@@ -317,6 +413,8 @@ def _plain(x):
 
 
 def _back(x):
+    if isinstance(x, dict) and "components" in x:
+        return Components(*map(_back, x["components"]))
     if isinstance(x, dict):
         return np.array(x["array"]) if "array" in x else {k: _back(v) for k, v in x["dict"]}
     return [_back(v) for v in x] if isinstance(x, list) else x
