@@ -29,7 +29,9 @@ ORDERS = (1, 2, 3, 4)
 MIN_WORDS, MAX_REPEATED, KEEP = 50, 0.5, 0.5
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that the model is fitted on, and bytes of their features, at most.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 256 << 20
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
+#: Shares are scaled for training; the constant's feature.
+SCALE, BIAS = 100.0, 2 << BITS
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 
@@ -149,7 +151,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse shares of each text's features."""
+    """Sparse shares of each text's features, and a constant one."""
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -159,8 +161,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(texts)):
                 spans = [(c[parts.start[i] : parts.end[i]]) for c in characters], [w[parts.first_word[i] : parts.first_word[i + 1]] for w in words]
                 found = [np.unique(np.concatenate(s), return_counts=True) for s in spans]
-                index.append(np.concatenate([f for f, _ in found]).astype("<i4").tobytes())
-                share.append(np.concatenate([n / max(1, len(s[0])) for (_, n), s in zip(found, spans)]).astype("<f4").tobytes())
+                index.append(np.concatenate([*[f for f, _ in found], [BIAS]]).astype("<i4").tobytes())
+                share.append(np.concatenate([*[SCALE * n / max(1, len(s[0])) for (_, n), s in zip(found, spans)], [1.0]]).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "quality", "index", "share"])
 
 
@@ -185,25 +187,26 @@ def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)  # a model that tells nothing is left as it is
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, epochs: int = 6, alpha: float = 0.5, l1: float = 1e-3, l2: float = 1e-2, scale: float = 100.0, seed: int = 13) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, epochs: int = 6, alpha: float = 0.5, l1: float = 1e-3, l2: float = 1e-2, seed: int = 13) -> QualityModel | None:
     """docs: doc_id, text. labels: doc_id, quality. None where there is nothing to learn from."""
     known = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(seed))
     chosen = known.distinct().orderBy(order, "doc_id", "quality").limit(train_rows)  # train_rows pairs of numbers
     bags = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_bags, "doc_id long, quality int, index binary, share binary")
-    table = written(bags.withColumn("row", F.xxhash64("doc_id", "quality", "index", "share", F.lit(seed))), "quality-sample")
-    sizes = table.select("row", (2 * F.length("index")).alias("size")).orderBy("row").limit(train_rows).toArrow()
-    if not len(sizes):
+    place = F.struct(F.xxhash64("doc_id", "quality", "index", "share", F.lit(seed)).alias("hash"), F.monotonically_increasing_id().alias("id"))
+    table = written(bags.withColumn("place", place), "quality-sample")
+    sizes = table.select("place", (2 * F.length("index")).alias("size")).orderBy("place").limit(train_rows).collect()
+    if not sizes:
         return None
-    row = sizes["row"].to_numpy()
-    last = row[max(0, int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), train_bytes, side="right")) - 1)]
-    sample = table.filter(F.col("row") <= int(last)).orderBy("row", "doc_id").limit(train_rows).toArrow()  # train_bytes at most, or one row
-    index, share = ([np.frombuffer(b, kind) for b in sample[c].to_pylist()] for c, kind in (("index", "<i4"), ("share", "<f4")))
-    y, bias = sample["quality"].to_numpy().astype(float), 2 << BITS
-    x = Rows.of([np.append(i, bias) for i in index], [np.append(s * np.float32(scale), 1.0) for s in share])
+    last = sizes[max(0, int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), train_bytes, side="right")) - 1)].place
+    sample = table.filter((F.col("place.hash") < last.hash) | (F.col("place.hash") == last.hash) & (F.col("place.id") <= last.id)).select("place.*", "quality", "index", "share").toArrow()  # train_bytes at most, or one row
+    sample = sample.sort_by([("hash", "ascending"), ("id", "ascending")])  # the same order in every run
+    index, share = (np.frombuffer(b"".join(sample[c].to_pylist()), kind) for c, kind in (("index", "<i4"), ("share", "<f4")))
+    x, y = Rows(index, share, np.cumsum([len(b) // 4 for b in sample["index"].to_pylist()])), sample["quality"].to_numpy().astype(float)
+    del sample
     held = np.arange(len(y)) % 5 == 4  # rows are in the order of a hash
     learn, random = np.flatnonzero(~held), np.random.default_rng(seed)
-    model = Ftrl(bias + 1, 1, alpha, 1.0, l1, l2)
+    model = Ftrl(BIAS + 1, 1, alpha, 1.0, l1, l2)
     for _ in range(epochs):
         random.shuffle(learn)
         for i in range(0, len(learn), 64):
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
             step(model, x.take(at), lambda z, t=y[at]: (_sigmoid(z) - t[:, None]) / len(t))
     w = model.weights()
     slope, offset = platt(x.take(np.flatnonzero(held)).dot(w)[:, 0], y[held])
-    return QualityModel(w[:-1, 0] * scale, float(w[-1, 0]), slope, offset)
+    return QualityModel(w[:-1, 0] * SCALE, float(w[-1, 0]), slope, offset)
 
 
 def _judged(shared, keep: float):
