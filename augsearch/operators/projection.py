@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from augsearch.functions.storage import written
 from augsearch.functions.vectors import normalised, padded, squared_distances, truncated
+from augsearch.operators.contrastive import ACTIVATIONS, ContrastiveHeads
 from augsearch.operators.linkage import average_linkage
 
 OUT = "column_id string, embedding array<double>"
 
 
-def _mapped(rows: DataFrame, f, shared=None) -> DataFrame:
+def mapped(rows: DataFrame, f, shared=None) -> DataFrame:
     """column_id, embedding with f applied to the matrix of each batch."""
 
     def run(batches):
@@ -167,7 +168,7 @@ class Procrustes:
         if view not in self.maps:
             raise ValueError(f"unknown view {view}")
         shared = rows.sparkSession.sparkContext.broadcast(self.maps[view])
-        return _mapped(rows, lambda x, p: (x - p[0]) / p[2] @ p[4] * p[3] + p[1], shared)
+        return mapped(rows, lambda x, p: (x - p[0]) / p[2] @ p[4] * p[3] + p[1], shared)
 
     def expression(self, v: Column, view: int) -> Column:
         """The same as a Column, for small dimensions."""
@@ -195,7 +196,7 @@ class Components:
 
     def project(self, rows: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast((self.mean, self.axes))
-        return _mapped(rows, lambda x, p: (x - p[0]) @ p[1], shared)
+        return mapped(rows, lambda x, p: (x - p[0]) @ p[1], shared)
 
 
 @dataclass
@@ -260,109 +261,7 @@ class LocalIsometry:
                 out[near == g] = scale * (x[near == g] - ms) @ r + mt
             return out
 
-        return _mapped(rows, f, shared)
-
-
-ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0), "silu": lambda x: x / (1 + np.exp(-x)), "gelu": lambda x: 0.5 * x * (1 + np.tanh(0.7978845608028654 * (x + 0.044715 * x**3)))}
-
-
-@dataclass
-class ContrastiveHeads:
-    """A small network for each view, trained so that the views of a row come together: NT-Xent over both, full gradients by
-    tasks, AdamW on the driver with a cosine schedule. Weights are broadcast, gradients of their size come back once a step."""
-
-    out_dim: int = 32
-    hidden: int | None = None
-    activation: str = "relu"
-    heads: list = field(default_factory=list)
-
-    def start(self, dims: list[int], seed: int = 0) -> ContrastiveHeads:
-        r, h = np.random.default_rng(seed), self.hidden or 2 * self.out_dim
-        self.heads = [[r.standard_normal((d, h)) * np.sqrt(2 / d), np.zeros(h), r.standard_normal((h, self.out_dim)) * np.sqrt(1 / h), np.zeros(self.out_dim)] for d in dims]
-        return self
-
-    def forward(self, x: np.ndarray, head: list) -> np.ndarray:
-        return ACTIVATIONS[self.activation](x @ head[0] + head[1]) @ head[2] + head[3]
-
-    def fit(self, views: list[DataFrame], epochs: int = 20, rate: float = 1e-2, decay: float = 0.01, tau: float = 0.1, batch: int = 256, seed: int = 0) -> ContrastiveHeads:
-        spark, v = views[0].sparkSession, len(views)
-        if v < 2:
-            raise ValueError("two views are needed")
-        if self.activation != "relu":
-            raise ValueError("training is written for relu; other activations are for inference")
-        rows = views[0].select("column_id", F.col("embedding").alias("v0"))
-        for i, w in enumerate(views[1:], 1):
-            rows = rows.join(w.select("column_id", F.col("embedding").alias(f"v{i}")), "column_id")
-        n_batches = max(1, rows.count() // batch)
-        dealt = rows.withColumn("batch", F.pmod(F.xxhash64("column_id", F.lit(seed)), F.lit(n_batches))).repartition(n_batches, "batch").cache()
-        self.start([len(r) for r in rows.select(*[f"v{i}" for i in range(v)]).first()], seed)
-        m, s, step = None, None, 0
-        for epoch in range(epochs):
-            shared = spark.sparkContext.broadcast(self.heads)
-
-            def gradients(batches, shared=shared):
-                total, n = None, 0
-                for b in batches:
-                    if b.num_rows < 2:
-                        continue
-                    g = contrastive_gradients([np.array(b.column(1 + i).to_pylist(), np.float64) for i in range(v)], shared.value, tau)
-                    flat = np.concatenate([p.ravel() for head in g for p in head])
-                    total, n = flat if total is None else total + flat, n + 1
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([total / n], pa.list_(pa.float64()))], names=["g"])
-
-            parts = dealt.select("column_id", *[f"v{i}" for i in range(v)]).mapInArrow(gradients, "g array<double>")
-            mean = parts.select(F.posexplode("g").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x")).orderBy("pos")
-            g = np.array([r.x for r in mean.collect()])  # as many numbers as weights
-            w = np.concatenate([p.ravel() for head in self.heads for p in head])
-            decays = np.concatenate([np.full(p.size, decay if p.ndim == 2 else 0.0) for head in self.heads for p in head])
-            m, s, step = (np.zeros_like(w), np.zeros_like(w), 0) if m is None else (m, s, step)
-            step += 1
-            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-            now = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-            w = w - now * (m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + decays * w)
-            at, heads = 0, []
-            for head in self.heads:
-                new = []
-                for p in head:
-                    new.append(w[at : at + p.size].reshape(p.shape))
-                    at += p.size
-                heads.append(new)
-            self.heads = heads
-        dealt.unpersist()
-        return self
-
-    def project(self, rows: DataFrame, view: int) -> DataFrame:
-        if not 0 <= view < len(self.heads):
-            raise ValueError(f"unknown view {view}")
-        shared = rows.sparkSession.sparkContext.broadcast(self.heads[view])
-        return _mapped(rows, lambda x, head: self.forward(x, head), shared)
-
-
-def contrastive_gradients(xs: list[np.ndarray], heads: list, tau: float) -> list:
-    """Gradients of NT-Xent over the views of a batch, by the weights of each head (one hidden relu layer)."""
-    v, b = len(xs), len(xs[0])
-    pre = [x @ h[0] + h[1] for x, h in zip(xs, heads)]
-    act = [np.maximum(p, 0) for p in pre]
-    raw = [a @ h[2] + h[3] for a, h in zip(act, heads)]
-    z = np.concatenate(raw)
-    size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    u = z / size
-    sim = u @ u.T / tau
-    np.fill_diagonal(sim, -np.inf)
-    p = np.exp(sim - sim.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    label = np.tile(np.arange(b), v)
-    positive = (label[:, None] == label[None, :]) & ~np.eye(len(label), dtype=bool)
-    d = (p - positive / positive.sum(1, keepdims=True)) / len(label) / tau
-    du = (d + d.T) @ u
-    dz = (du - u * (du * u).sum(1, keepdims=True)) / size
-    out = []
-    for i, (x, h) in enumerate(zip(xs, heads)):
-        g = dz[i * b : (i + 1) * b]
-        back = g @ h[2].T * (pre[i] > 0)
-        out.append([x.T @ back, back.sum(0), act[i].T @ g, g.sum(0)])
-    return out
+        return mapped(rows, f, shared)
 
 
 @dataclass
@@ -384,7 +283,7 @@ class TranslatorHeads:
             y = x @ decoder[0] + decoder[1]
             return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
 
-        return _mapped(rows, f, parts)
+        return mapped(rows, f, parts)
 
 
 def project_collection(views: list[DataFrame], model, splits: DataFrame) -> DataFrame:

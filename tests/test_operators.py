@@ -267,39 +267,6 @@ def test_models_are_saved(spark, tmp_path):
         assert np.allclose(one, two)
 
 
-def test_contrastive_gradients_and_training(spark):
-    r = np.random.default_rng(3)
-    heads = projection.ContrastiveHeads(out_dim=3, hidden=24)
-    heads.start([4, 2], 1)
-    xs = [r.standard_normal((6, 4)), r.standard_normal((6, 2))]
-
-    def loss():
-        z = np.concatenate([heads.forward(x, h) for x, h in zip(xs, heads.heads)])
-        u = z / np.linalg.norm(z, axis=1, keepdims=True)
-        s = u @ u.T / 0.1
-        np.fill_diagonal(s, -np.inf)
-        return np.mean([np.log(np.exp(s[i]).sum()) - s[i, (i + 6) % 12] for i in range(12)])
-
-    g = projection.contrastive_gradients(xs, heads.heads, 0.1)
-    for h in range(2):
-        for k in range(4):
-            p = heads.heads[h][k]
-            at = np.unravel_index(p.size // 2, p.shape)
-            p[at] += 1e-6
-            up = loss()
-            p[at] -= 2e-6
-            down = loss()
-            p[at] += 1e-6
-            assert g[h][k][at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
-    x = r.standard_normal((120, 4))
-    a, b = matrix(spark, x), matrix(spark, x[:, ::-1])
-    model = projection.ContrastiveHeads(out_dim=8).fit([a, b], epochs=15, batch=60)
-    pair = [np.array([q.embedding for q in model.project(v, i).orderBy("column_id").collect()]) for i, v in enumerate((a, b))]
-    u = [p / np.linalg.norm(p, axis=1, keepdims=True) for p in pair]
-    sims = u[0] @ u[1].T
-    assert np.diag(sims).mean() > sims.mean() + 0.2
-
-
 def test_splits(spark):
     assert splits.split_counts(10, [0.5, 0.3, 0.2]) == [5, 3, 2] and sum(splits.split_counts(7, [0.5, 0.25, 0.25])) == 7
     with pytest.raises(ValueError):
