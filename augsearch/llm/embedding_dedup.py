@@ -10,8 +10,14 @@ Hyperplanes go through the mean of the label, since around a common direction si
 number of passes follows the data: `passes_for` says how many find a pair at the threshold itself with probability `recall`, from the size of
 a label and the spread around its mean; closer pairs are found more surely. So passes grow with a label's size, by about its fifth root.
 
-All pairs within a component, and only those, are then compared by matrix products over tiles, pairs of strips of bounded size, for
-the number of links of each vector; a hot component is so spread over many tasks.
+That model takes a label to be evenly spread around its mean, and a label of several tight groups is not. So what the passes found is
+checked: from the numbers of pairs that one pass alone found and that two did, Chao's estimator tells how many pairs no pass found. Labels
+in which that is more than 1 - `assured` of all are compared in full, and so are labels for which windows would cost as much as that, or
+that need more than `PASSES`. These comparisons are quadratic in such a label.
+
+All pairs within a component, and only those (of labels compared in full, all pairs), are compared by matrix products over tiles, pairs of strips of
+bounded size, for the number of links of each vector; a hot component is so spread over many tasks. Of a label compared in full each tile also
+gives a forest that joins what it links, at most one link a vector.
 
 Equal vectors of a label are one row with a count throughout, so a very common vector costs what one does.
 
@@ -34,8 +40,8 @@ from augsearch.llm.common import documents, n_tasks, written
 from augsearch.llm.components import components
 
 THRESHOLD = 0.93
-TOGETHER, WINDOW, BLOCK, RECALL = 4, 24, 512, 0.999
-#: No more passes than this, which is enough for labels of 10^8 evenly spread vectors.
+TOGETHER, WINDOW, BLOCK, RECALL, ASSURED = 4, 24, 512, 0.999, 0.998
+#: Passes at most, which is enough for labels of 10^8 evenly spread vectors; labels that need more are compared in full.
 PASSES = 128
 #: A strip has a quarter of its component, at least BLOCK rows and at most about so many components of vectors.
 STRIP = 1 << 21
@@ -74,7 +80,7 @@ def passes_for(size: float, spread: float, threshold: float, window: int, recall
     same_side = 1 - np.arccos(cosine) / np.pi
     bits = max(0.0, np.log2(max(size, 1.0) / window))  # that a pair has to share, so that fewer than a window's rows come between
     found = same_side**bits
-    return 1 if found >= recall else int(min(PASSES, np.ceil(np.log(1 - recall) / np.log1p(-found))))
+    return 1 if found >= recall else int(min(PASSES + 1, np.ceil(np.log(1 - recall) / np.log1p(-found))))
 
 
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("label", pa.int64()), ("code", pa.int64()), ("vec", pa.int64()), ("embedding", pa.list_(pa.float64()))])
@@ -101,7 +107,7 @@ def _links(threshold: float, window: int, ends: bool):
             new = 0 if tail is None else tail.num_rows
             key = np.stack([np.asarray(b.column(i)) for i in (0, 1)], 1)  # pass and label
             vec = np.asarray(b.column(3))
-            left, right = [], []
+            left, right, at = [], [], []
             for rows, x in _matrix(b.column(4)):
                 x = _unit(x)
                 for d in range(1, min(window, len(rows) - 1) + 1):
@@ -111,10 +117,11 @@ def _links(threshold: float, window: int, ends: bool):
                     near = near[np.einsum("ij,ij->i", x[near], x[near + d]) >= threshold]
                     left.append(vec[i[near]])
                     right.append(vec[j[near]])
+                    at.append(key[i[near]])
             if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-                none = [pa.nulls(len(pairs), f.type) for f in list(_FOUND)[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=_FOUND)
+                pairs = np.unique(np.concatenate([np.sort(np.stack([np.concatenate(left), np.concatenate(right)], 1), 1), np.concatenate(at)], 1), axis=0)
+                none = [pa.nulls(len(pairs), f.type) for f in list(_FOUND)[4:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3]), *none], schema=_FOUND)
             tail = b.slice(max(0, b.num_rows - window))
         if ends and tail is not None:
             yield edge(tail)
@@ -157,21 +164,46 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _TILE = ["component", "label", "dims", "i", "j"]
+#: The component of labels that are compared in full.
+FULL = -1
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of the links a-b among numbers below n, as few as join the same numbers: each number's row is one it is joined to, or itself."""
+    up = np.arange(n)
+    while True:
+        low = np.minimum(up[a], up[b])
+        before = up.copy()
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        up = up[up]
+        if np.array_equal(before, up):
+            return up
 
 
 def _compared(threshold: float, block: int = 1024):
-    """Of each pair of strips, how many links each vector has into the other strip. Rows come by _TILE, then side; the strip of side 0 is
-    held, that of side 1 streams."""
+    """Of each pair of strips, how many links each vector has into the other strip; of labels compared in full also links (a, b) that
+    join what it links. Rows come by _TILE, then side; the strip of side 0 is held, that of side 1 streams."""
 
     def part(b: pa.RecordBatch):
         vec, key, n = (np.asarray(b.column(i)) for i in range(6, 9))
         return vec, key, n, _unit(np.asarray(b.column(9).flatten()).reshape(b.num_rows, -1))
 
     def out(label, vec, key, links):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), label)), pa.array(vec), pa.array(key), pa.array(links)], names=["label", "vec", "hash", "links"])
-
-    def compare(one, two, same: bool):
-        """Links of the rows of one and of two; of pairs of one strip each is seen from both sides in the first."""
+        none = pa.nulls(len(vec), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), label)), pa.array(vec), pa.array(key), pa.array(links), none, none], names=["label", "vec", "hash", "links", "a", "b"])
+
+    def joining(one, two, joins: list):
+        """The links of a forest over the rows of both."""
+        vec = np.concatenate([one[0], two[0]])
+        a, b = (np.concatenate([j[n] for j in joins]) for n in (0, 1))
+        up = _forest(a, b + len(one[0]), len(vec))
+        at = np.flatnonzero(up != np.arange(len(vec)))
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(vec[at]), pa.array(vec[up[at]])], names=["label", "vec", "hash", "links", "a", "b"])
+
+    def compare(one, two, same: bool, joins: list | None = None):
+        """Links of the rows of one and of two; of pairs of one strip each is seen from both sides in the first. joins: gets a forest of each block's links."""
         left, right = np.zeros(len(one[0]), np.int64), np.zeros(len(two[0]), np.int64)
         for i in range(0, len(left), block):
             for j in range(0, len(right), block):
@@ -181,6 +213,13 @@ def _compared(threshold: float, block: int = 1024):
                     np.fill_diagonal(near, False)
                 left[a] += near @ two[2][b]
                 right[b] += one[2][a] @ near
+                if joins is not None and near.any():
+                    x, y = np.nonzero(near)
+                    up = _forest(x, y + len(near), sum(near.shape))
+                    rows = np.flatnonzero(up[: len(near)] != np.arange(len(near)))  # a row joined to another is so through a column
+                    first = near.argmax(1)
+                    columns = np.flatnonzero(near.any(0))
+                    joins.append((np.concatenate([rows, up[len(near) + columns]]) + i, np.concatenate([first[rows], columns]) + j))
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +230,10 @@ def _compared(threshold: float, block: int = 1024):
 
         def done():
             if one is None and held and tile[3] == tile[4]:
-                strip = gathered()
-                yield out(tile[1], strip[0], strip[1], compare(strip, strip, True)[0])
+                strip, joins = gathered(), [] if tile[0] == FULL else None
+                yield out(tile[1], strip[0], strip[1], compare(strip, strip, True, joins)[0])
+                if joins:
+                    yield joining(strip, strip, joins)
             elif one is not None:
                 yield out(tile[1], one[0], one[1], links)
 
@@ -213,16 +254,20 @@ def _compared(threshold: float, block: int = 1024):
                     if one is None:
                         one, held = gathered(), [rows]
                         links = np.zeros(len(one[0]), np.int64)
-                    left, right = compare(one, rows, False)
+                    joins = [] if tile[0] == FULL else None
+                    left, right = compare(one, rows, False, joins)
                     links += left
                     yield out(tile[1], rows[0], rows[1], right)
+                    if joins:
+                        yield joining(one, rows, joins)
         yield from done()
 
     return run
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, seed: int = 3, recall: float = RECALL) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept. passes: by default as many as `recall` needs."""
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, seed: int = 3, recall: float = RECALL, assured: float | None = ASSURED) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. passes: by default as many as `recall` needs. assured: the share of links that
+    the passes have to have found by the estimate, or a label is compared in full; None for what the passes find and no more."""
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("hash", F.when(usable(), F.xxhash64("embedding")))
@@ -233,26 +278,38 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int |
     sums = distinct.select("label", "embedding").mapInArrow(_sums, "label long, dims int, n long, sum array<double>").select("label", "dims", "n", F.posexplode("sum"))
     sums = sums.groupBy("label", "dims", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("sum"))
     means = sums.groupBy("label", "dims").agg(F.max("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("sum") / F.col("n")).alias("mean")))), lambda x: x["mean"]).alias("centre"))
-    means = written(means, "means")
-    # what one label needs follows its size and spread; passes are for all, as many as the neediest label's
     spread = 1 - F.aggregate("centre", F.lit(0.0), lambda a, x: a + x * x)
-    kinds = means.groupBy(F.ceil(F.log2("size") * 4).alias("size"), F.ceil(spread * 64).alias("spread")).count().collect()  # some 200 sizes by 65 spreads at most
-    most = max((passes_for(2 ** (k["size"] / 4), max(k["spread"] - 1, 0.5) / 64, threshold, window, recall) for k in kinds), default=0)
-    passes = min(most, PASSES) if passes is None else passes
-    centred = distinct.select("vec", "label", "embedding", dims).join(means.select("label", "dims", "centre"), ["label", "dims"]).select("vec", "label", "embedding", "centre")
-    found = None
+    kinds = {"size_of": F.ceil(F.log2("size") * 4).cast("int"), "spread_of": F.ceil(spread * 64).cast("int")}
+    means = written(means.withColumns(kinds), "means")
+    # what a label needs follows its size and spread
+    needs = []
+    for k in means.select(*kinds).distinct().collect():  # some 200 sizes by 65 spreads at most
+        size = 2 ** (k.size_of / 4)
+        need = passes_for(size, max(k.spread_of - 1, 0.5) / 64, threshold, window, recall) if passes is None else passes
+        needs.append((k.size_of, k.spread_of, need, assured is not None and (need > PASSES or need * window >= size / 2)))
+    needs = spark.createDataFrame(needs, "size_of int, spread_of int, passes int, full boolean")
+    means = means.join(F.broadcast(needs), list(kinds)).select("label", "dims", "centre", "passes", "full")
+    centred = distinct.select("vec", "label", "embedding", dims).join(means.filter("not full"), ["label", "dims"]).select("vec", "label", "embedding", "centre", "passes")
+    found = spark.createDataFrame([], "a long, b long, pass int, label long")
     order = ("pass", "label", "code", "vec")
-    for p in range(0, passes, TOGETHER):
-        coded = centred.mapInArrow(_codes(list(range(p, min(passes, p + TOGETHER))), seed), "pass int, label long, code long, vec long, embedding array<double>")
+    for p in range(0, max((n.passes for n in needs.filter("not full").collect()), default=0), TOGETHER):
+        coded = centred.filter(F.col("passes") > p).mapInArrow(_codes(list(range(p, p + TOGETHER)), seed), "pass int, label long, code long, vec long, embedding array<double>")
         ranges = written(coded.repartitionByRange(n_tasks(spark), *order).sortWithinPartitions(*order).mapInArrow(_links(threshold, window, True), _FOUND_DDL), "links")
         ends = ranges.filter("a is null").select(*order, "embedding").distinct().repartition(n_tasks(spark), "pass", "label").sortWithinPartitions(*order)
-        links = ranges.filter("a is not null").select("a", "b").union(ends.mapInArrow(_links(threshold, window, False), _FOUND_DDL).select("a", "b"))
-        found = links if found is None else found.union(links)
-    if found is None:
-        found = spark.createDataFrame([], "a long, b long")
+        links = ranges.filter("a is not null").union(ends.mapInArrow(_links(threshold, window, False), _FOUND_DDL))
+        found = found.union(links.select("a", "b", "pass", "label"))
     # a vec may stand for different vectors of one repeated vec_id: those need no link
-    joined = written(components(found.filter("a <> b").distinct()), "embedding-components")
-    members = distinct.join(joined, F.col("vec") == F.col("node")).select("component", "label", dims, "vec", "hash", "n", "embedding")
+    pairs = written(found.filter("a <> b").distinct().groupBy("label", "a", "b").agg(F.count("*").alias("times")), "pairs")
+    often = lambda n: F.sum((F.col("times") == n).cast("double"))
+    unseen = F.col("once") * (F.col("once") - 1) / (2 * (F.col("twice") + 1))
+    told = pairs.groupBy("label").agg(F.count("*").alias("all"), often(1).alias("once"), often(2).alias("twice"))
+    doubtful = told.filter(F.col("all") < F.lit(assured or 0.0) * (F.col("all") + unseen)).select("label")
+    full = written(means.filter("full").select("label", "dims").union(means.join(doubtful, "label").select("label", "dims")).distinct(), "full-labels")
+    sure = pairs.join(full.select("label").distinct(), "label", "left_anti")
+    joined = written(components(sure.select("a", "b").distinct()), "embedding-components")
+    vectors = distinct.select("label", dims, "vec", "hash", "n", "embedding")
+    members = vectors.join(joined, F.col("vec") == F.col("node")).join(full, ["label", "dims"], "left_anti").select("component", *vectors.columns)
+    members = members.union(vectors.join(full, ["label", "dims"]).select(F.lit(FULL).cast("long"), *vectors.columns))
     # strips follow the size of the component: few copies of each vector, and a strip that a task can hold
     sized = members.groupBy("component", "label", "dims").agg(F.count("*").alias("size")).filter("size > 1")
     rows_of_strip = F.least(F.greatest(F.lit(block), F.ceil(F.col("size") / 4)), F.greatest(F.lit(block), F.floor(F.lit(STRIP) / F.col("dims"))))
@@ -261,7 +318,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int |
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
     tiles = dealt.select("component", "label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "vec", "hash", "n", "embedding")
     tiles = tiles.repartition(n_tasks(spark), *_TILE).sortWithinPartitions(*_TILE, "side")
-    linked = tiles.mapInArrow(_compared(threshold), "label long, vec long, hash long, links long").groupBy("label", "vec", "hash").agg(F.sum("links").alias("links"))
+    compared = written(tiles.mapInArrow(_compared(threshold), "label long, vec long, hash long, links long, a long, b long"), "compared")
+    linked = compared.filter("a is null").groupBy("label", "vec", "hash").agg(F.sum("links").alias("links"))
+    edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(compared.select("a", "b")).filter("a <> b")
+    joined = written(components(edges, "all-components"), "all-components")
     classes = distinct.join(joined, F.col("vec") == F.col("node"), "left").join(linked, ["label", "vec", "hash"], "left")
     classes = classes.select("label", "hash", "embedding", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     all_rows = rows.join(classes, ["label", "hash", "embedding"], "left")
