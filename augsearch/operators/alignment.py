@@ -1,7 +1,7 @@
 """How well views are aligned: similarity metrics over rows (row, label, vec), where a label is one entity seen in several views.
 
-All pairs of rows are the definition of these metrics. Rows are dealt to blocks, and each pair of blocks is compared by a matrix product
-that returns sums or a few best per row, never pairs.
+All pairs of rows are the definition of these metrics; those that need them compared go through the tiles of `pairs`, which return sums or a few
+best per row, never pairs. `report` has all of them in one pass.
 """
 
 from __future__ import annotations
@@ -11,16 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-
-
-def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """left, right: blocks of (row, label, vec), each ordered pair of blocks once."""
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.select(F.col("row").cast("long").alias("row"), F.col("label").cast("long").alias("label"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("block"))
-    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("row", "label", "vec")).alias("rows"))
-    pairs = blocks.select(F.col("block").alias("i"), F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    return pairs.join(blocks.select(F.col("block").alias("j"), F.col("rows").alias("right")), "j").select("left", "right")
+from augsearch.operators.pairs import BLOCK, EntityStability, MeanRelativeRank, TopKAccuracy, TopKPrecision, evaluate, nearest_of, prepared, ranked, tiled, tile_views
 
 
 def _arrays(side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,19 +19,79 @@ def _arrays(side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r["row"] for r in side]), np.array([r["label"] for r in side]), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def similarity_moments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """mean_cosine, stddev_cosine, mean_same_label, stddev_same_label over ordered pairs of different rows; 0 where there is none."""
+#: Rows of one label that a task takes; a larger label is split, and its parts' matrices of dimension by dimension are added.
+LABEL_ROWS = 65_536
+
+
+def _squares(x: np.ndarray) -> float:
+    """The sum of the squared products of all pairs of rows, themselves included."""
+    g = x @ x.T if len(x) < x.shape[1] else x.T @ x
+    return float((g * g).sum())
+
+
+def similarity_moments(rows: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """mean_cosine, stddev_cosine, mean_same_label, stddev_same_label over ordered pairs of different rows; 0 where there is none.
+
+    No pair is compared: the cosines of a group of unit vectors add up to the squared length of their sum, and their squares to that of
+    the matrix of their products. So all rows need one pass, and rows of one label one more, for which they are brought together.
+    """
+    from augsearch.operators.projection import _added
+
+    unit = prepared(rows)
+    total = _added(unit.select("vec"), lambda x: np.vstack([np.append(x.sum(0), [len(x), (q := (x * x).sum(1)).sum(), (q * q).sum()]), np.pad(x.T @ x, ((0, 0), (0, 3)))]))
+    if total is None:
+        return rows.sparkSession.createDataFrame([(0.0,) * 4], "mean_cosine double, stddev_cosine double, mean_same_label double, stddev_same_label double")
+    d = total.shape[1] - 3
+    n, own, own2 = total[0, d:]
+    everything = (n * (n - 1), total[0, :d] @ total[0, :d] - own, (total[1:, :d] ** 2).sum() - own2)
+
+    parts = F.ceil(F.col("count") / label_rows)
+    sizes = unit.groupBy("label").count().select("label", parts.alias("parts"))
+    dealt = unit.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
 
     def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                (r1, l1, x), (r2, l2, y) = (_arrays(b.column(i)[k].as_py()) for i in (0, 1))
-                s, other = x @ y.T, r1[:, None] != r2[None, :]
-                same = other & (l1[:, None] == l2[None, :])
-                v = [float(f) for m in (other, same) for f in (m.sum(), s[m].sum(), (s[m] ** 2).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in v], names=["n", "s", "q", "n_same", "s_same", "q_same"])
+        at, held, kept, small = None, [], None, np.zeros(3)
+
+        def closed():
+            """Adds a whole label to the sums; gives the matrices of a part of one."""
+            nonlocal small
+            x = np.concatenate(held) if held else np.zeros((0, d))
+            if at[2] == 1:
+                q = (x * x).sum(1)
+                small = small + [len(x) * (len(x) - 1), x.sum(0) @ x.sum(0) - q.sum(), _squares(x) - (q * q).sum()]
+                return None
+            q = (x * x).sum(1)
+            return np.concatenate([[len(x), q.sum(), (q * q).sum()], x.sum(0), (x.T @ x).ravel()])
 
-    sums = _block_pairs(rows, block).mapInArrow(run, "n double, s double, q double, n_same double, s_same double, q_same double").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "n_same", "s_same", "q_same")])
+        for b in batches:
+            label, part, count = (np.asarray(b.column(i)) for i in range(3))
+            x = np.asarray(b.column(3).flatten(), np.float64).reshape(len(label), -1)
+            cuts = [0, *(np.flatnonzero((np.diff(label) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(label)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                now = (label[start], part[start], count[start])
+                if at is not None and now != at:
+                    kept = closed()
+                    if kept is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([int(at[0])]), pa.array([kept], pa.list_(pa.float64()))], names=["label", "sums"])
+                    held = []
+                at = now
+                held.append(x[start:end])
+        if at is not None:
+            kept = closed()
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[0])]), pa.array([kept], pa.list_(pa.float64()))], names=["label", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([small], pa.list_(pa.float64()))], names=["label", "sums"])
+
+    sums = dealt.select("label", "part", "parts", "vec").repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(run, "label long, sums array<double>")
+    added = sums.select("label", F.posexplode("sums").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
+    x, at = F.col("x"), F.col("pos")
+    one = lambda i: F.sum(F.when(at == i, x).otherwise(0.0))
+    by_label = added.groupBy("label").agg(one(0).alias("p"), one(1).alias("q"), one(2).alias("r"), F.sum(F.when((at >= 3) & (at < 3 + d), x * x).otherwise(0.0)).alias("line"), F.sum(F.when(at >= 3 + d, x * x).otherwise(0.0)).alias("square"))
+    whole = F.col("label").isNull()
+    same = by_label.agg(*[F.coalesce(F.sum(F.when(whole, F.col(a)).otherwise(b)), F.lit(0.0)).alias(c) for a, b, c in (("p", F.col("p") * (F.col("p") - 1), "n_same"), ("q", F.col("line") - F.col("q"), "s_same"), ("r", F.col("square") - F.col("r"), "q_same"))])
+    sums = same.select(*[F.lit(float(v)).alias(c) for v, c in zip(everything, ("n", "s", "q"))], "*")
     mean = lambda k: F.when(F.col(f"n{k}") > 0, F.col(f"s{k}") / F.col(f"n{k}")).otherwise(0.0)
     std = lambda k: F.when(F.col(f"n{k}") > 0, F.sqrt(F.greatest(F.col(f"q{k}") / F.col(f"n{k}") - mean(k) ** 2, F.lit(0.0)))).otherwise(0.0)
     return sums.select(mean("").alias("mean_cosine"), std("").alias("stddev_cosine"), mean("_same").alias("mean_same_label"), std("_same").alias("stddev_same_label"))
@@ -49,23 +100,12 @@ def similarity_moments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 def top_k(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """row, label, other, other_label, sim, rank: the k most similar other rows, ties by row. A row is never its own neighbour."""
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                (r1, l1, x), (r2, l2, y) = (_arrays(b.column(c)[i].as_py()) for c in (0, 1))
-                order = np.argsort(r2, kind="stable")
-                r2, l2, y = r2[order], l2[order], y[order]
-                s = x @ y.T
-                s[r1[:, None] == r2[None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(r1)), best.shape[1])
-                best = best.ravel()
-                ok = np.isfinite(s[at, best])
-                at, best = at[ok], best[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r1[at], l1[at], r2[best], l2[best], s[at, best])], names=["row", "label", "other", "other_label", "sim"])
+    def run(left, right, one):
+        for t in tile_views(left, right, one):
+            at, best = nearest_of(t, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t.row[at], t.label[at], t.other[best], t.other_label[best], t.sim[at, best])], names=["row", "label", "other", "other_label", "sim"])
 
-    near = _block_pairs(rows, block).mapInArrow(run, "row long, label long, other long, other_label long, sim double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)
+    return ranked(tiled(prepared(rows), run, "row long, label long, other long, other_label long, sim double", block=block), k)
 
 
 def top_k_precision(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -107,9 +147,7 @@ def mean_relative_rank(rows: DataFrame, block: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([float(share[ok].sum())]), pa.array([int(ok.sum())])], names=["s", "n"])
 
     if block is None:
-        best = _block_pairs(rows, BLOCK)  # two passes: the best of each row, then how many are nearer
-        near = top_same_label(best)
-        return _ranked(rows, near)
+        return evaluate(rows, [MeanRelativeRank()])
     groups = dealt.groupBy("chunk").agg(F.collect_list(F.struct("row", "label", F.col("vec").cast("array<double>").alias("vec"))).alias("right"))
     blocks = rows.select("row", "label", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("row"), F.lit(max(1, -(-rows.count() // BLOCK)))).alias("b")).groupBy("b").agg(F.collect_list(F.struct("row", "label", "vec")).alias("left"))
     n_chunks = groups.count()
@@ -117,40 +155,10 @@ def mean_relative_rank(rows: DataFrame, block: int | None = None) -> DataFrame:
     return pairs.mapInArrow(run, "s double, n long").agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("mean_relative_rank"))
 
 
-def top_same_label(pairs: DataFrame) -> DataFrame:
-    """row, best: the similarity of the best other row of the same label."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                (r1, l1, x), (r2, l2, y) = (_arrays(b.column(c)[i].as_py()) for c in (0, 1))
-                s = np.where((r1[:, None] != r2[None, :]) & (l1[:, None] == l2[None, :]), x @ y.T, -np.inf).max(1)
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(r1[ok]), pa.array(s[ok])], names=["row", "best"])
-
-    return pairs.mapInArrow(run, "row long, best double").groupBy("row").agg(F.max("best").alias("best"))
-
-
-def _ranked(rows: DataFrame, best: DataFrame) -> DataFrame:
-    known = rows.join(best, "row")
-    n = rows.count()
-    left = known.select("row", "best", F.col("vec").cast("array<double>").alias("vec"))
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                side, (r2, _, y) = b.column(0)[i].as_py(), _arrays(b.column(1)[i].as_py())
-                r1, best_, v = np.array([r["row"] for r in side]), np.array([r["best"] for r in side]), np.array([r["vec"] for r in side])
-                s = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) @ y.T
-                nearer = ((s > best_[:, None] + 1e-12) & (r1[:, None] != r2[None, :])).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(r1), pa.array(nearer)], names=["row", "nearer"])
-
-    n_blocks = max(1, -(-n // BLOCK))
-    place = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block")
-    one = left.groupBy(place).agg(F.collect_list(F.struct("row", "best", "vec")).alias("left")).select("left", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j"))
-    two = rows.select(F.col("row").cast("long").alias("row"), F.col("label").cast("long").alias("label"), F.col("vec").cast("array<double>").alias("vec")).groupBy(place.alias("j")).agg(F.collect_list(F.struct("row", "label", "vec")).alias("right"))
-    counts = one.join(two, "j").select("left", "right").mapInArrow(run, "row long, nearer long").groupBy("row").agg(F.sum("nearer").alias("nearer"))
-    return counts.agg(F.coalesce(F.avg(1 - F.col("nearer") / F.lit(max(n - 2, 1))), F.lit(0.0)).alias("mean_relative_rank"))
+def report(rows: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """One row: the moments of the similarities, and precision, accuracy, stability and relative rank from one pass over the pairs."""
+    metrics = [TopKPrecision(k), TopKAccuracy(k), EntityStability(k), MeanRelativeRank()]
+    return similarity_moments(rows).join(evaluate(rows, metrics, block))  # one row each
 
 
 def residual_norm(pairs: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from augsearch.plans import text_queries, vector_queries  # noqa: F401  they register themselves
 

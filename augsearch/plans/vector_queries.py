@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from augsearch.functions import vectors
 from augsearch.operators import alignment, curation, projection, reports, retrieval, splits
 from augsearch.operators.vector_index import VectorIndex
-from augsearch.plans.registry import register
+from augsearch.plans.registry import register, sql_of
 
 E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _DOT = "list_dot_product(a.v, b.v)"
@@ -205,6 +205,15 @@ def mean_relative_rank(spark, sf_dir):
     return _rounded(alignment.mean_relative_rank(_rows(spark, sf_dir)))
 
 
+_REPORT = ", ".join(f"({sql_of(n)})" for n in ("similarity_moments", "top_k_precision", "top_k_accuracy", "entity_stability", "mean_relative_rank"))
+
+
+@register("alignment_report", f"SELECT * FROM {_REPORT}")
+def alignment_report(spark, sf_dir):
+    """All of the above in one row, the pairs compared once."""
+    return _rounded(alignment.report(_rows(spark, sf_dir), 5))
+
+
 @register("residual_norm", E + " SELECT round(sqrt(avg(list_dot_product(list_transform(list_zip(v, list_reverse(v)), lambda z: z[1] - z[2]), list_transform(list_zip(v, list_reverse(v)), lambda z: z[1] - z[2])))), 6) AS residual_norm FROM e")
 def residual_norm(spark, sf_dir):
     return _rounded(alignment.residual_norm(embeddings(spark, sf_dir).select(F.col("embedding").alias("aligned"), F.reverse("embedding").alias("target"))))

@@ -224,7 +224,7 @@ def test_alignment_fixtures(spark):
     near = alignment.top_k(six, 2, block=4)
     assert alignment.top_k_precision(near, six, 2).first()[0] == 1 and alignment.top_k_accuracy(near, six).first()[0] == 1
     eye = rows([(i, np.eye(3)[i]) for i in range(3)])
-    m = alignment.similarity_moments(eye, block=2).first()
+    m = alignment.similarity_moments(eye, label_rows=2).first()
     assert m.mean_cosine == pytest.approx(0) and m.mean_same_label == 0
     assert alignment.similarity_moments(rows([(0, [1, 0]), (1, [-1, 0])])).first().mean_cosine == pytest.approx(-1)
     assert alignment.mean_relative_rank(rows([(0, [1, 0]), (0, [1, 0]), (1, [0, 1]), (1, [0, 1])])).first()[0] == 1
