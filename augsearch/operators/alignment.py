@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from augsearch.functions.storage import written
+from augsearch.functions.vectors import dot, norm
 from augsearch.operators.pairs import BLOCK, EntityStability, MeanRelativeRank, TopKAccuracy, TopKPrecision, evaluate, nearest_of, prepared, ranked, tiled, tile_views
 
 
@@ -226,3 +228,51 @@ def nt_xent(views: DataFrame, tau: float = 0.1, masked: bool = False) -> DataFra
         return pd.DataFrame([(*key, float(loss))])
 
     return views.groupBy("batch").applyInPandas(run, "batch long, loss double")
+
+
+def vec2vec(samples: DataFrame, weight_rec: float = 1.0, weight_vsp: float = 1.0, weight_cc: float = 1.0) -> DataFrame:
+    """batch, rec_loss, vsp_loss, cc_trans_loss, cc_vsp_loss: the losses of translating between spaces through a shared one.
+
+    samples: batch, sample, and lists of vectors: inputs and recons (one of each space), from_inverted (of space 0, gone to each other
+    space and back) and to_inverted (of each other space, gone to space 0 and back). Reconstruction and cycle losses compare a sample with itself, by cosine;
+    those of the vector space compare the cosines of all pairs of samples of a batch, before with after and before with across (over the
+    dimensions that both have). Pairs go through tiles, so a batch may be of any size.
+    """
+    vectors = ("inputs", "recons", "from_inverted", "to_inverted")
+    lists = [F.col(c).cast("array<array<double>>").alias(c) for c in vectors]
+    samples = written(samples.select(F.col("batch").cast("long").alias("batch"), F.col("sample").cast("long").alias("row"), *lists), "samples")
+
+    def loss(kind: str, ones: Column, others: Column) -> DataFrame:
+        """The mean cosine loss of each place of two lists."""
+        at = samples.select("batch", F.posexplode(F.arrays_zip(ones.alias("x"), others.alias("y"))).alias("at", "p"))
+        cosine = dot(F.col("p.x"), F.col("p.y")) / F.greatest(norm(F.col("p.x")) * norm(F.col("p.y")), F.lit(1e-8))
+        return at.groupBy("batch", "at").agg((1 - (F.avg(cosine) + 1e-8)).alias("loss")).groupBy("batch").agg(F.avg("loss").alias(kind))
+
+    others = F.slice("inputs", F.lit(2), F.greatest(F.size("inputs") - 1, F.lit(0)))
+    first = F.transform("from_inverted", lambda _: F.col("inputs")[0])
+    own = loss("rec", F.col("inputs"), F.col("recons")).join(loss("cc", F.concat(first, others), F.concat("from_inverted", "to_inverted")), "batch", "left")
+
+    def units(side: pa.Table, column: str, at: int) -> np.ndarray:
+        x = np.array([v[at] for v in side[column].to_pylist()], np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def compared(left, right, one):
+        """(kind, place, sum over the tile's ordered pairs, pairs)"""
+        n = len(left["inputs"][0].as_py())
+        both = [("vsp", "inputs", i, "recons", i) for i in range(n)]
+        both += [("cycle", "inputs", 0, "to_inverted", i) for i in range(n - 1)] + [("cycle", "inputs", i + 1, "from_inverted", i) for i in range(n - 1)]
+        for place, (kind, before, b, after, a) in enumerate(both):
+            total = pairs = 0.0
+            for rows, columns in ((left, right),) if one else ((left, right), (right, left)):
+                x, y = units(rows, before, b), units(columns, before, b)
+                z, w = units(rows, after, a), units(columns, after, a)
+                d = min(x.shape[1], z.shape[1])
+                sims = x @ y.T
+                total += np.abs(sims - z @ w.T).sum() + np.abs(sims - z[:, :d] @ y[:, :d].T).sum()
+                pairs += sims.size
+            yield pa.RecordBatch.from_arrays([pa.array([left["batch"][0].as_py()]), pa.array([kind]), pa.array([place], pa.int32()), pa.array([float(total)]), pa.array([float(pairs)])], names=["batch", "kind", "place", "total", "pairs"])
+
+    spread = tiled(samples, compared, "batch long, kind string, place int, total double, pairs double", F.col("batch"))
+    means = spread.groupBy("batch", "kind", "place").agg((F.sum("total") / F.sum("pairs")).alias("loss"))
+    spaces = means.groupBy("batch").agg(*[F.avg(F.when(F.col("kind") == k, F.col("loss"))).alias(k) for k in ("vsp", "cycle")])
+    return own.join(spaces, "batch").select("batch", (F.col("rec") * weight_rec).alias("rec_loss"), (F.col("vsp") * weight_vsp).alias("vsp_loss"), (F.col("cc") * weight_cc).alias("cc_trans_loss"), (F.col("cycle") * weight_cc).alias("cc_vsp_loss"))

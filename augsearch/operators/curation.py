@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from augsearch.functions.storage import written
 from augsearch.functions.vectors import normalised, squared_distance, squared_distances
 from augsearch.operators.retrieval import nearest
 from augsearch.operators.vector_index import VectorIndex
@@ -67,34 +68,84 @@ class GridSampling:
         return chosen.select("column_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("sel_order"))
 
 
-@dataclass(frozen=True)
-class FarthestFirst:
-    """Greedy k-centre: always the row farthest from all that are chosen; ties by column_id.
+#: Rows that come to the driver in a pass, about; chosen rows after which the state is written anew.
+POOL, WRITTEN_AFTER = 2048, 256
+
+
+def _distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Of each row to one choice; rounded, so that equal rows are equally far."""
+    return np.round(1 - x @ c if metric == "cosine" else np.sqrt(((x - c) ** 2).sum(1)), 12)
 
-    Each choice needs the one before it, so a round is one pass: the distances are updated where the rows are, and a
-    single row goes to the driver. State is written to the checkpoint folder every `cut` rounds.
+
+def farthest_first(rows: DataFrame, k: int, first: tuple, metric: str = "euclidean", pool: int = POOL) -> tuple[list[str], int]:
+    """The chosen column_ids in order, and how many passes over the rows that took. rows: column_id, v; first: (column_id, v) of the first choice.
+
+    Each pass lowers the rows' distances by all choices since the one before, and each task gives its farthest rows and the distance of
+    the next one. Rows that are not given are no farther than the largest of those, the bound. Choices are made among the given rows, whose
+    distances are kept up to date, as long as the farthest of them is beyond the bound: then it is the farthest of all. So a pass
+    yields many choices, and they are those of choosing one at a time.
     """
+    spark = rows.sparkSession
+    state, since, passes = written(rows.withColumn("d", F.lit(float("inf"))), "farthest"), [first], 0
+    chosen = [first[0]]
+    while len(chosen) < k:
+        shared = spark.sparkContext.broadcast(([i for i, _ in since], np.array([c for _, c in since], np.float64)))  # WRITTEN_AFTER + pool rows at most
+
+        def lowered(batches, shared=shared):
+            for b in batches:
+                if b.num_rows:
+                    x, d = np.array(b.column(1).to_pylist(), np.float64), np.asarray(b.column(2)).copy()
+                    for c in shared.value[1]:
+                        np.minimum(d, _distances(x, c, metric), out=d)
+                    d[np.isin(np.array(b.column(0).to_pylist(), object), shared.value[0])] = -np.inf  # chosen already
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["column_id", "v", "d"])
+
+        now = state.mapInArrow(lowered, "column_id string, v array<double>, d double")
+        if len(since) > WRITTEN_AFTER:
+            state, since = written(now, "farthest"), []
+            now = state
+        most = max(1, pool // max(1, spark.sparkContext.defaultParallelism))
+
+        def farthest(batches):
+            kept = pa.table({"column_id": pa.array([], pa.string()), "v": pa.array([], pa.list_(pa.float64())), "d": pa.array([], pa.float64())})
+            for b in batches:
+                kept = pa.concat_tables([kept, pa.Table.from_batches([b]).cast(kept.schema)]).sort_by([("d", "descending"), ("column_id", "ascending")]).slice(0, most + 1)
+            rest = pa.array([i == most for i in range(kept.num_rows)])  # one more, for the bound
+            yield from kept.append_column("rest", rest).combine_chunks().to_batches()
+
+        found = now.mapInArrow(farthest, "column_id string, v array<double>, d double, rest boolean").collect()  # about pool rows
+        passes += 1
+        bound = max((r.d for r in found if r.rest), default=-np.inf)
+        given = sorted((r for r in found if not r.rest and r.d > -np.inf), key=lambda r: r.column_id)
+        if not given:
+            break
+        x, d = np.array([r.v for r in given], np.float64), np.array([r.d for r in given])
+        picked = 0
+        while len(chosen) < k:
+            at = int(d.argmax())  # of equals the first id
+            if picked and d[at] <= bound or d[at] == -np.inf:
+                break
+            chosen.append(given[at].column_id)
+            since.append((given[at].column_id, x[at]))
+            d, picked = np.minimum(d, _distances(x, x[at], metric)), picked + 1
+            d[at] = -np.inf
+    return chosen, passes
+
+
+@dataclass(frozen=True)
+class FarthestFirst:
+    """Greedy k-centre: always the row farthest from all that are chosen; ties by column_id. Many choices come from one pass (`farthest_first`)."""
 
     alias: str = "fft"
     metric: str = "euclidean"
-    cut: int = 16
 
     def curate(self, x: DataFrame, k: int, seed: int, start: str | None = None) -> DataFrame:
         spark = x.sparkSession
         v = normalised(F.col("embedding")) if self.metric == "cosine" else F.col("embedding").cast("array<double>")
-        rows = x.select("column_id", v.alias("v")).cache()
+        rows = written(x.select("column_id", v.alias("v")), "farthest-rows")
         first = rows.filter(F.col("column_id") == start).first() if start is not None else rows.orderBy(_random(seed), "column_id").first()
-        chosen, state = [first], rows.withColumn("d", F.lit(float("inf")))
-        while len(chosen) < k:
-            at = F.array(*[F.lit(float(c)) for c in chosen[-1].v])
-            distance = 1 - F.aggregate(F.zip_with("v", at, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p) if self.metric == "cosine" else F.sqrt(squared_distance(F.col("v"), at))
-            state = state.withColumn("d", F.least("d", distance))
-            if len(chosen) % self.cut == 0 and spark.sparkContext.getCheckpointDir():
-                state = state.checkpoint()
-            best = state.orderBy(F.desc("d"), "column_id").select("column_id", "v").first()
-            chosen.append(best)
-        rows.unpersist()
-        return spark.createDataFrame([(c.column_id, i) for i, c in enumerate(chosen)], "column_id string, sel_order int")
+        chosen, _ = farthest_first(rows, k, (first.column_id, first.v), self.metric)
+        return spark.createDataFrame([(c, i) for i, c in enumerate(chosen)], "column_id string, sel_order int")
 
 
 @dataclass(frozen=True)

@@ -253,6 +253,30 @@ def info_nce_loss(spark, sf_dir):
     return _rounded(alignment.nt_xent(_batches(spark, sf_dir), masked=True))
 
 
+_VEC2VEC = E + """, s AS (SELECT vec_id // 16 AS batch, vec_id AS sample, [v, list_reverse(v)[1:48]] AS i, [list_transform(v, lambda x: x + 0.1 * abs(x)), list_transform(list_reverse(v)[1:48], lambda x: x - 0.1)] AS r,
+ [list_transform(v, lambda x: x * abs(x)), list_transform(list_reverse(v)[1:48], lambda x: x + 0.05)] AS c FROM e),
+ u AS (SELECT batch, sample, i, r, c, [list_transform(x, lambda y: y / greatest(sqrt(list_dot_product(x, x)), 1e-12)) for x in i] AS ui, [list_transform(x, lambda y: y / greatest(sqrt(list_dot_product(x, x)), 1e-12)) for x in r] AS ur, [list_transform(x, lambda y: y / greatest(sqrt(list_dot_product(x, x)), 1e-12)) for x in c] AS uc FROM s),
+ one AS (SELECT batch, avg(list_dot_product(ui[1], ur[1])) AS r1, avg(list_dot_product(ui[2], ur[2])) AS r2, avg(list_dot_product(ui[1], uc[1])) AS c1, avg(list_dot_product(ui[2], uc[2])) AS c2 FROM u GROUP BY batch),
+ two AS (SELECT a.batch, avg(abs(list_dot_product(a.ui[1], b.ui[1]) - list_dot_product(a.ur[1], b.ur[1]))) + avg(abs(list_dot_product(a.ui[1], b.ui[1]) - list_dot_product(a.ur[1], b.ui[1]))) AS v1,
+  avg(abs(list_dot_product(a.ui[2], b.ui[2]) - list_dot_product(a.ur[2], b.ur[2]))) + avg(abs(list_dot_product(a.ui[2], b.ui[2]) - list_dot_product(a.ur[2], b.ui[2]))) AS v2,
+  avg(abs(list_dot_product(a.ui[1], b.ui[1]) - list_dot_product(a.uc[2], b.uc[2]))) + avg(abs(list_dot_product(a.ui[1], b.ui[1]) - list_dot_product(a.uc[2], b.ui[1][1:48]))) AS t1,
+  avg(abs(list_dot_product(a.ui[2], b.ui[2]) - list_dot_product(a.uc[1], b.uc[1]))) + avg(abs(list_dot_product(a.ui[2], b.ui[2]) - list_dot_product(a.uc[1][1:48], b.ui[2]))) AS t2 FROM u a JOIN u b ON a.batch = b.batch GROUP BY a.batch)
+ SELECT batch, round(1 - (r1 + r2) / 2, 6) AS rec_loss, round((v1 + v2) / 4, 6) AS vsp_loss, round((1 - (c1 + c2) / 2) / 2, 6) AS cc_trans_loss, round((t1 + t2) / 4, 6) AS cc_vsp_loss FROM one JOIN two USING (batch)"""
+
+
+@register("vec2vec_losses", _VEC2VEC)
+def vec2vec_losses(spark, sf_dir):
+    """Two spaces of 64 and 48 dimensions in batches of 16."""
+    v = F.col("embedding")
+    w = vectors.truncated(F.reverse(v), 48)
+    of = lambda x, f: F.transform(x, f)
+    samples = embeddings(spark, sf_dir).select(
+        F.floor(F.col("vec_id") / 16).alias("batch"), F.col("vec_id").alias("sample"), F.array(v, w).alias("inputs"), F.array(of(v, lambda x: x + 0.1 * F.abs(x)), of(w, lambda x: x - 0.1)).alias("recons"),
+        F.array(of(v, lambda x: x * F.abs(x))).alias("from_inverted"), F.array(of(w, lambda x: x + 0.05)).alias("to_inverted"),
+    )
+    return _rounded(alignment.vec2vec(samples, 1.0, 0.5, 0.5))
+
+
 # vectors
 @register("vector_functions", E + " SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, list_reverse(v)), 6) AS with_reverse, round(list_sum(v[1:16]), 6) AS head, len(v[1:16]) AS cut, 64 + 8 AS padded, round(list_distance(v, list_reverse(v)), 6) AS distance FROM e")
 def vector_functions(spark, sf_dir):
