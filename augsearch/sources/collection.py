@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augsearch.functions.text import sanitize_str
+from augsearch.operators.ranges import numbered
+from augsearch.sources import large_files
 
 SUFFIXES = ("csv", "tsv", "parquet", "pq")
 CELL = "table_id string, col_ord int, col_name string, row_ord long, value string"
 NULL = "--"
+#: Files of more bytes are read in ranges.
+SPLIT = 64 << 20
 
 
 def discover(spark: SparkSession, folder: str, max_datasets: int | None = None) -> DataFrame:
@@ -40,8 +44,7 @@ def in_batches(found: DataFrame, batch_size: int | None) -> DataFrame:
         raise ValueError("the batch size must be positive")
     if batch_size is None:
         return found.withColumn("batch", F.lit(0))
-    numbered = found.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] // batch_size))
-    return numbered.toDF([*found.columns, "batch"])
+    return numbered(found, ["table_id", "path"], name="batch").withColumn("batch", F.floor(F.col("batch") / batch_size))
 
 
 def _table(name: str, content: bytes) -> pa.Table:
@@ -61,14 +64,27 @@ def as_text(column: pa.ChunkedArray) -> list[str | None]:
     return [text(x) for x in column.to_pylist()]
 
 
-def cells(spark: SparkSession, folder: str, column_types: str = "all", max_datasets: int | None = None) -> DataFrame:
-    """All cells of a collection. column_types "string" keeps text columns alone. Files that can't be read, and tables without rows, are left out."""
+def cells(spark: SparkSession, folder: str, column_types: str = "all", max_datasets: int | None = None, split_bytes: int = SPLIT) -> DataFrame:
+    """All cells of a collection. column_types "string" keeps text columns alone. Files that can't be read, and tables without rows, are left out.
+    Files of more than split_bytes are read in ranges of that size (`large_files`)."""
     if column_types not in ("all", "string"):
         raise ValueError("column_types is 'all' or 'string'")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,tsv,parquet,pq}").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("table_id"), "content")
+    files = files.withColumn("table_id", F.element_at(F.split("path", "/"), -1))
     if max_datasets is not None:
         files = files.join(discover(spark, folder, max_datasets).select("table_id"), "table_id", "left_semi")
+    large = files.filter(F.col("length") > split_bytes).select("path", "table_id", "length")
+    some = large.first()
+    if some is None or not large_files.readable(some.path):
+        return _small(files.select("table_id", "content"), column_types)
+    is_text = F.col("table_id").rlike(r"\.(csv|tsv)$")
+    out = _small(files.filter(F.col("length") <= split_bytes).select("table_id", "content"), column_types)
+    out = out.unionByName(large_files.text_cells(large.filter(is_text), split_bytes, column_types, CELL))
+    return out.unionByName(large_files.parquet_cells(large.filter(~is_text), split_bytes, column_types, CELL))
+
+
+def _small(files: DataFrame, column_types: str) -> DataFrame:
+    """The cells of files (table_id, content) that are read whole, each by one task."""
 
     def unpivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,13 +94,7 @@ def cells(spark: SparkSession, folder: str, column_types: str = "all", max_datas
                 except (pa.ArrowInvalid, OSError, UnicodeDecodeError) as e:
                     warnings.warn(f"{name} is left out: {e}", stacklevel=1)
                     continue
-                for i, (header, column) in enumerate(zip(table.column_names, table.columns)):
-                    if column_types == "string" and not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_dictionary(column.type)):
-                        continue
-                    for start in range(0, len(column), 65_536):
-                        part = as_text(column.slice(start, 65_536))
-                        n = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([i] * n, pa.int32()), pa.array([header] * n), pa.array(range(start, start + n), pa.int64()), pa.array(part, pa.string())], names=["table_id", "col_ord", "col_name", "row_ord", "value"])
+                yield from large_files.column_cells(name, table, 0, column_types)
 
     return files.mapInArrow(unpivot, CELL)
 
@@ -124,18 +134,21 @@ def sanitized_headers(df: DataFrame) -> DataFrame:
 
 
 def parquet_schemas(spark: SparkSession, folder: str) -> DataFrame:
-    """path, col_ord, col_name of all Parquet files below the folder; file footers alone are kept."""
+    """path, col_ord, col_name of all Parquet files below the folder; of each file the footer alone is read, where tasks can open it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pq,parquet}").option("recursiveFileLookup", True).load(folder)
+    some = files.select("path").first()
+    footers = some is not None and large_files.readable(some.path)
 
     def run(batches):
         from pyarrow import parquet as pq
 
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                names = pq.read_schema(io.BytesIO(content.as_py())).names
+                names = large_files.footer_names(path) if footers else pq.read_schema(io.BytesIO(content.as_py())).names
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(names)), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.string())], names=["path", "col_ord", "col_name"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pq,parquet}").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "content").mapInArrow(run, "path string, col_ord int, col_name string")
+    content = F.lit(None).cast("binary").alias("content") if footers else F.col("content")  # which Spark then doesn't read
+    return files.select("path", content).mapInArrow(run, "path string, col_ord int, col_name string")
 
 
 def write_curated(cells_: DataFrame, selected: DataFrame, path: str) -> None:
