@@ -5,9 +5,11 @@ keyed Feistel network permutes the smallest even power of two that holds N; cycl
 below N) makes it a permutation of exactly the N numbers. So each sequence knows its global slot with no sort and
 no table of slots, and the inverse says which sequence a slot holds.
 
-Slots are dealt to shards of `per_shard` records in ranges. A shard is written by one task, in slot order, to a
-temporary name, and gets its own name at the end; a task that runs again writes the same bytes. Record i of a
-shard is at byte i * stride * 2, so that training reads on from any slot without an index.
+Slots are dealt to shards of `per_shard` records in ranges. A shard is written by one task, in slot order, to a file whose name has the
+attempt's number, and never renamed. The rows that describe the records go to a table beside the shards, and Spark commits those of one attempt of
+each task alone, so the table says which file is the shard, whatever attempts ran or were lost; files of other attempts hold the same bytes
+and are read by nobody. Everything is written once, however often the result is read. Record i of a shard is at byte i * stride * 2, so that training
+reads on from any slot.
 
 Tokens are unsigned 16-bit little-endian. A record shorter than the stride ends in `pad_id`.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import dataset as ds
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,8 @@ from augsearch.llm.common import documents, scratch, slices, written
 from augsearch.llm.packing import word_encoder
 
 STRIDE, PER_SHARD, ROUNDS = 2048, 4096, 6
+#: The table beside the shards.
+RECORDS, _RECORD_DDL = "records", "slot long, shard int, file string, byte_offset long, length int, ids_crc32 long, doc_ids array<long>"
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -126,14 +131,14 @@ def _filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def shard_name(shard: int) -> str:
-    return f"shard-{shard:09d}.bin"
+def shard_name(shard: int, attempt: int) -> str:
+    return f"shard-{shard:09d}-{attempt}.bin"
 
 
 def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, per_shard: int = PER_SHARD, pad_id: int = 50256) -> DataFrame:
-    """rows: task, nth, doc_ids, length, ids (a table, not a plan: it is read twice). Writes the shards when the result is computed.
+    """rows: task, nth, doc_ids, length, ids (a table, not a plan: it is read twice). Writes the shards, and the table of their records, into the folder, which is to be a new one.
 
-    One row per sequence, as read back from its shard: slot, shard, byte_offset, length, ids_crc32, doc_ids.
+    Returns that table, one row per sequence, as read back from its shard: slot, shard, file, byte_offset, length, ids_crc32, doc_ids.
     """
     spark = rows.sparkSession
     counts = {r.task: r.n for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}  # 8 bytes for each task of the first pass
@@ -157,18 +162,17 @@ def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, pe
         """A task has the whole of each of its shards, in slot order."""
         where, root = _filesystem(folder)
         context = TaskContext.get()
-        now, target, temporary, rows_ = None, None, None, []
+        now, target, name, rows_ = None, None, None, []
 
         def close():
             target.close()
-            with where.open_input_file(temporary) as f:  # what the result says is what the file holds
+            with where.open_input_file(f"{root}/{name}") as f:  # what the result says is what the file holds
                 out = []
                 for slot, length, doc_ids in rows_:
                     at = (slot - now * per_shard) * stride * 2
-                    out.append((slot, now, at, length, zlib.crc32(f.read_at(stride * 2, at)[: 2 * length]), doc_ids))
-            where.move(temporary, f"{root}/{shard_name(now)}")
+                    out.append((slot, now, name, at, length, zlib.crc32(f.read_at(stride * 2, at)[: 2 * length]), doc_ids))
             rows_.clear()
-            schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+            schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("byte_offset", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         padding = np.array([pad_id], "<u2").tobytes()
@@ -177,9 +181,9 @@ def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, pe
                 if shard != now:
                     if now is not None:
                         yield close()
-                    now, temporary = shard, f"{root}/.{shard_name(shard)}.{context.taskAttemptId()}"
+                    now, name = shard, shard_name(shard, context.taskAttemptId())
                     where.create_dir(root, recursive=True)
-                    target = where.open_output_stream(temporary)
+                    target = where.open_output_stream(f"{root}/{name}")
                 target.write(zstandard.decompress(ids) + padding * (stride - length))
                 rows_.append((slot, length, doc_ids))
         if now is not None:
@@ -187,16 +191,21 @@ def materialise(rows: DataFrame, folder: str, key: int, stride: int = STRIDE, pe
 
     placed = rows.select("task", "nth", "doc_ids", "length", "ids").mapInArrow(place, "slot long, shard int, doc_ids array<long>, length int, ids binary")
     dealt = placed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, shard int, byte_offset long, length int, ids_crc32 long, doc_ids array<long>")
+    table = f"{folder.rstrip('/')}/{RECORDS}"
+    dealt.mapInArrow(write, _RECORD_DDL).write.option("compression", "zstd").parquet(table)
+    return spark.read.schema(_RECORD_DDL).parquet(table)
 
 
 def read(folder: str, first_slot: int, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
     """The records of n slots from first_slot on, in training order, each read at its offset."""
     where, root = _filesystem(folder)
+    some = (ds.field("slot") >= first_slot) & (ds.field("slot") < first_slot + n)
+    files = ds.dataset(f"{root}/{RECORDS}", filesystem=where, format="parquet").to_table(columns=["shard", "file"], filter=some)
+    file_of = dict(zip(files["shard"].to_pylist(), files["file"].to_pylist()))
     slot = first_slot
     while slot < first_slot + n:
         shard, i = divmod(slot, per_shard)
-        with where.open_input_file(f"{root}/{shard_name(shard)}") as f:
+        with where.open_input_file(f"{root}/{file_of[shard]}") as f:
             some = min(per_shard - i, first_slot + n - slot)
             data = f.read_at(some * stride * 2, i * stride * 2)
         yield from np.frombuffer(data, "<u2").reshape(-1, stride)

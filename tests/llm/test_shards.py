@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +55,30 @@ def test_query(spark, sf_dir):
     assert {d for r in got for d in r.doc_ids} == {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
 
 
+def files_of(folder):
+    return {p.name: p.stat().st_mtime_ns for p in Path(folder.removeprefix("file://")).glob("shard-*")}
+
+
+def test_written_once(spark, sf_dir):
+    """However often the result is read; extra columns of any name don't matter."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 as ids", "'x' as slot", "2 as task", "3 as file")
+    folder = scratch(spark, "shards")
+    got = materialise(written(sequences(docs, PATH, stride=256), "sequences"), folder, key=3, stride=256, per_shard=64)
+    before = files_of(folder)
+    n = got.count()
+    assert got.filter("slot >= 0").count() == n and files_of(folder) == before
+    assert {r.file for r in got.select("file").distinct().collect()} == set(before) and len(before) == -(-n // 64)
+
+
+def test_files_of_lost_attempts_are_not_read(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = scratch(spark, "shards")
+    materialise(written(sequences(docs, PATH, stride=256), "sequences"), folder, key=3, stride=256, per_shard=64)
+    records = [x.tolist() for x in read(folder, 10, 100, 256, 64)]
+    (Path(folder.removeprefix("file://")) / "shard-000000000-999999.bin").write_bytes(b"half of it")
+    assert [x.tolist() for x in read(folder, 10, 100, 256, 64)] == records
+
+
 def test_empty_table(spark):
     rows = written(sequences(spark.createDataFrame([], "doc_id long, text string"), PATH), "sequences")
     assert materialise(rows, scratch(spark, "shards"), key=1).collect() == []
