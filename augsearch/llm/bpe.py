@@ -273,6 +273,7 @@ def _by_block(docs: DataFrame, path: str, block_bytes: int, convert, schema: pa.
     numbered = docs.mapInArrow(_numbered(block_bytes, parts), _ROW_DDL)
     numbered.write.bucketBy(n_tasks(spark), "block").option("path", at).option("compression", "none").format("parquet").saveAsTable(name)
     numbered = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog's entry, which is only needed to know the buckets; files outside the warehouse stay
     words = numbered.filter(F.col("part") != WHOLE).repartitionById(parts, F.col("part")).mapInArrow(_replayed(path, REPLAY_BYTES), _ROW_DDL)
 
     def meet(whole: pa.Table, ids: pa.Table) -> pa.Table:

@@ -70,3 +70,12 @@ def test_long_words_and_clashing_names(spark):
     ranks = Ranks(PATH)
     for t in texts[:4]:
         assert ranks.one_word(t.encode()) == TIKTOKEN._core_bpe.encode_single_piece(t.encode())
+
+
+def test_no_table_stays_in_the_catalog(spark, sf_dir):
+    before = {t.name for t in spark.catalog.listTables()}
+    df = query(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() == df.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
