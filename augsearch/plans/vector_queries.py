@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augsearch.functions import vectors
-from augsearch.operators import alignment, curation, projection, reports, retrieval, splits
+from augsearch.operators import alignment, curation, linkage, projection, reports, retrieval, splits
 from augsearch.operators.vector_index import VectorIndex
 from augsearch.plans.registry import register, sql_of
 
@@ -377,6 +377,35 @@ def local_isometry(spark, sf_dir):
     return projection.LocalIsometry(clusters=4).fit(views).project(views[1], 1)
 
 
+@register("local_isometry_reduced")
+def local_isometry_reduced(spark, sf_dir):
+    """The same over sixteen principal components of each view."""
+    views = _views(embeddings(spark, sf_dir))
+    return projection.LocalIsometry(clusters=4, reduced_dim=16).fit(views).project(views[1], 1)
+
+
+@register("procrustes_low_rank")
+def procrustes_low_rank(spark, sf_dir):
+    views = _views(embeddings(spark, sf_dir))
+    return projection.Procrustes(rank=16).fit(views).project(views[1], 1)
+
+
+@register("type_linkage")
+def type_linkage(spark, sf_dir):
+    """Types of parts, by the means of what is ordered of them, clustered by average linkage."""
+    part, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+    means = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("column_id"))
+    types = means.agg(F.array(F.avg("l_quantity"), F.avg("p_size"), F.avg("p_retailprice") / 100, F.avg("l_discount") * 100).alias("embedding"))
+    return linkage.average_linkage(types, 8)
+
+
+@register("contrastive_deep")
+def contrastive_deep(spark, sf_dir):
+    """Heads of two hidden layers with batch norms, trained in batches over tasks."""
+    views = _views(embeddings(spark, sf_dir))
+    return projection.ContrastiveHeads(out_dim=16, hidden=[32, 32], activation="silu", normalization="batch").fit(views, epochs=2, batch=1024).project(views[1], 1)
+
+
 @register("contrastive_projection")
 def contrastive_projection(spark, sf_dir):
     views = _views(embeddings(spark, sf_dir))
