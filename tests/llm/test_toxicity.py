@@ -1,10 +1,13 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from augsearch.llm.toxicity import FEATURES, classify, features, fit, query, swapped
+from tests.llm.test_linear import PlainFtrl, plain_step
 
 
 def test_held_out_accuracy(spark):
@@ -67,3 +70,59 @@ def test_features_and_swaps():
     s = swapped("The Women talk", np.random.default_rng(1))
     assert s is not None and "Women" not in s and s.startswith("The ")
     assert swapped("nothing here", np.random.default_rng(1)) is None
+
+
+def test_model_against_plain_loops(spark):
+    """Selection of features, the rounds over each text's worst sentence, the penalty and the scores, by dictionaries."""
+    r = random.Random(8)
+    words = "walk house green river stone bread table cloud".split()
+    rows = []
+    for i in range(150):
+        text = [" ".join(r.choices(words, k=4) + (["women"] if r.random() < 0.3 else [])) for _ in range(r.randint(1, 4))]
+        if i % 3 == 0:
+            text[r.randrange(len(text))] += " filthy vermin" + (" women" if r.random() < 0.7 else "")
+        rows.append((i, ". ".join(text), int(i % 3 == 0)))
+    docs, labels = table(spark, rows)
+    model = fit(docs, labels, F.lit(True))
+
+    def bag(sentence):
+        return sorted({int(f) for f in features([sentence])[0].ravel() if f < FEATURES})
+
+    sentences, pairs = [], []  # of all texts in order; of the twins the originals and the swapped
+    for i, text, toxic in rows:
+        draw = np.random.default_rng([11, i])
+        parts = [p for p in re.split(r"[.!?\n\r。！？]+", text) if p]
+        sentences.append(sorted((bag(p) for p in parts), key=lambda f: np.array(f, "<i4").tobytes()))
+        pairs += [(bag(p), bag(twin)) for p in parts if (twin := swapped(p, draw)) is not None]
+    label, draw = [t for _, _, t in rows], np.random.default_rng(11)
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+    ones = lambda some: {**{f: 1.0 for f in some}, FEATURES: 1.0}
+
+    def batches(n):
+        return np.array_split(draw.permutation(n), max(1, n // 64))
+
+    plain = PlainFtrl(0.3, 1.0, 5.0, 0.1)
+    for _ in range(6):
+        for at in batches(len(rows)):
+            plain_step(plain, [ones({f for s in sentences[d] for f in s}) for d in at], lambda i, z, at=at: [0] if z is None else [sigmoid(z[0]) - label[at[i]]])
+    support = {f for f in range(FEATURES) if plain.z[f, 0] and plain.weight((f, 0)) > 0}
+    only = lambda some: ones(f for f in some if f in support)
+    score = lambda some: sum(plain.weight((f, 0)) for f in only(some))
+    for _ in range(3):
+        top = [only(max(s, key=score)) for s in sentences]
+        plain = PlainFtrl(0.3, 1.0, 5.0 / 50, 0.1)
+        for _ in range(6):
+            for at in batches(len(rows)):
+                plain_step(plain, [top[d] for d in at], lambda i, z, at=at: [0] if z is None else [sigmoid(z[0]) - label[at[i]]])
+                some = draw.integers(len(pairs), size=min(len(pairs), 64))
+                left, right = ([only(pairs[k][side]) for k in some] for side in (0, 1))
+                change = [sum(plain.weight((f, 0)) for f in a) - sum(plain.weight((f, 0)) for f in b) for a, b in zip(left, right)]
+                both = change + [-c for c in change]
+                plain_step(plain, left + right, lambda i, z, both=both: [0] if z is None else [both[i]])
+    assert {f for f in range(FEATURES) if abs(model.weights[f]) > 1e-6} == {f for f in support if abs(plain.weight((f, 0))) > 1e-6}
+    assert math.isclose(model.bias, plain.weight((FEATURES, 0)), abs_tol=1e-5)
+    for _, text, _ in rows:
+        parts = [p for p in re.split(r"[.!?\n\r。！？]+", text) if p]
+        # words of a sentence count as often as they stand there
+        worst = max(sum(float(np.float32(plain.weight((int(f), 0)))) for f in features([p])[0].ravel() if f < FEATURES and f in support) for p in parts)
+        assert math.isclose(model.scores([text])[0], sigmoid(worst + plain.weight((FEATURES, 0))), abs_tol=1e-4)
