@@ -6,31 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that the edges of ranges are taken from. They decide how even ranges are, and nothing else.
-SAMPLE = 4096
+from augsearch.functions.storage import written
 
 
 def in_ranges(rows: DataFrame, keys: list[str], name: str = "_range") -> DataFrame:
     """Adds the number of the range that a row's keys are in: as many ranges as a shuffle has partitions, in the keys' order (nulls first).
 
-    Edges are values, so that a range has the same rows whenever it is computed. Rows of equal keys share a range.
+    The rows are dealt to ranges once and written to the shared folder with their range, so it is the same whoever reads it. Rows of equal keys share a range.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*keys)
-    sample = rows.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).orderBy("key").collect()
-    edges = [r.key for r in sample[:: max(1, len(sample) // n)][1:]]
-    if not edges:
-        return rows.withColumn(name, F.lit(0))
-    kind = rows.select(key.alias("key")).schema["key"].dataType
-    literals = F.array(*[_literal(e).cast(kind) for e in edges])
-    return rows.withColumn(name, F.size(F.filter(literals, lambda e: e <= key)))
-
-
-def _literal(value) -> Column:
-    return F.struct(*map(_literal, value)) if isinstance(value, Row) else F.lit(value)
+    return written(rows.repartitionByRange(n, *keys).withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, name: str = "nth") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from augsearch.functions.vectors import dot, normalised
 from augsearch.operators.ranges import numbered
+from augsearch.operators.vector_index import VectorIndex, best_of
 
 #: Query vectors that are broadcast at once, at most; more queries are joined with an index.
 QUERY_BLOCK = 4096
@@ -36,8 +37,6 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, space: str = "cos
     spark = candidates.sparkSession
     ids = queries.select("query_id", F.col("table_id") if exclude_same_table else F.lit(None).cast("string").alias("table_id"), "embedding")
     if ids.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        from augsearch.operators.vector_index import VectorIndex
-
         return VectorIndex.build(candidates, space).nearest(ids, k, exclude_same_table)
     rows = ids.orderBy("query_id").collect()  # QUERY_BLOCK rows at most
     if not rows:
@@ -54,10 +53,21 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, space: str = "cos
 
 
 def _scan(shared, k: int, space: str, exclude: bool):
+    """The k best of a task's candidates for each query; more than twice as many are never held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, query_ids, query_tables = shared.value
-        q2 = np.einsum("ij,ij->i", q, q)
-        kept_d, kept_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
+        kept: list[tuple] = []  # of each slice: query, candidate_id, distance
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i, ids, d = (np.concatenate([x[n] for x in kept]) for n in range(3))
+            place = np.unique(ids, return_inverse=True)[1]
+            order = np.lexsort((place, d, i))
+            i, ids, d = i[order], ids[order], d[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return i[first], ids[first], d[first]
+
+        held = 0
         for whole in batches:
             for b in (whole.slice(at, CANDIDATE_BLOCK) for at in range(0, whole.num_rows, CANDIDATE_BLOCK)):
                 ids, tables = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), object)
@@ -66,25 +76,17 @@ def _scan(shared, k: int, space: str, exclude: bool):
                 ids, tables = ids[order], tables[order]
                 if space == "cosine":
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                d = q2[:, None] + np.einsum("ij,ij->i", x, x) - 2 * q @ x.T if space == "l2" else 1 - q @ x.T
-                if space == "l2":
-                    d = np.maximum(d, 0.0)
-                d = np.round(d, 12)  # equal vectors are equally far, whatever the order of their sums
-                if exclude:
-                    d[query_tables[:, None] == tables[None, :]] = np.inf
-                # ids come sorted, so the first k of a stable sort are those of least id among equals
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                d = np.concatenate([kept_d, np.take_along_axis(d, top, 1)], 1)
-                i = np.concatenate([kept_i, ids[top]], 1)
-                # at most 2 k a query: by distance, then id
-                by_id = np.argsort(i, axis=1, kind="stable")
-                d, i = np.take_along_axis(d, by_id, 1), np.take_along_axis(i, by_id, 1)
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                kept_d, kept_i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-        ok = np.isfinite(kept_d)
-        rows, columns = np.nonzero(ok)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([query_ids[r] for r in rows]), pa.array(kept_i[rows, columns].tolist()), pa.array(kept_d[rows, columns])], names=["query_id", "candidate_id", "distance"])
+                allowed = (lambda start, end, t=tables: query_tables[:, None] != t[None, start:end]) if exclude else None
+                i, j, d = best_of(q, x, allowed, k, space)
+                kept.append((i, ids[j], d))
+                held += len(i)
+                if held > 2 * k * max(1, len(q)):
+                    kept = [merged()]
+                    held = len(kept[0][0])
+        if kept:
+            i, ids, d = merged()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array([query_ids[r] for r in i]), pa.array(ids.tolist()), pa.array(d)], names=["query_id", "candidate_id", "distance"])
 
     return run
 

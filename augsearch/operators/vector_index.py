@@ -72,7 +72,7 @@ class Cells:
         return bound / 2 if space == "cosine" else bound
 
 
-def _best(q: np.ndarray, x: np.ndarray, allowed, k: int, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(q: np.ndarray, x: np.ndarray, allowed, k: int, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row of x, distance): the k nearest rows of each query, of equal distances the first rows."""
     q2, found = np.einsum("ij,ij->i", q, q)[:, None], []
     for at in range(0, len(x), SLICE):
@@ -198,7 +198,7 @@ class VectorIndex:
             if other_tables:
                 one, two = (np.array(t.to_pylist(), object) for t in (q["table_id"], x["table_of"]))
                 allowed = lambda a, b: one[:, None] != two[None, a:b]
-            i, j, away = _best(_matrix(q["v"].chunk(0), d), _matrix(x["x"].chunk(0), d), allowed, k, space)
+            i, j, away = best_of(_matrix(q["v"].chunk(0), d), _matrix(x["x"].chunk(0), d), allowed, k, space)
             return pa.Table.from_arrays([q["query_id"].take(i), x["candidate_id"].take(j), pa.array(away)], names=names)
 
         on = ["cell", "part", "block"]
