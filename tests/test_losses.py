@@ -2,8 +2,6 @@ import numpy as np
 import pytest
 
 from augsearch.operators import alignment
-from augsearch.plans import registry
-from tests.oracle import assert_same, connect
 
 
 def plain(inputs, recons, froms, tos):
@@ -38,6 +36,3 @@ def test_vec2vec(spark, dims):
     perfect = df.withColumn("recons", df.inputs)
     assert all(abs(g.rec_loss) < 1e-7 and g.vsp_loss == pytest.approx(0, abs=1e-12) for g in alignment.vec2vec(perfect).collect())
 
-
-def test_query(spark, sf_dir):
-    assert_same(registry.queries()["vec2vec_losses"](spark, sf_dir), registry.oracle_sql()["vec2vec_losses"], connect(sf_dir))

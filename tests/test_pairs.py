@@ -3,8 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from augsearch.operators import alignment, pairs
-from augsearch.plans import registry
-from tests.oracle import assert_same, connect
 
 
 def frame(spark, x, labels, parts=3):
@@ -83,8 +81,3 @@ def test_moments_of_split_labels(spark):
     assert alignment.similarity_moments(frame(spark, x, labels).limit(0)).first().mean_cosine == 0
     assert alignment.similarity_moments(frame(spark, x[:1], labels[:1])).first().stddev_same_label == 0
 
-
-def test_queries(spark, sf_dir):
-    con, sql, queries = connect(sf_dir), registry.oracle_sql(), registry.queries()
-    for name in ("alignment_report", "similarity_moments", "top_k_similar", "mean_relative_rank"):
-        assert_same(queries[name](spark, sf_dir), sql[name], con)
