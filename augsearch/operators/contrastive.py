@@ -28,6 +28,8 @@ from augsearch.functions.storage import written
 from augsearch.operators.ranges import numbered
 
 EPS, MOMENTUM = 1e-5, 0.1
+#: Tasks of a barrier job, at most, unless said otherwise: all of them need a core at the same time.
+TASKS = 16
 _ROOT = math.sqrt(2 / math.pi)
 
 
@@ -336,7 +338,7 @@ class ContrastiveHeads:
         spark = views[0].sparkSession
         rows, n = self._rows(views, seed)
         checked = self._rows(validation, seed) if validation else None
-        tasks = max(1, min(tasks or spark.sparkContext.defaultParallelism, n))
+        tasks = max(1, min(tasks or min(TASKS, spark.sparkContext.defaultParallelism), n))
         self.start([len(r) for r in rows.select(*[f"v{i}" for i in range(len(views))]).first()], seed)
         size = len(_flat(self.heads))
         state = {"heads": self.heads, "m": np.zeros(size), "s": np.zeros(size), "step": 0}
@@ -363,7 +365,7 @@ class ContrastiveHeads:
     def evaluate(self, views: list[DataFrame], tau: float = 0.1, batch: int = 256, seed: int = 0, tasks: int | None = None) -> float:
         """The mean loss of these views' rows in batches."""
         rows, n = self._rows(views, seed)
-        tasks = max(1, min(tasks or rows.sparkSession.sparkContext.defaultParallelism, n))
+        tasks = max(1, min(tasks or min(TASKS, rows.sparkSession.sparkContext.defaultParallelism), n))
         return self._epoch(self._dealt(rows, n, tasks, None), n, {"heads": self.heads}, tau, batch, None)[1]
 
     @staticmethod

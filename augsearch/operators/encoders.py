@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from augsearch.functions.storage import written
 from augsearch.functions.vectors import normalised, truncated
 from augsearch.operators.ranges import greedy_batches
 
@@ -74,7 +75,9 @@ class Pipelines:
         """column_id, pipeline, embedding."""
         out = None
         for s in self.strategies:
-            prompts = s.prompts(cells).cache()
+            prompts = s.prompts(cells)
+            if len(self.encoders) > 1:
+                prompts = written(prompts, "prompts")
             for e in self.encoders:
                 part = s.pooled(e.embed(prompts)).select("column_id", F.lit(f"{e.alias}-{s.alias}").alias("pipeline"), "embedding")
                 out = part if out is None else out.unionByName(part)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augsearch.functions import vectors
+from augsearch.functions.storage import written
 from augsearch.operators import alignment, curation, linkage, projection, reports, retrieval, splits
 from augsearch.operators.vector_index import VectorIndex
 from augsearch.plans.registry import register, sql_of
@@ -330,7 +331,7 @@ def density_report(spark, sf_dir):
     """The vectors of five labels against all of them."""
     e = embeddings(spark, sf_dir)
     ids = e.select(F.col("vec_id").alias("column_id"), "embedding")
-    d = curation.density(ids, ids).withColumn("density", F.round("density", 9)).cache()
+    d = written(curation.density(ids, ids).withColumn("density", F.round("density", 9)), "density")
     report = curation.density_report(d, d.join(e.filter("label < 5").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"))
     return report.select(*[F.round(c, 5).alias(c) for c in report.columns])
 
