@@ -131,3 +131,13 @@ def discard(paths: list[str], still_read: DataFrame) -> list[str]:
             at = hadoop.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return kept
+
+
+def forget(*written_tables: DataFrame) -> None:
+    """Deletes tables that `written` returned, once all that reads them is written itself."""
+    for table in written_tables:
+        spark = table.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:  # the files of one table
+            at = hadoop.Path(_qualified(spark, folder, encoded=True))
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

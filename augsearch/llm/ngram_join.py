@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augsearch.llm.common import documents, freed, n_tasks, slices, written
+from augsearch.llm.common import documents, forget, freed, n_tasks, slices, written
 from augsearch.llm.components import components
 
 WORDS = 5
@@ -496,6 +496,7 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     groups = keyed.groupBy("token", "step").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("size")).filter("low.doc_id < high.doc_id")
     groups = groups.filter((F.col("size") > 2) | (100 * F.least("low.n", "high.n") >= percent * F.greatest("low.n", "high.n")))
     postings = written(keyed.join(groups.select("token", "step", F.col("low.doc_id").alias("least")), ["token", "step"]).select("token", "step", "doc_id", "least"), "postings")
+    forget(often, prefixed, shared, keyed)
     freed(spark)
     edges = postings.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     near = written(components(edges, "neighbourhoods").select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "near")
