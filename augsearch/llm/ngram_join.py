@@ -2,9 +2,10 @@
 
 1. A scan hashes each whole text's shingles. Documents of equal sets become one class under their least doc_id; classes
    alone go on.
-2. In one order of all tokens, frequent ones last, two linked sets share a token among the first fifth of each (prefix
-   filter), and their sizes are at most a step apart. Classes that tokens connect within steps are a *neighbourhood*; no link leaves one.
-   These are the top of the hierarchy.
+2. In one order of all tokens, frequent ones last, two linked sets of n tokens share n / 20 of the first quarter of each (prefix
+   filter), and their sizes are at most a step apart. Classes that share fewer with all others together go, then pairs that share fewer. Classes that
+   the other pairs connect are a *neighbourhood*; no link leaves one. Texts of one language share some token by chance, and the more texts there are,
+   the more of them do, so a single token would connect all. These are the top of the hierarchy.
 3. Below it are signature trees. Classes in order of neighbourhood are dealt to blocks, and each block is the leaves of a
    tree: a leaf holds the bitmap of its set, over the tokens that more than one leaf has, a node the OR of its
    children's, and the range of their sizes. Pairs of nodes are traversed from the top, and a pair is dropped when its largest
@@ -44,6 +45,10 @@ BLOCK, FAN = 512, 16
 BLOCK_TOKENS = 1 << 20
 #: A token is common when this many documents have it in their prefix by hash; such tokens come late in the order.
 COMMON = 3
+#: Linked sets share one token of their prefixes, and one more for so many tokens that they have in common at least.
+SPARE = 16
+#: Tokens that at most this many classes of a step have are counted for each pair; those of a more frequent one are taken to be connected.
+FEW = 16
 #: A token is frequent when at least one document in this many has it.
 FREQUENT = 1000
 #: Bits of the Bloom filters, at most (8 MB).
@@ -143,10 +148,12 @@ def _scan(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([True] * len(t), t, n, [None] * len(t), [None] * len(t)), _SCAN)], schema=_SCAN)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, common: Bloom | None, percent: int) -> np.ndarray:
-    """The first tokens in the order (frequent or common, token) of which any set at least that similar has one."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, common: Bloom | None, percent: int, spare: bool = False) -> np.ndarray:
+    """The first tokens in the order (frequent or common, token) of which any set at least that similar has one; if spare, as many more as
+    let the prefixes of two such sets have 1 + overlap // SPARE tokens in common, for the overlap that the smaller set has to have at least."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + 1
+    overlap = -(-percent * n // 100)
+    size = n - overlap + 1 + spare * (overlap // SPARE)
     often = np.zeros(n, bool)
     if len(frequent):
         often |= frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
@@ -392,6 +399,49 @@ def _across(percent: int):
     return run
 
 
+def _overlap(n: Column, percent: int) -> Column:
+    """The least overlap of a set of n tokens with a linked one, which is also the least size of that."""
+    return F.floor((percent * n + 99) / 100).cast("long")
+
+
+def _needed(n: Column, percent: int) -> Column:
+    """Tokens that the prefix of a set of n tokens has in common with that of a linked set that is no smaller."""
+    return 1 + F.floor(_overlap(n, percent) / SPARE).cast("long")
+
+
+def _supported(keyed: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """keyed: token, doc_id, n. Without the rows of documents that have too few tokens in common with all others together, and of tokens that only one
+    of the rest has."""
+    for k in range(rounds):
+        # a linked set may be as small as the least overlap
+        docs = keyed.groupBy("doc_id").agg(F.count("*").alias("held"), F.min("n").alias("n")).filter(F.col("held") >= _needed(_overlap(F.col("n"), percent), percent))
+        rest = keyed.join(docs.select("doc_id"), "doc_id")
+        tokens = rest.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+        now = written(rest.join(tokens.select("token"), "token").select("token", "doc_id", "n"), f"keyed-{k + 1}")
+        forget(keyed)
+        keyed = now
+        freed(keyed.sparkSession)
+    return keyed
+
+
+def _connected(postings: DataFrame, percent: int) -> DataFrame:
+    """postings: token, step, doc_id, n, low (the lower step of doc_id), least, size (of the group of a token and step). -> a, b that may be linked, or, of
+    groups larger than FEW, each document with the least one.
+
+    A pair meets at a token once, under the higher of its lower steps. Of the tokens that it has to share, those of larger groups are taken to be shared."""
+    groups = postings.filter(F.col("size") <= FEW).groupBy("token", "step").agg(F.collect_list(F.struct("doc_id", "n", "low")).alias("all"))
+    pairs = groups.select("step", "all", F.explode("all").alias("x")).select("step", "x", F.explode(F.expr("filter(all, y -> y.doc_id > x.doc_id and greatest(x.low, y.low) = step)")).alias("y"))
+    smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    pairs = pairs.filter(smaller >= _overlap(larger, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), _needed(smaller, percent).alias("needed"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("held"), F.min("needed").alias("needed"))
+    large = postings.filter(F.col("size") > FEW)
+    more = written(large.groupBy("doc_id").count(), "in-large-groups")
+    for c in "ab":
+        pairs = pairs.join(more.select(F.col("doc_id").alias(c), F.col("count").alias(f"more_{c}")), c, "left")
+    likely = pairs.filter(F.col("held") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("needed"))
+    return written(likely.select("a", "b").union(large.filter("doc_id <> least").select("least", "doc_id")), "pairs")
+
+
 def _step(percent: int) -> Column:
     """Sets whose steps differ by more than one can't be linked."""
     return F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
@@ -430,11 +480,11 @@ def _crossing(sets: DataFrame, members: DataFrame, postings: DataFrame, percent:
     leaves = left.join(sets, "doc_id").join(first, "doc_id").withColumn("step", _step(percent))
     tiles = _dealt(leaves, "near", "comp", "step", "first", "doc_id").mapInArrow(_in_blocks(_tiled, block, most), f"block long, {_LEAF}")
     tiles = written(tiles, "crossing-tiles")
-    ends = postings.select("token", "step", "doc_id").join(tiles.select("doc_id", "block", "comp", "n"), "doc_id")
-    ends = ends.groupBy("token", "step", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (ends.select("token", "step", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high", "least", "most")]) for k in "12")
+    ends = postings.select("token", "step", "doc_id").join(tiles.select("doc_id", "near", "block", "comp", "n"), "doc_id")
+    ends = ends.groupBy("token", "step", "near", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = (ends.select("token", "step", "near", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high", "least", "most")]) for k in "12")
     differ = "block_1 <= block_2 and not (low_1 = high_1 and low_2 = high_2 and low_1 = low_2)"
-    pairs = one.join(two, ["token", "step"]).filter(differ).filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
+    pairs = one.join(two, ["token", "step", "near"]).filter(differ).filter((100 * F.col("most_1") >= percent * F.col("least_2")) & (100 * F.col("most_2") >= percent * F.col("least_1")))
     pairs = written(pairs.select(F.col("block_1").alias("i"), F.col("block_2").alias("j")).distinct(), "crossing-pairs")
     freed(spark)
     sides = pairs.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.filter("i < j").select("i", "j", F.lit(1), "j"))
@@ -466,12 +516,16 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     # classes of equal sets
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
     equal = written(sets.select("doc_id", "key").join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = written(classes.select(F.col("rep").alias("doc_id")).distinct(), "classes")
+    # the prefixes by hash have done their work
+    rows = written(rows.select("doc_id", "n"), "sizes")
+    forget(scan)
+    freed(spark)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
             sets = shingle_sets(texts)
-            found = [prefix(x, frequent.value, common.value, percent).view(np.int64) for x in sets]
+            found = [prefix(x, frequent.value, common.value, percent, spare=True).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
 
     known = docs.filter("doc_id is not null")
@@ -486,20 +540,24 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
         for b in batches:
             tokens = np.asarray(b.column(2).flatten())
             ok = bloom.value.has(tokens.view(np.uint64))
-            doc, n = (np.repeat(np.asarray(b.column(k)), np.asarray(b.column(2).value_lengths()))[ok] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(tokens[ok])], names=["doc_id", "n", "token"])
-
-    # linked sets have a step in common, and a token that they share is posted under it
-    keyed = prefixed.mapInArrow(hopeful, "doc_id long, n long, token long").join(shared, "token").withColumn("step", F.explode(F.array(_step(percent), _step(percent) + 1)))
-    keyed = written(keyed.select("token", "step", "doc_id", "n"), "keyed")
-    one = F.struct("doc_id", "n")
-    groups = keyed.groupBy("token", "step").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("size")).filter("low.doc_id < high.doc_id")
-    groups = groups.filter((F.col("size") > 2) | (100 * F.least("low.n", "high.n") >= percent * F.greatest("low.n", "high.n")))
-    postings = written(keyed.join(groups.select("token", "step", F.col("low.doc_id").alias("least")), ["token", "step"]).select("token", "step", "doc_id", "least"), "postings")
-    forget(often, prefixed, shared, keyed)
+            doc, n, row = np.asarray(b.column(0)), np.asarray(b.column(1)), np.repeat(np.arange(b.num_rows), np.asarray(b.column(2).value_lengths()))
+            # as in _supported, for each set; a linked set may be as small as the least overlap
+            least = -(-percent * n // 100)
+            ok &= (np.bincount(row[ok], minlength=b.num_rows) >= 1 + -(-percent * least // 100) // SPARE)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[ok]]), pa.array(n[row[ok]]), pa.array(tokens[ok])], names=["doc_id", "n", "token"])
+
+    keyed = written(prefixed.mapInArrow(hopeful, "doc_id long, n long, token long").join(shared, "token").select("token", "doc_id", "n"), "keyed")
+    forget(often, prefixed, shared)
+    freed(spark)
+    # linked sets have a step in common, and tokens that they share are posted under it
+    keyed = _supported(keyed, percent)
+    rows_of = keyed.withColumn("low", _step(percent)).withColumn("step", F.explode(F.array("low", F.col("low") + 1)))
+    groups = rows_of.groupBy("token", "step").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).filter("least < most")
+    postings = written(rows_of.join(groups.drop("most"), ["token", "step"]), "postings")
+    forget(keyed)
+    pairs = _connected(postings, percent)
     freed(spark)
-    edges = postings.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    near = written(components(edges, "neighbourhoods").select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "near")
+    near = written(components(pairs, "neighbourhoods").select(F.col("node").alias("doc_id"), F.col("component").alias("near")), "near")
     sets = _sets_of(docs, near.select("doc_id"), "sets")
     # a neighbourhood that fits in a block is not parted; a larger one is in order of size and least shared token
     large = near.groupBy("near").count().select("near", (F.col("count") > block // 2).alias("large"))
@@ -512,7 +570,7 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     freed(spark)
     found = blocks.filter("a is not null").select("a", "b")
     more = _crossing(sets, blocks.filter("a is null").select("doc_id", "near", "block", "comp"), postings, percent, block, most)
-    return rows.select("doc_id", "n"), equal, found if more is None else found.union(more)
+    return rows, equal, found if more is None else found.union(more)
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_TOKENS) -> DataFrame:

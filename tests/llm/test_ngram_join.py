@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from augsearch.llm import ngram_join
 from augsearch.llm.ngram_join import Tree, bitmaps, jaccard_join, links, possible, query, shingle_sets, traverse
 from tests.llm import brute
 
@@ -68,6 +69,34 @@ def test_planted(spark, block, most):
     assert found.count() > 0 and all(sets[x.a] == sets[x.b] for x in equal.filter("a > 3 and b > 3").collect())
 
 
+def test_shared_by_chance(spark, monkeypatch):
+    """Texts that share a few shingles with others, but with none enough of them for a link, are in no neighbourhood, and their sets aren't stored."""
+    r = random.Random(4)
+    own = [[f"w{r.randrange(10**6)}" for _ in range(100)] for _ in range(300)]
+    runs = [r.choices("abcdefgh", k=6) for _ in range(301)]
+    texts = [" ".join(runs[i] + x + runs[i + 1]) for i, x in enumerate(own)]
+    rows = list(enumerate(texts + [varied(r, texts[k], 0.01) for k in (3, 4, 50, 50)]))
+    stored = {}
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, *a, write=ngram_join.written: stored.setdefault(name, write(df, name, *a)))
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows) >= 4
+    assert stored["near"].count() == 7 and stored["sets"].count() < 20
+
+
+def test_few_and_many_share_a_token(spark, monkeypatch):
+    """Pairs are found by tokens that few have, by ones that many have, and by some of both."""
+    r = random.Random(6)
+    vocabulary = ["u%d" % i for i in range(700)]
+    passage = " ".join(r.choices(vocabulary, k=30))
+    rows = []
+    for k in range(14):
+        base = f"{' '.join(r.choices(vocabulary, k=r.choice([5, 25, 40, 90])))} {passage if k % 2 else ''}"
+        rows += [varied(r, base, r.choice([0.01, 0.02])) for _ in range(k % 5 + 1)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    assert check(df, rows) > 10
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
