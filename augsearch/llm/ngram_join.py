@@ -425,21 +425,24 @@ def _supported(keyed: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
 
 
 def _connected(postings: DataFrame, percent: int) -> DataFrame:
-    """postings: token, step, doc_id, n, low (the lower step of doc_id), least, size (of the group of a token and step). -> a, b that may be linked, or, of
+    """postings: token, step, doc_id, n, low (the lower step of doc_id), size (of the group of a token and step). -> a, b that may be linked, or, of
     groups larger than FEW, each document with the least one.
 
-    A pair meets at a token once, under the higher of its lower steps. Of the tokens that it has to share, those of larger groups are taken to be shared."""
+    A pair meets at a token once, under the higher of its lower steps. Of the tokens that it has to share, those of larger groups are taken to be shared.
+    A pair that no other group has shares tokens of larger groups alone, so documents with too few of these need not be connected by them."""
     groups = postings.filter(F.col("size") <= FEW).groupBy("token", "step").agg(F.collect_list(F.struct("doc_id", "n", "low")).alias("all"))
     pairs = groups.select("step", "all", F.explode("all").alias("x")).select("step", "x", F.explode(F.expr("filter(all, y -> y.doc_id > x.doc_id and greatest(x.low, y.low) = step)")).alias("y"))
     smaller, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     pairs = pairs.filter(smaller >= _overlap(larger, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), _needed(smaller, percent).alias("needed"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("held"), F.min("needed").alias("needed"))
     large = postings.filter(F.col("size") > FEW)
-    more = written(large.groupBy("doc_id").count(), "in-large-groups")
+    more = written(large.groupBy("doc_id").agg(F.count_distinct("token").alias("count"), F.min("n").alias("n")), "in-large-groups")
+    large = large.join(more.filter(F.col("count") >= _needed(_overlap(F.col("n"), percent), percent)).select("doc_id"), "doc_id").select("token", "step", "doc_id")
+    large = large.join(large.groupBy("token", "step").agg(F.min("doc_id").alias("least")), ["token", "step"])
     for c in "ab":
         pairs = pairs.join(more.select(F.col("doc_id").alias(c), F.col("count").alias(f"more_{c}")), c, "left")
     likely = pairs.filter(F.col("held") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("needed"))
-    return written(likely.select("a", "b").union(large.filter("doc_id <> least").select("least", "doc_id")), "pairs")
+    return written(likely.select("a", "b").union(large.filter("doc_id <> least").select("least", "doc_id").distinct()), "pairs")
 
 
 def _step(percent: int) -> Column:
@@ -553,7 +556,7 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     keyed = _supported(keyed, percent)
     rows_of = keyed.withColumn("low", _step(percent)).withColumn("step", F.explode(F.array("low", F.col("low") + 1)))
     groups = rows_of.groupBy("token", "step").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).filter("least < most")
-    postings = written(rows_of.join(groups.drop("most"), ["token", "step"]), "postings")
+    postings = written(rows_of.join(groups.select("token", "step", "size"), ["token", "step"]), "postings")
     forget(keyed)
     pairs = _connected(postings, percent)
     freed(spark)

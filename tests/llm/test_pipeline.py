@@ -1,10 +1,11 @@
 import os
+import random
 import re
 
 import numpy as np
 
 import corpus_pipeline as p
-from augsearch.llm import common
+from augsearch.llm import common, ngram_join
 from augsearch.llm.common import discard, written
 from augsearch.llm.langid import FEATURES, LanguageModel
 from tests.llm import brute
@@ -47,6 +48,25 @@ def test_stages_against_brute_force(spark, sf_dir):
     check_packing(p.STAGES[-1][1](spark, docs, sf_dir).collect(), left, 2048)
 
 
+def test_near_keeps_what_shares_by_chance(spark, monkeypatch):
+    """Texts that share a few shingles with others are not connected by them: the stage stores the sets of near copies alone."""
+    r = random.Random(2)
+    runs = [r.choices("abcdefgh", k=6) for _ in range(151)]
+    texts = [" ".join([*runs[i], *(f"w{r.randrange(10**6)}" for _ in range(100)), *runs[i + 1]]) for i in range(150)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate([*texts, texts[5] + " end", texts[9] + " end"])]
+    stored = {}
+
+    def write(df, name, *a, write=ngram_join.written):
+        out = write(df, name, *a)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", write)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {x.doc_id for x in p.near(spark, docs, "").collect()} == set(range(150))
+    assert stored["near"] == 4 and stored["sets"] < 20
+
+
 def test_run_and_odd_rows(spark, tmp_path):
     rows = [(1, "hello there friend", "en", "a", 5), (1, "hello there friend", "en", "a", 5), (2, None, "en", "a", 0), (3, "12", None, None, None), (None, "no id here", "en", "b", 1), (4, "hello  there friend", "en", "b", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
