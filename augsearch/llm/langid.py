@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of 1 to 3 characters (2^16 for each order), of letters in lower case with
 everything else as a space. Document frequencies come from all rows that may be learnt from. The model is fitted on a
-bounded sample of them (`train_rows`, the rows of least hash) by FTRL with an elastic net; a fifth of the
+bounded sample of them (`train_rows`, the rows of least hash) by FTRL with an elastic net, in one task; a fifth of the
 sample is held back to calibrate the temperature of the softmax. Prediction reads whole texts and needs no shuffle.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with nothing to learn from every text
@@ -135,8 +135,23 @@ def fit(docs: DataFrame, may_learn: Column, train_rows: int = TRAIN_ROWS, epochs
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(5)).cast("int")
     sample = known.filter(order <= F.lit(cut)).select(F.col("lang").alias("label"), fold.alias("fold"), "text").mapInArrow(_counts, "label string, fold int, index binary, tf binary")
     # rows of null or repeated doc_id share a hash, so more may lie below the bound: whatever their number, train_rows of them come
-    sample = sample.orderBy(F.xxhash64("index", "tf", F.lit(seed)), "label", "fold").limit(train_rows).toArrow().to_pandas()
-    sample = sample.sort_values(["fold", "label", "index", "tf"])  # the same order in every run
+    sample = sample.orderBy(F.xxhash64("index", "tf", F.lit(seed)), "label", "fold").limit(train_rows).coalesce(1)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield from _fitted(pa.Table.from_batches(rows), shared.value, epochs, alpha, l1, l2, scale, seed)
+
+    # the sample stays in the task; the model alone comes to the driver
+    model = sample.mapInArrow(fitted, "label string, weights binary, bias double, temperature double").toArrow()
+    weights = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in model["weights"]])
+    return LanguageModel(model["label"].to_pylist(), weights, np.asarray(model["bias"]), model["temperature"][0].as_py())
+
+
+def _fitted(sample: pa.Table, idf: np.ndarray, epochs: int, alpha: float, l1: float, l2: float, scale: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """The sample -> a row per label, in order: its weights and bias, and the temperature of all."""
+    sample = sample.to_pandas().sort_values(["fold", "label", "index", "tf"])  # the same order in every run
     labels = sorted(set(sample.label))
     y = np.searchsorted(labels, sample.label)
     x = Rows.of([np.frombuffer(b, "<i4") for b in sample["index"]], [np.frombuffer(b, "<f4") for b in sample.tf])
@@ -154,7 +169,9 @@ def fit(docs: DataFrame, may_learn: Column, train_rows: int = TRAIN_ROWS, epochs
             step(model, x.take(at), lambda logits, target=target: (softmax(logits) - target) / len(target))
     w = model.weights()
     t = temperature(x.take(held).dot(w), y[held])
-    return LanguageModel(labels, np.ascontiguousarray((w[:-1] * (idf * scale)[:, None]).T.astype(np.float32)), w[-1], t)
+    for k, label in enumerate(labels):
+        weights = (w[:-1, k] * (idf * scale)).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([weights], pa.binary()), pa.array([w[-1, k]]), pa.array([t])], names=["label", "weights", "bias", "temperature"])
 
 
 def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:

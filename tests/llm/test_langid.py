@@ -1,6 +1,7 @@
+import random
 import zlib
 
-from augsearch.llm.langid import identify, query
+from augsearch.llm.langid import FEATURES, fit, held_out, identify, query
 
 
 def test_held_out_accuracy(spark):
@@ -26,3 +27,17 @@ def test_defined_cases(spark):
     assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got if r.doc_id is not None and r.doc_id < 200)
     assert identify(df.limit(0)).collect() == []
     assert {r.lang_pred for r in identify(df.select("doc_id", "text").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_sample_stays_in_a_task(spark, monkeypatch):
+    """The model alone comes to the driver, not the rows that it is fitted on."""
+    r = random.Random(3)
+    rows = [(i, "".join(chr(r.randrange(0x4E00, 0x5600)) for _ in range(1000)) + " the and of" * (i % 2), "en" if i % 2 else "zh") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    came = []
+    monkeypatch.setattr(type(df), "toArrow", lambda self, to=type(df).toArrow: came.append(to(self)) or came[-1])
+    model = fit(df, ~held_out())
+    assert model.labels == ["en", "zh"] and model.weights.shape == (2, FEATURES) and model.temperature >= 1
+    assert model.predict(["the and of the and of"])[0] == ["en"]
+    # frequencies (16 bytes a feature) and weights (4 bytes a feature and label); the sample's counts are 8 bytes for each of 2000 n-grams of each text
+    assert len(came) == 2 and sum(x.nbytes for x in came) < 24 * FEATURES + 1000
