@@ -103,9 +103,11 @@ def record_batches(schema: pa.Schema, columns: list, rows: int = 4096) -> Iterat
 def freed(spark: SparkSession, times: int = 1) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; call it after a large `written`.
 
-    Spark's cleaner follows the collector of the driver's JVM, which alone runs too seldom to keep disks free.
+    Spark's cleaner follows the collector of the driver's JVM, which alone runs too seldom to keep disks free. The event queues refer to the last
+    execution until another one ends, so an empty one, without a job, comes first.
     """
     for _ in range(times):
+        spark.sql("VALUES 0").isEmpty()
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2 if times == 1 else 0.5)

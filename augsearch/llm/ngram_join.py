@@ -525,14 +525,23 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
     forget(scan)
     freed(spark)
 
+    # who has no larger id of a class is in no doubt, and what surely has no least one goes unread; the few between are joined, so no prefixes are shuffled
+    copies = equal.select("b").distinct()
+    least, other = (spark.sparkContext.broadcast(Bloom(ids.select(F.xxhash64(ids.columns[0]).alias("hash")), "hash", ids.count())) for ids in (reps, copies))
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            sets = shingle_sets(texts)
-            found = [prefix(x, frequent.value, common.value, percent, spare=True).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
+        for b in batches:
+            b = b.filter(pa.array(least.value.has(np.asarray(b.column(1)).astype(np.int64).view(np.uint64))))
+            start, sure = 0, ~other.value.has(np.asarray(b.column(1)).astype(np.int64).view(np.uint64))
+            for ids, texts in _texts([b]):
+                sets = shingle_sets(texts)
+                found = [prefix(x, frequent.value, common.value, percent, spare=True).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sure[start : start + len(ids)])], names=["doc_id", "n", "tokens", "sure"])
+                start += len(ids)
 
-    known = docs.filter("doc_id is not null")
-    prefixed = written(known.mapInArrow(prefixes, "doc_id long, n long, tokens array<long>").filter("n > 0").join(reps, "doc_id"), "prefixes")
+    known = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text")
+    table = written(known.mapInArrow(prefixes, "doc_id long, n long, tokens array<long>, sure boolean").filter("n > 0"), "prefixes")
+    prefixed = table.filter("sure").drop("sure").union(table.filter("not sure").drop("sure").join(reps, "doc_id", "left_semi"))
     # tokens that more than one class has
     by_token = prefixed.select(F.explode("tokens").alias("token"), "doc_id").groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     shared = written(by_token.filter("least < most").select("token"), "shared-tokens")
@@ -550,7 +559,7 @@ def links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int
             yield pa.RecordBatch.from_arrays([pa.array(doc[row[ok]]), pa.array(n[row[ok]]), pa.array(tokens[ok])], names=["doc_id", "n", "token"])
 
     keyed = written(prefixed.mapInArrow(hopeful, "doc_id long, n long, token long").join(shared, "token").select("token", "doc_id", "n"), "keyed")
-    forget(often, prefixed, shared)
+    forget(often, table, shared)
     freed(spark)
     # linked sets have a step in common, and tokens that they share are posted under it
     keyed = _supported(keyed, percent)

@@ -1,10 +1,12 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from augsearch.llm import ngram_join
+from augsearch.llm import common, ngram_join
 from augsearch.llm.ngram_join import Tree, bitmaps, jaccard_join, links, possible, query, shingle_sets, traverse
 from tests.llm import brute
 
@@ -149,3 +151,35 @@ def test_nodes_are_pruned():
     tree = Tree(bitmaps(one + two + one + two), np.full(64, 20), np.zeros(64, int))
     ok = possible(tree.levels[1], np.array([0, 0]), tree.levels[1], np.array([1, 2]), 80)
     assert ok.tolist() == [False, True]
+
+
+def test_prefixes_are_not_shuffled(spark, monkeypatch):
+    """Of copies one alone goes on, without an exchange of all prefixes for that."""
+    r = random.Random(12)
+    own = [" ".join(r.choices(["w%d" % i for i in range(500)], k=40)) for _ in range(60)]
+    rows = [(i, own[i % 60] if i % 3 else varied(r, own[i % 60], 0.02)) for i in range(240)]
+    rows += [(7, own[50]), (500, own[9]), (500, own[10]), (8, own[8]), (None, own[4])]
+    plans, stored = {}, {}
+
+    def write(df, name, *a, write=ngram_join.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, name, *a)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", write)
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows) > 10
+    assert plans["prefixes"].count("Exchange") == 1 and stored["prefixes"] < 200  # the exchange is the test's own
+
+
+def test_freed_lets_the_last_shuffle_go(spark):
+    files = lambda: set(Path(spark.sparkContext.getConf().get("spark.local.dir")).rglob("shuffle_*"))
+    before = files()
+    common.written(spark.range(1000).repartition(3), "rows")
+    made = files() - before
+    common.freed(spark)
+    for _ in range(30):
+        if not (left := {x for x in made if x.exists()}):
+            break
+        time.sleep(0.1)
+    assert made and not left
