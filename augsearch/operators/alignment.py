@@ -1,7 +1,7 @@
 """How well views are aligned: similarity metrics over rows (row, label, vec), where a label is one entity seen in several views.
 
 All pairs of rows are the definition of these metrics; those that need them compared go through the tiles of `pairs`, which return sums or a few
-best per row, never pairs. `report` has all of them in one pass.
+best per row, never pairs, and copy no row. `report` has all of them in one pass.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from augsearch.functions.storage import written
 from augsearch.functions.vectors import dot, norm
-from augsearch.operators.pairs import BLOCK, EntityStability, MeanRelativeRank, TopKAccuracy, TopKPrecision, evaluate, nearest_of, prepared, ranked, tiled, tile_views
+from augsearch.operators.pairs import BLOCK, EntityStability, MeanRelativeRank, TopKAccuracy, TopKPrecision, evaluate, nearest_others, prepared, tiled
 
 
 def _arrays(side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +48,8 @@ def similarity_moments(rows: DataFrame, label_rows: int = LABEL_ROWS) -> DataFra
     everything = (n * (n - 1), total[0, :d] @ total[0, :d] - own, (total[1:, :d] ** 2).sum() - own2)
 
     parts = F.ceil(F.col("count") / label_rows)
-    sizes = unit.groupBy("label").count().select("label", parts.alias("parts"))
-    dealt = unit.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    sizes = unit.groupBy("label").count().filter(F.col("count") > label_rows).select("label", parts.alias("parts"))  # a row for each `label_rows` rows at most
+    dealt = unit.filter("label is not null").join(F.broadcast(sizes), "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
 
     def run(batches):
         at, held, kept, small = None, [], None, np.zeros(3)
@@ -101,13 +101,7 @@ def similarity_moments(rows: DataFrame, label_rows: int = LABEL_ROWS) -> DataFra
 
 def top_k(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """row, label, other, other_label, sim, rank: the k most similar other rows, ties by row. A row is never its own neighbour."""
-
-    def run(left, right, one):
-        for t in tile_views(left, right, one):
-            at, best = nearest_of(t, k)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t.row[at], t.label[at], t.other[best], t.other_label[best], t.sim[at, best])], names=["row", "label", "other", "other_label", "sim"])
-
-    return ranked(tiled(prepared(rows), run, "row long, label long, other long, other_label long, sim double", block=block), k)
+    return nearest_others(rows, k, block)
 
 
 def top_k_precision(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:

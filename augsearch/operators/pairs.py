@@ -1,8 +1,9 @@
 """Metrics over all pairs of rows, computed together in one pass of tiles.
 
-Rows are dealt to blocks, and each unordered pair of blocks is one tile: its similarities are computed once and seen from both sides by every
-metric. A metric is an aggregate in two phases: `partial` turns a tile into a few rows of numbers where the tile is, `final` adds them up as a
-DataFrame. Tiles never leave their task. A new metric is a subclass of PairMetric; `evaluate` runs any number of them.
+Rows are dealt to blocks, and each block meets every block, itself included, in one tile (`blocks.crossed`), which every metric sees. A metric is an
+aggregate in two phases: `partial` turns a tile into a few rows of numbers where the tile is, `final` adds them up as a DataFrame; with `adds`, a
+block's rows are added up before they leave its task, so that they are as many as keys and not as tiles. Tiles never leave their task. A new metric is a
+subclass of PairMetric; `evaluate` runs any number of them.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augsearch.functions.storage import written
 from augsearch.functions.vectors import normalised
+from augsearch.operators.blocks import Best, Block, Meeting, crossed, narrowed, packed, plain
 
 #: Rows of a block, at most about: a tile has as many squared similarities.
 BLOCK = 2048
@@ -47,11 +49,13 @@ class Tile:
 
 
 class PairMetric:
-    """name: of the result's column. top: how many nearest rows `final` wants in `near`. best: whether tiles have each row's best similarity to its own label."""
+    """name: of the result's column. top: how many nearest rows `final` wants in `near`. best: whether tiles have each row's best similarity to its own label.
+    adds: "sum" or "max", where rows of one key may be put together so before `final`."""
 
     name = ""
     top = 0
     best = False
+    adds: str | None = None
 
     def partial(self, tile: Tile) -> tuple[np.ndarray, np.ndarray] | None:
         """(keys, numbers: a row for each key) of the tile; None for nothing."""
@@ -66,9 +70,9 @@ def tiled(rows: DataFrame, f: Callable[[pa.Table, pa.Table, bool], Iterator[pa.R
     """f over each unordered pair of blocks of the rows that share `by` (of all rows by default); its last argument says that both sides are one block.
     rows need a column row, which deals them to blocks. Rows of a group of at most `block` rows are one block."""
     names = rows.columns
-    keyed = rows.withColumn("_by", by if by is not None else F.lit(0))
-    counts = keyed.groupBy("_by").count().select("_by", F.ceil(F.col("count") / block).alias("_n"))
-    dealt = keyed.join(counts if by is not None else F.broadcast(counts), "_by").withColumn("_own", F.pmod(F.xxhash64("row"), F.col("_n")))
+    keyed = rows.withColumn("_by", by if by is not None else F.lit(0)).filter("_by is not null")
+    large = keyed.groupBy("_by").count().filter(F.col("count") > block).select("_by", F.ceil(F.col("count") / block).alias("_n"))  # a row for each `block` rows at most
+    dealt = keyed.join(F.broadcast(large), "_by", "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long"))).withColumn("_own", F.pmod(F.xxhash64("row"), F.col("_n")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     key = ["_by", "_i", "_j"]
     placed = dealt.select(*names, "_by", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
@@ -106,12 +110,11 @@ def tiled(rows: DataFrame, f: Callable[[pa.Table, pa.Table, bool], Iterator[pa.R
 
 
 def _side(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    vec = t["vec"].chunk(0)
-    return t["row"].to_numpy(), t["label"].to_numpy(), np.asarray(vec.flatten(), np.float64).reshape(len(vec), -1), t["best"].to_numpy() if "best" in t.schema.names else np.full(len(vec), np.nan)
+    return t["row"].to_numpy(), t["label"].to_numpy(), unit(plain(t["vec"].to_pylist(), t["d"][0].as_py())), np.full(len(t), np.nan)
 
 
 def tile_views(left: pa.Table, right: pa.Table, one: bool) -> Iterator[Tile]:
-    """The tile from each side; once where both are one block."""
+    """The tile of two tables of `_bare` rows from each side; once where both are one block."""
     (r1, l1, x, b1), (r2, l2, y, b2) = _side(left), _side(right)
     sim = x @ y.T
     sim[r1[:, None] == r2[None, :]] = -np.inf
@@ -126,7 +129,7 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def best_of_label(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """row, best: the similarity of the best other row of the same label, for rows that have one. rows: as prepared. Only pairs of one label are compared."""
+    """row, best: the similarity of the best other row of the same label, for rows that have one. Only pairs of one label are compared."""
 
     def run(left, right, one):
         for t in tile_views(left, right, one):
@@ -134,58 +137,109 @@ def best_of_label(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             ok = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(t.row[ok]), pa.array(best[ok])], names=["row", "best"])
 
-    return tiled(rows, run, "row long, best double", F.col("label"), block).groupBy("row").agg(F.max("best").alias("best"))
-
-
-def passed(rows: DataFrame, metrics: list[PairMetric], block: int = BLOCK) -> DataFrame:
-    """The one pass: OUT, rows of each metric by its number, and of number -1 the nearest rows of each row in each tile."""
+    return tiled(_bare(rows), run, "row long, best double", F.col("label"), block).groupBy("row").agg(F.max("best").alias("best"))
+
+
+def _bare(rows: DataFrame) -> DataFrame:
+    """row, label and vec, narrowed."""
+    return rows if "d" in rows.columns else narrowed(rows.select(F.col("row").cast("long").alias("row"), F.col("label").cast("long").alias("label"), F.col("vec").cast("array<double>").alias("vec")), "vec")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows at length one."""
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+
+
+def in_blocks(rows: DataFrame, block: int, best: DataFrame | None = None) -> DataFrame:
+    """rows (row, label, vec) packed and written: by the hash of row, in blocks of about `block`. best: row, best, for rows that have one."""
+    n = max(1, -(-rows.count() // block))
+    dealt = _bare(rows).repartition(n, "row")
+    if best is not None:
+        dealt = dealt.join(best.repartition(n, "row"), "row", "left")
+    return written(packed(dealt, "row", "vec", 2 * block), "pair-blocks")
+
+
+class _Passing(Meeting):
+    def __init__(self, own: Block, metrics: list[PairMetric], top: int):
+        super().__init__(own)
+        self.row, self.label, self.x = own.numbers("row"), own.numbers("label"), unit(own.x)
+        self.best = own.numbers("best") if "best" in own.fields else np.full(len(self.x), np.nan)
+        self.metrics, self.near, self.held = metrics, Best(len(self.x), top) if top else None, [[] for _ in metrics]
+
+    def add(self, other, same):
+        row, label = other.numbers("row"), other.numbers("label")
+        sim = self.x @ unit(other.x).T
+        if same or np.isin(self.row, row).any():
+            sim[self.row[:, None] == row[None, :]] = -np.inf
+        if self.near:
+            self.near.add(sim, row, label)
+        if not self.metrics:
+            return
+        tile = Tile(self.row, self.label, self.best, row, label, sim)
+        for i, m in enumerate(self.metrics):
+            found = m.partial(tile)
+            if found is not None and len(found[0]):
+                keys, values = np.asarray(found[0], np.int64), np.asarray(found[1], np.float64).reshape(len(found[0]), -1)
+                if not m.adds:
+                    yield _partials(i, keys, values)
+                    continue
+                self.held[i].append((keys, values))
+                if sum(len(k) for k, _ in self.held[i]) > 16 * len(self.x):
+                    self.held[i] = [_added(self.held[i], m.adds)]
+
+    def result(self):
+        for i, m in enumerate(self.metrics):
+            if self.held[i]:
+                yield _partials(i, *_added(self.held[i], m.adds))
+        found = self.near.merged() if self.near else None
+        if found is not None:
+            at, d, other, label = found
+            value = np.stack([-d, self.near.ranks()], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), *map(pa.array, (self.row[at], self.label[at], other, label)), _lists(value)], names=_NAMES)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(values) + 1) * values.shape[1]).astype(np.int32)), pa.array(values.ravel()))
+
+
+def _partials(metric: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(keys), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), metric, np.int32)), pa.array(keys), none, none, none, _lists(values)], names=_NAMES)
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]], adds: str) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each key."""
+    keys, values = (np.concatenate(x) for x in zip(*held))
+    keys, at = np.unique(keys, return_inverse=True)
+    out = np.full((len(keys), values.shape[1]), 0.0 if adds == "sum" else -np.inf)
+    (np.add if adds == "sum" else np.maximum).at(out, at, values)
+    return keys, out
+
+
+def passed(rows: DataFrame, metrics: list[PairMetric], block: int = BLOCK, best: DataFrame | None = None) -> DataFrame:
+    """The one pass: OUT, rows of each metric by its number, and of number -1 the nearest rows of each row, value being similarity and rank."""
     top = max((m.top for m in metrics), default=0)
+    partial = [m for m in metrics if type(m).partial is not PairMetric.partial]
+    at = [i for i, m in enumerate(metrics) if type(m).partial is not PairMetric.partial]
+    table = in_blocks(rows, block, best)
+    out = crossed(table, table, lambda own: _Passing(own, partial, top), OUT, "vec")
+    return out.withColumn("metric", F.when(F.col("metric") < 0, F.col("metric")).otherwise(F.element_at(F.array(*map(F.lit, at)), F.col("metric") + 1))) if at and at != list(range(len(at))) else out
 
-    def run(left, right, one):
-        for t in tile_views(left, right, one):
-            if top:
-                at, best = nearest_of(t, top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), *map(pa.array, (t.row[at], t.label[at], t.other[best], t.other_label[best])), pa.array(list(t.sim[at, best][:, None]), pa.list_(pa.float64()))], names=_NAMES)
-            for i, m in enumerate(metrics):
-                found = m.partial(t)
-                if found is not None and len(found[0]):
-                    keys, values = np.asarray(found[0], np.int64), np.asarray(found[1], np.float64).reshape(len(found[0]), -1)
-                    none = pa.nulls(len(keys), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), none, none, none, pa.array(list(values), pa.list_(pa.float64()))], names=_NAMES)
-
-    return tiled(rows, run, OUT, block=block)
-
-
-def nearest_of(t: Tile, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, other) by place: the k most similar others of each row, of equals those of the least number."""
-    n = t.sim.shape[1]
-    by_other = np.argsort(t.other, kind="stable")
-    s = t.sim[:, by_other]
-    if k < n:
-        least = np.partition(s, n - k, axis=1)[:, n - k, None]
-        at, j = np.nonzero((s >= least) & np.isfinite(s))
-    else:
-        at, j = np.nonzero(np.isfinite(s))
-    order = np.lexsort((j, -s[at, j], at))
-    at, j = at[order], j[order]
-    nth = np.arange(len(at)) - np.searchsorted(at, at)
-    return at[nth < k], by_other[j[nth < k]]
-
-
-def ranked(near: DataFrame, k: int) -> DataFrame:
-    """near: row, label, other, other_label, sim -> the k nearest of each row with their rank."""
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)
+
+def nearest_others(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """row, label, other, other_label, sim, rank: the k most similar other rows, of equals those of the least number."""
+    out = passed(rows, [TopKPrecision(k)], block)
+    return out.select("row", "label", "other", "other_label", F.col("value")[0].alias("sim"), F.col("value")[1].cast("int").alias("rank"))
 
 
 def evaluate(rows: DataFrame, metrics: list[PairMetric], block: int = BLOCK) -> DataFrame:
     """One row with a column for each metric. rows: row, label, vec."""
     if len({m.name for m in metrics}) < len(metrics):
         raise ValueError("metrics need names of their own")
-    rows = written(prepared(rows), "pair-rows")
-    known = rows.join(best_of_label(rows, block), "row", "left") if any(m.best for m in metrics) else rows
-    out = written(passed(known, metrics, block), "pair-partials")
-    top = max((m.top for m in metrics), default=0)
-    near = written(ranked(out.filter("metric = -1").select("row", "label", "other", "other_label", F.col("value")[0].alias("sim")), top), "pair-nearest") if top else None
+    bare = written(_bare(rows), "pair-rows")
+    best = best_of_label(bare, block) if any(m.best for m in metrics) else None
+    out = written(passed(bare, metrics, block, best), "pair-partials")
+    near = out.filter("metric = -1").select("row", "label", "other", "other_label", F.col("value")[0].alias("sim"), F.col("value")[1].cast("int").alias("rank"))
     results = []
     for i, m in enumerate(metrics):
         partials = out.filter(F.col("metric") == i).select(F.col("row").alias("key"), "value")
@@ -243,6 +297,7 @@ class EntityStability(PairMetric):
 class MeanRelativeRank(PairMetric):
     name: str = "mean_relative_rank"
     best: bool = True
+    adds: str = "sum"
 
     def partial(self, tile):
         ok = np.isfinite(tile.best)
