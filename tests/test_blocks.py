@@ -73,3 +73,13 @@ def test_narrow_vectors_lose_nothing(spark):
         np.testing.assert_array_equal(blocks.plain([g.vec for g in got], 3), np.array(x))
     with pytest.raises(ValueError):
         blocks.matrix(__import__("pyarrow").array([[1.0], [1.0, 2.0]]))
+
+
+def accuracy(x, labels, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.mean([any(labels[j] == labels[i] for j in near) for i, near in enumerate(nearest(x, k, -np.round(u @ u.T, 12)))])
+
+
+def test_top_k_accuracy_shuffles_no_copies(spark, x, rows):
+    got, times = shuffled(spark, lambda: alignment.top_k_accuracy(alignment.top_k(rows, 5, BLOCK), rows).first()[0])
+    assert got == pytest.approx(accuracy(x, np.arange(N) // 2, 5)) and times < 12
