@@ -83,3 +83,9 @@ def accuracy(x, labels, k):
 def test_top_k_accuracy_shuffles_no_copies(spark, x, rows):
     got, times = shuffled(spark, lambda: alignment.top_k_accuracy(alignment.top_k(rows, 5, BLOCK), rows).first()[0])
     assert got == pytest.approx(accuracy(x, np.arange(N) // 2, 5)) and times < 12
+
+
+def test_top_k_precision_shuffles_no_copies(spark, x, rows):
+    got, times = shuffled(spark, lambda: alignment.top_k_precision(alignment.top_k(rows, 5, BLOCK), rows, 5).first()[0])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == pytest.approx(np.mean([j // 2 == i // 2 for i, near in enumerate(nearest(x, 5, -np.round(u @ u.T, 12))) for j in near])) and times < 12
