@@ -89,3 +89,10 @@ def test_top_k_precision_shuffles_no_copies(spark, x, rows):
     got, times = shuffled(spark, lambda: alignment.top_k_precision(alignment.top_k(rows, 5, BLOCK), rows, 5).first()[0])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got == pytest.approx(np.mean([j // 2 == i // 2 for i, near in enumerate(nearest(x, 5, -np.round(u @ u.T, 12))) for j in near])) and times < 12
+
+
+def test_entity_stability_shuffles_no_copies(spark, x, rows):
+    got, times = shuffled(spark, lambda: alignment.entity_stability(alignment.top_k(rows, 5, BLOCK), 5).first()[0])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = nearest(x, 5, -np.round(u @ u.T, 12))
+    assert got == pytest.approx(np.mean([len(set(near[i]) & set(near[i + 1])) / 4 for i in range(0, N, 2)])) and times < 12
