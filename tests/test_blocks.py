@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augsearch.operators import alignment, blocks
+from augsearch.operators import alignment, blocks, pairs
 from tests.test_pairs import frame
 
 N, D, BLOCK = 1500, 16, 32
@@ -96,3 +96,22 @@ def test_entity_stability_shuffles_no_copies(spark, x, rows):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = nearest(x, 5, -np.round(u @ u.T, 12))
     assert got == pytest.approx(np.mean([len(set(near[i]) & set(near[i + 1])) / 4 for i in range(0, N, 2)])) and times < 12
+
+
+def test_report_shuffles_no_copies_nor_rows_for_each_tile(spark, x, rows):
+    got, times = shuffled(spark, lambda: alignment.report(rows, 5, BLOCK).first())
+    assert got.top_k_accuracy == pytest.approx(alignment.top_k_accuracy(alignment.top_k(rows, 5), rows).first()[0]) and times < 20
+    partials = pairs.passed(rows, [pairs.MeanRelativeRank()], BLOCK, pairs.best_of_label(rows, BLOCK))
+    assert partials.count() == N
+
+
+def test_metrics_without_partials_keep_their_numbers(spark, x, rows):
+    class Counts(pairs.PairMetric):
+        name, adds = "counts", "sum"
+
+        def partial(self, tile):
+            return tile.row, tile.valid.sum(1)
+
+    out = pairs.passed(rows, [pairs.TopKAccuracy(3), Counts()], 500)
+    assert {(r.metric, r["count"]) for r in out.groupBy("metric").count().collect()} == {(-1, 3 * N), (1, N)}
+    assert {r.value[0] for r in out.filter("metric = 1").collect()} == {N - 1.0}
