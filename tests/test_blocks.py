@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augsearch.operators import alignment, blocks, pairs
+from augsearch.operators import alignment, blocks, curation, pairs
+from augsearch.operators.vector_index import VectorIndex
 from tests.test_pairs import frame
 
 N, D, BLOCK = 1500, 16, 32
@@ -30,6 +31,10 @@ def rows(spark, x):
     return frame(spark, x, np.arange(N) // 2).cache()
 
 
+def ids(rows, name):
+    return rows.select(F.col("row").alias(name), F.col("vec").alias("embedding"))
+
+
 def nearest(x, k, by):
     return [sorted((j for j in range(len(x)) if j != i), key=lambda j: (by[i, j], j))[:k] for i in range(len(x))]
 
@@ -115,3 +120,11 @@ def test_metrics_without_partials_keep_their_numbers(spark, x, rows):
     out = pairs.passed(rows, [pairs.TopKAccuracy(3), Counts()], 500)
     assert {(r.metric, r["count"]) for r in out.groupBy("metric").count().collect()} == {(-1, 3 * N), (1, N)}
     assert {r.value[0] for r in out.filter("metric = 1").collect()} == {N - 1.0}
+
+
+def test_density_shuffles_no_copies(spark, x, rows):
+    one = ids(rows, "column_id")
+    index, _ = shuffled(spark, lambda: VectorIndex.build(one.withColumnRenamed("column_id", "candidate_id"), "l2"))
+    got, times = shuffled(spark, lambda: {r.query_id: r.distance for r in curation.density(one, one, 15, index=index).collect()})
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert got == {i: pytest.approx(v, abs=1e-9) for i, v in enumerate(np.sort(d, 1)[:, 14])} and times < 12
