@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augsearch.functions.storage import written
 from augsearch.functions.vectors import dot, norm
+from augsearch.operators.blocks import Block, Meeting, crossed, narrowed, packed
 from augsearch.operators.pairs import BLOCK, EntityStability, MeanRelativeRank, TopKAccuracy, TopKPrecision, evaluate, nearest_others, prepared, tiled
 
 
@@ -164,17 +165,48 @@ def residual_norm(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.sqrt(F.avg(squared_distance(F.col("aligned"), F.col("target")))).alias("residual_norm"))
 
 
-def local_distance_correlation(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """pairs: row, source, aligned. |r| of the distances to the k nearest rows in the source space, before and after, averaged."""
-    from augsearch.functions.vectors import euclidean
+class _Distances(Meeting):
+    """query_id, x, y: the distances of each row of a block to its neighbours, of the first `split` numbers of the vectors and of the others."""
+
+    def __init__(self, own: Block, split: int):
+        super().__init__(own)
+        near = own["near"]
+        self.at, self.near, self.split = np.repeat(np.arange(len(own.x)), near.value_lengths().fill_null(0).to_numpy()), near.flatten(), split
+        self.near = self.near.to_numpy() if pa.types.is_integer(self.near.type) else np.array(self.near.to_pylist(), object)
+        self.x, self.y = np.zeros(len(self.at)), np.full(len(self.at), -1.0)
+
+    def add(self, other, same):
+        ids, known = other.ids("row"), other["known"].to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(ids, self.near), len(ids) - 1)
+        found = np.flatnonzero(ids[place] == self.near)
+        if len(found):
+            square = (self.own.x[self.at[found]] - other.x[place[found]]) ** 2
+            self.x[found] = np.sqrt(square[:, : self.split].sum(1))
+            both = known[place[found]] & self.own["known"].to_numpy(zero_copy_only=False)[self.at[found]]
+            self.y[found] = np.where(both, np.sqrt(square[:, self.split :].sum(1)), -1.0)
+        return iter(())
+
+    def result(self):
+        yield pa.RecordBatch.from_arrays([self.own["row"].take(pa.array(self.at)), pa.array(self.x), pa.array(self.y, mask=self.y < 0)], names=["query_id", "x", "y"])
+
+
+def local_distance_correlation(pairs: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """pairs: row, source, aligned. |r| of the distances to the k nearest rows in the source space, before and after, averaged.
+
+    The rows' neighbours are ids; their vectors come past them in blocks, so that none is shuffled for each row that it is near to."""
     from augsearch.operators.retrieval import nearest
 
-    rows = pairs.select("row", F.col("source").alias("embedding"))
-    near = nearest(rows.withColumnRenamed("row", "query_id"), rows.withColumnRenamed("row", "candidate_id"), k + 1, "l2").filter("query_id <> candidate_id")
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "candidate_id"))).filter(F.col("nth") <= k)
-    a = pairs.select(F.col("row").alias("query_id"), F.col("source").alias("s1"), F.col("aligned").alias("a1"))
-    b = pairs.select(F.col("row").alias("candidate_id"), F.col("source").alias("s2"), F.col("aligned").alias("a2"))
-    d = near.join(a, "query_id").join(b, "candidate_id").select("query_id", euclidean(F.col("s1"), F.col("s2")).alias("x"), euclidean(F.col("a1"), F.col("a2")).alias("y"))
+    rows = pairs.select("row", F.col("source").alias("embedding"), F.col("row").cast("string").alias("table_id"))  # so a row isn't its own neighbour
+    near = nearest(rows.withColumnRenamed("row", "query_id"), rows.withColumnRenamed("row", "candidate_id"), k, "l2", True)
+    near = near.groupBy(F.col("query_id").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"]).alias("near"))
+    n, source, aligned = pairs.agg(F.count("*"), F.max(F.size("source")), F.max(F.size("aligned"))).first()
+    none = F.array_repeat(F.lit(0.0), F.lit(max(aligned or 0, 0)))
+    both = F.concat(F.col("source").cast("array<double>"), F.coalesce(F.col("aligned").cast("array<double>"), none)).alias("vec")
+    vectors = narrowed(pairs.filter("source is not null").select("row", F.col("aligned").isNotNull().alias("known"), both), "vec")
+    tasks = max(1, -(-n // block))
+    table = written(packed(vectors.repartition(tasks, "row").join(near.repartition(tasks, "row"), "row", "left"), "row", "vec", 2 * block), "neighbours")
+    kind = pairs.schema["row"].dataType.simpleString()
+    d = crossed(table, table, lambda own: _Distances(own, source), f"query_id {kind}, x double, y double", "vec")
     r = d.groupBy("query_id").agg(F.corr("x", "y").alias("r"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"), F.count("*").alias("n"))
     return r.filter((F.col("n") == k) & (F.col("sx") > 1e-8) & (F.col("sy") > 1e-8)).agg(F.coalesce(F.avg(F.abs("r")), F.lit(0.0)).alias("local_distance_correlation"))
 

@@ -128,3 +128,28 @@ def test_density_shuffles_no_copies(spark, x, rows):
     got, times = shuffled(spark, lambda: {r.query_id: r.distance for r in curation.density(one, one, 15, index=index).collect()})
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     assert got == {i: pytest.approx(v, abs=1e-9) for i, v in enumerate(np.sort(d, 1)[:, 14])} and times < 12
+
+
+def test_local_distance_correlation_shuffles_no_copies(spark, x, rows, monkeypatch):
+    from augsearch.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    both = rows.select("row", F.col("vec").alias("source"), F.slice("vec", 1, 4).alias("aligned"))
+    got, times = shuffled(spark, lambda: alignment.local_distance_correlation(both, 5).first()[0])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = nearest(x, 5, np.round(d, 12))
+    r = [abs(np.corrcoef([np.sqrt(d[i, j]) for j in at], [np.linalg.norm(x[i, :4] - x[j, :4]) for j in at])[0, 1]) for i, at in enumerate(near)]
+    assert got == pytest.approx(np.mean(r), abs=1e-9) and times < 10
+
+
+def test_local_distance_correlation_of_unaligned_rows(spark):
+    r = np.random.default_rng(8)
+    rows = [(str(i), v.tolist(), v[:2].tolist() if i != 3 else None) for i, v in enumerate(r.standard_normal((30, 4)))]
+    d = np.array([[np.linalg.norm(np.subtract(a, b)) for _, b, _ in rows] for _, a, _ in rows])
+    want = []
+    for i, near in enumerate(nearest(d, 5, d)):
+        some = [j for j in near if rows[j][2] and rows[i][2]]
+        if len(some) > 1:
+            want.append(abs(np.corrcoef([d[i, j] for j in some], [np.linalg.norm(np.subtract(rows[i][2], rows[j][2])) for j in some])[0, 1]))
+    got = alignment.local_distance_correlation(spark.createDataFrame(rows, "row string, source array<double>, aligned array<double>"), 5, 7).first()[0]
+    assert got == pytest.approx(np.mean(want), abs=1e-9)
