@@ -153,3 +153,13 @@ def test_local_distance_correlation_of_unaligned_rows(spark):
             want.append(abs(np.corrcoef([d[i, j] for j in some], [np.linalg.norm(np.subtract(rows[i][2], rows[j][2])) for j in some])[0, 1]))
     got = alignment.local_distance_correlation(spark.createDataFrame(rows, "row string, source array<double>, aligned array<double>"), 5, 7).first()[0]
     assert got == pytest.approx(np.mean(want), abs=1e-9)
+
+
+def test_density_report_shuffles_no_copies(spark, x, rows, monkeypatch):
+    from augsearch.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    one = ids(rows, "column_id")
+    got, times = shuffled(spark, lambda: curation.density_report(d := curation.density(one, one), d.filter("query_id < 300")).first())
+    density = 1 / (np.sort(((x[:, None] - x[None]) ** 2).sum(2), 1)[:, 14] + 1e-12)
+    assert (got.ref_median, got.median) == pytest.approx((np.median(density), np.median(density[:300])), abs=1e-9) and times < 12
